@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from .fingerprints import op10_order_minhash_fingerprints
+from .near import OP5_SQL, op5_minhash_near_duplicates
+from .packing import op7_linear_grouping_packs
+from .quality import op2_importance_quality
 from .sharding import op1_hypergeometric_shards
 from .substrings import OP4_SQL, op4_repeated_substrings
+from .tokens import op6_prefix_token_counts
+from .toxicity import op3_subsequence_kernel_toxicity
 
 QUERIES = {
-    "op1_hypergeometric_shards": op1_hypergeometric_shards,
-    "op4_repeated_substrings": op4_repeated_substrings,
+    f.__name__: f
+    for f in (
+        op1_hypergeometric_shards,
+        op2_importance_quality,
+        op3_subsequence_kernel_toxicity,
+        op4_repeated_substrings,
+        op5_minhash_near_duplicates,
+        op6_prefix_token_counts,
+        op7_linear_grouping_packs,
+        op10_order_minhash_fingerprints,
+    )
 }
 
-ORACLES = {"op4_repeated_substrings": OP4_SQL}
+ORACLES = {"op4_repeated_substrings": OP4_SQL, "op5_minhash_near_duplicates": OP5_SQL}

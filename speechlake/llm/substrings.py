@@ -55,21 +55,8 @@ def _chunks(batches, limit: int):
         yield docs
 
 
-def _by_doc(doc: np.ndarray, h: np.ndarray):
-    """A row (doc_id, its hashes as bytes) for each document."""
-    order = np.argsort(doc, kind="stable")
-    doc, h = doc[order], h[order]
-    starts = np.flatnonzero(first_of_runs(doc))
-    data = h.astype("<u8").tobytes()
-    ends = np.append(starts[1:], len(doc))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc[starts]), pa.array([data[8 * a : 8 * b] for a, b in zip(starts, ends, strict=True)], pa.binary())],
-        names=["doc_id", "hashes"],
-    )
-
-
 def repeated_windows(df: DataFrame, width: int, buckets: int | None = None) -> DataFrame:
-    """(doc_id, hashes): windows of a document, packed hashes, that also start in a document with a smaller doc_id.
+    """(doc_id, h): hashes of a document's windows that also start in a document with a smaller doc_id.
 
     df has doc_id (long, not null) and text. A document may have several rows.
     """
@@ -124,7 +111,8 @@ def repeated_windows(df: DataFrame, width: int, buckets: int | None = None) -> D
         least = doc[first][np.cumsum(first) - 1] if len(h) else doc
         gone = doc > least
         own = np.concatenate([x.astype(np.int64) + m for x, m in zip(part("own_doc", unpack), low, strict=True)])
-        return _by_doc(np.concatenate([doc[gone], own]), np.concatenate([h[gone], *part("own_h", unpack)]))
+        h = np.concatenate([h[gone], *part("own_h", unpack)]).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([doc[gone], own])), pa.array(h)], names=["doc_id", "h"])
 
     def receive(batches):
         rows: list[dict] = []
@@ -139,7 +127,7 @@ def repeated_windows(df: DataFrame, width: int, buckets: int | None = None) -> D
 
     sent = df.select("doc_id", "text").mapInArrow(send, "bucket int, low long, h binary, doc binary, own_h binary, own_doc binary")
     dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(receive, "doc_id long, hashes binary")
+    return dealt.mapInArrow(receive, "doc_id long, h long")
 
 
 def spans_of(h: np.ndarray, gone: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -165,7 +153,7 @@ def remove_repeats(df: DataFrame, width: int = 13) -> DataFrame:
     workers_see_package(df.sparkSession)
     df = df.drop("n_words", "n_removed", "removed_spans", "kept_text", "__hashes")
     gone = repeated_windows(df.where("doc_id is not null"), width)
-    gone = gone.groupBy("doc_id").agg(F.collect_list("hashes").alias("__hashes"))
+    gone = gone.groupBy("doc_id").agg(F.collect_list("h").alias("__hashes"))
     text = df.schema.fieldNames().index("text")
     out = schema_with(df, "n_words long, n_removed long, removed_spans array<struct<start:int,end:int>>, kept_text string")
 
@@ -176,7 +164,7 @@ def remove_repeats(df: DataFrame, width: int = 13) -> DataFrame:
                 words = split_words(x.as_py())
                 found = []
                 if hashes.is_valid:
-                    gone = np.frombuffer(b"".join(hashes.as_py()), "<u8")
+                    gone = hashes.values.to_numpy().view(np.uint64)
                     found = spans_of(windows(WORDS.of(words), width), gone, width)
                 n_words.append(len(words))
                 n_removed.append(sum(e - s for s, e in found))
