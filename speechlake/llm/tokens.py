@@ -38,7 +38,9 @@ class PrefixCounter:
 
     #: White space for Python that is none for the tokenizer.
     ODD_SPACE = regex.compile("[\x1c-\x1f]")
-    SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+    #: White space for the tokenizer.
+    BLANK = r"\t-\r \x85\xa0  -     　"
+    SPACE = regex.compile(f"[{BLANK}]+")
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -66,7 +68,7 @@ class PrefixCounter:
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, self.specials)))
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split)
+        self.words = regex.compile(split.replace(r"\s", self.BLANK))
         self.letters = byte_letters()
         self.good: dict[tuple[int, int], bool] = {}
         self.chunks: dict[str, int] = {}
@@ -96,7 +98,7 @@ class PrefixCounter:
             after = self.merged.get((a, b))
 
     def letters_of(self, word: str) -> str:
-        return word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
 
     def word_prefixes(self, word: str) -> list[int]:
         """Token counts of the word's prefixes, by byte, from the empty one on."""

@@ -2,8 +2,9 @@
 
 The kernel of two words counts common character subsequences of length ORDER, each weighted by DECAY to the power of the
 stretch it spans in either word, normalised to 1 for equal words. An insult with characters put in or left out keeps
-most of its subsequences, at longer stretches. The kernel of two sentences is the sum over their pairs of words of the
-word kernel to the power SHARPEN, a convolution kernel. Landmark words, chosen from the labelled sentences, give Nyström
+most of its subsequences, at longer stretches. A mark before the first character counts as one, so that stems weigh more
+than endings. The kernel of two sentences is the sum over their pairs of distinct words of the
+word kernel to the power SHARPEN, a convolution kernel. Landmarks, words or stems chosen from the labelled sentences, give Nyström
 features, in which a linear SVM is fitted to sentences: of a toxic document the sentence that its current model finds
 worst, of other documents all sampled sentences. As the kernel is a sum over words, so is the SVM's value, and a word's
 share is computed once per worker. A document is as toxic as its worst sentence.
@@ -21,18 +22,24 @@ from pyspark.sql import functions as F
 
 from .common import CACHE_ENTRIES, documents, schema_with, workers_see_package
 
-ORDER, DECAY, SHARPEN = 3, 0.6, 4
-LANDMARKS = (20, 8)
+ORDER, DECAY, SHARPEN = 3, 0.6, 3
+LANDMARKS = (24, 8)
+#: Log-likelihood ratio from which a word of toxic sentences may become a landmark.
+LEAST_G2 = 12.0
 #: Labelled documents of either class, and code points of one, that a model is fitted to at most.
 TRAIN_DOCS, TRAIN_CHARS = 1500, 200_000
 #: Longer words are compared window by window.
 LONGEST = 24
+#: Tokens of a sentence at most.
+SENTENCE = 32
 BORDER = re.compile(r"[.!?]+\s+|\n+")
 SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def _codes(words: list[str], width: int, pad: int) -> np.ndarray:
+    """Character codes of the words, each after a mark for its beginning."""
+    words = ["\x02" + w for w in words]
     out = np.full((len(words), width), pad, np.int32)
     for i, w in enumerate(words):
         out[i, : len(w)] = np.frombuffer(w.encode("utf-32-le"), np.int32)
@@ -45,17 +52,17 @@ def raw_kernel(a: np.ndarray, b: np.ndarray, pairwise: bool = True) -> np.ndarra
     decay = np.triu(DECAY ** np.abs(np.subtract.outer(np.arange(width), np.arange(width)))).astype(np.float32)
     b = b[None] if pairwise else b
     shape = (len(a), b.shape[1], width) if pairwise else (len(a), width)
-    part = [np.zeros(shape, np.float32) for _ in range(ORDER - 1)]
+    # part[k][.., j]: common subsequences of length k + 1 of the characters of a so far and b[:j], weighted up to both ends
+    part = [np.zeros((*shape[:-1], width + 1), np.float32) for _ in range(ORDER - 1)]
     total = np.zeros(shape[:-1], np.float32)
-    square = np.float32(DECAY * DECAY)
+    square, fade = np.float32(DECAY * DECAY), np.float32(DECAY)
     for i in range(a.shape[1]):
-        match = ((a[:, i, None, None] if pairwise else a[:, i, None]) == b) * square
-        # part[k][.., j]: common subsequences of length k + 1 in a[:i] and b[:j + 1], weighted up to both ends
-        before = [np.concatenate([np.zeros((*p.shape[:-1], 1), np.float32), p[..., :-1]], -1) for p in part]
-        total += (match * before[-1]).sum(-1)
-        for k in range(ORDER - 1):
-            grown = match * before[k - 1] if k else match
-            part[k] = DECAY * part[k] + grown @ decay
+        match = np.multiply((a[:, i, None, None] if pairwise else a[:, i, None]) == b, square, dtype=np.float32)
+        total += np.einsum("...j,...j->...", match, part[-1][..., :-1])
+        for k in range(ORDER - 2, -1, -1):  # the longer first: they need the shorter ones as they were
+            grown = (match * part[k - 1][..., :-1] if k else match).reshape(-1, width) @ decay
+            part[k] *= fade
+            part[k][..., 1:] += grown.reshape(shape)
     return total
 
 
@@ -64,7 +71,7 @@ class WordKernel:
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.b = _codes(landmarks, max(map(len, landmarks)), -2)
+        self.b = _codes(landmarks, 1 + max(map(len, landmarks)), -2)
         self.norm = np.sqrt(raw_kernel(_codes(landmarks, self.b.shape[1], -1), self.b, False))
 
     def __call__(self, words: list[str]) -> np.ndarray:
@@ -73,11 +80,11 @@ class WordKernel:
         by_width: dict[int, list[tuple[int, str]]] = {}
         for i, w in enumerate(words):
             for part in [w] if len(w) <= LONGEST else [w[s : s + LONGEST] for s in range(0, len(w) - LONGEST // 2, LONGEST // 2)]:
-                if len(part) >= ORDER:
-                    by_width.setdefault(-(-len(part) // 3) * 3, []).append((i, part))
+                if len(part) >= ORDER - 1:
+                    by_width.setdefault(1 + -(-len(part) // 3) * 3, []).append((i, part))
         for width, found in by_width.items():
-            for s in range(0, len(found), 2000):
-                some = found[s : s + 2000]
+            for s in range(0, len(found), 500):
+                some = found[s : s + 500]
                 a = _codes([p for _, p in some], width, -1)
                 own = np.sqrt(raw_kernel(a, np.where(a == -1, -2, a), False))
                 k = raw_kernel(a, self.b) / np.maximum(own[:, None] * self.norm[None], 1e-12)
@@ -86,12 +93,14 @@ class WordKernel:
 
 
 def sentences(text: str) -> list[list[str]]:
-    """Lists of lower-case tokens; runs of three or more single characters add the word they spell."""
+    """The distinct lower-case tokens of each sentence, or of each SENTENCE tokens of a longer one.
+
+    Runs of three or more single characters add the word they spell.
+    """
     out = []
     for s in BORDER.split(text.lower()):
         tokens = s.split()
-        if tokens:
-            out.append(tokens)
+        out += [list(dict.fromkeys(tokens[i : i + SENTENCE])) for i in range(0, len(tokens), SENTENCE)]
     if SPACED.search(text):
         out += [[re.sub(r"\s+", "", m[0].lower())] for m in SPACED.finditer(text)]
     return out
@@ -139,13 +148,13 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(self.a * np.array(found, float) + self.b, -60, 60)))).tolist()
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 1500, c: float = 100.0) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 2000, c: float = 3000.0) -> tuple[np.ndarray, float]:
     """Linear SVM by averaged subgradient steps on the weighted hinge loss, from zero; no randomness."""
     w, b, lam = np.zeros(x.shape[1]), 0.0, 1.0 / c
     sw, sb = w.copy(), 0.0
     for t in range(1, rounds + 1):
         hit = (y * (x @ w + b) < 1) * weight
-        step = 1.0 / (1.0 + lam * t)
+        step = 3.0 / t**0.5
         w = w - step * (lam * w - (hit * y) @ x)
         b += step * float((hit * y).sum())
         if t > rounds // 2:
@@ -168,17 +177,41 @@ def _logistic(v: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
+def _stems(docs: list[list[list[str]]]) -> Counter:
+    """In how many documents a word begins so, for all beginnings of 3 to LONGEST characters."""
+    out: Counter = Counter()
+    for d in docs:
+        words = {bare(t)[:LONGEST] for s in d for t in s}
+        out.update({w[:n] for w in words for n in range(3, len(w) + 1)})
+    return out
+
+
+def _g2(a: int, n: int, b: int, m: int) -> float:
+    """Log-likelihood ratio that a of n and b of m differ; negative where the first share is the smaller one."""
+    share = (a + b) / (n + m)
+    parts = ((a, n * share), (n - a, n * (1 - share)), (b, m * share), (m - b, m * (1 - share)))
+    g = 2 * sum(o * np.log(o / e) for o, e in parts if o > 0)
+    return float(g if a * m >= b * n else -g)
+
+
 def fit(toxic: list[str], clean: list[str]) -> Model:
     """A model of labelled texts. With a class missing, every score is 0.5 times the share of toxic texts, rounded to 0 or 0.5."""
     if not toxic or not clean:
         return Model(["none"], np.zeros(1), 0.0, 0.0, 0.0 if toxic else -60.0)
     pos, neg = [sentences(t) for t in toxic], [sentences(t) for t in clean]
-    count = lambda docs: Counter(w for d in docs for w in {bare(t) for s in d for t in s} if len(w) >= ORDER)
-    n_pos, n_neg = count(pos), count(neg)
-    gain = {w: (n / len(pos)) * np.log(((n + 0.5) / (len(pos) + 1)) / ((n_neg[w] + 0.5) / (len(neg) + 1))) for w, n in n_pos.items()}
-    top = sorted(gain, key=lambda w: (-gain[w], w))[: LANDMARKS[0]]
-    often = sorted((w for w in n_neg if w not in top), key=lambda w: (-n_neg[w], w))[: LANDMARKS[1]]
-    landmarks = top + often or ["none"]
+    n_pos, n_neg = _stems(pos), _stems(neg)
+    strength = {w: _g2(n, len(pos), n_neg[w], len(neg)) for w, n in n_pos.items()}
+    top: list[str] = []
+    for w in sorted(strength, key=lambda w: (-strength[w], -len(w), w)):
+        if len(top) == LANDMARKS[0] or top and strength[w] < LEAST_G2:
+            break
+        if not any(w.startswith(t) or t.startswith(w) for t in top):
+            top.append(w)
+    top = top or ["none"]
+    # harmless words that look most like these
+    others = sorted({bare(t) for d in neg for s in d for t in s}.difference(top))
+    like = WordKernel(top)(others).max(1) if others else np.zeros(0)
+    landmarks = top + [others[i] for i in np.argsort(-like, kind="stable")[: LANDMARKS[1]]]
     kernel = WordKernel(landmarks)
     words = list(dict.fromkeys(bare(t) for d in [*pos, *neg] for s in d for t in s))
     index = {w: i for i, w in enumerate(words)}
@@ -190,12 +223,12 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
     of = lambda s: phi[[index[bare(t)] for t in s]].sum(0)
     x_pos = [np.array([of(s) for s in d]) if d else np.zeros((1, phi.shape[1])) for d in pos]
     x_neg = np.array([of(s) for d in neg for s in d] or [np.zeros(phi.shape[1])])
-    guess = root.T @ (np.array([gain.get(w, 0.0) for w in landmarks]))
+    guess = root.T @ (np.array([strength[w] if w in top and w in strength else 0.0 for w in landmarks]))
     w, b = guess, 0.0
     for _ in range(3):
         witness = np.array([x[int((x @ w).argmax())] for x in x_pos])
         x, y = np.vstack([witness, x_neg]), np.array([1.0] * len(witness) + [-1.0] * len(x_neg))
-        w, b = _svm(x, y, np.where(y > 0, 0.5 / len(witness), 0.5 / len(x_neg)))
+        w, b = _svm(x, y, np.where(y > 0, 0.1 / len(witness), 0.9 / len(x_neg)))
     worst = np.array([(x @ w).max() for x in x_pos] + [max([float(of(s) @ w) for s in d], default=0.0) for d in neg]) + b
     a, c = _logistic(worst, np.array([1.0] * len(pos) + [-1.0] * len(neg)))
     return Model(landmarks, root @ w, b, a, c)
