@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .fingerprints import op10_order_minhash_fingerprints
+from .lm import op8_elias_fano_lm_scores
 from .near import OP5_SQL, op5_minhash_near_duplicates
 from .packing import op7_linear_grouping_packs
 from .quality import op2_importance_quality
+from .sampling import op9_gumbel_segmentations
 from .sharding import op1_hypergeometric_shards
 from .substrings import OP4_SQL, op4_repeated_substrings
 from .tokens import op6_prefix_token_counts
@@ -21,6 +23,8 @@ QUERIES = {
         op5_minhash_near_duplicates,
         op6_prefix_token_counts,
         op7_linear_grouping_packs,
+        op8_elias_fano_lm_scores,
+        op9_gumbel_segmentations,
         op10_order_minhash_fingerprints,
     )
 }
