@@ -11,7 +11,6 @@ opened next. Uniform numbers are hashes of the row's key and the place, so a row
 
 from __future__ import annotations
 
-import struct
 import zlib
 
 import numpy as np
@@ -25,7 +24,9 @@ from .common import documents, schema_with, workers_see_package
 #: Weight of the piece of rank r: 1 / (r + SHIFT).
 SHIFT = 10.0
 #: Edges of lattices that a worker keeps before it starts anew.
-POOL_EDGES = 2_000_000
+POOL_EDGES = 4_000_000
+#: Of the hash by which pieces are found.
+BASE = 0x9E3779B97F4A7C15
 BATCH_CHARS = 1_000_000
 
 
@@ -57,23 +58,38 @@ class Lattices:
                 self.bytes[int(piece[3:5], 16)] = i
                 self.text.append(bytes([int(piece[3:5], 16)]))
             else:
-                usable = not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and score > -1e8
+                # the blank alone has no rank in the file, but any text may need it
+                usable = not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and (score > -1e8 or piece == "▁")
+                score = max(score, -float(sp.get_piece_size()))
                 if usable:
                     self.pieces[piece] = (i, -float(np.log(-score + SHIFT)))
                 self.text.append(piece.replace("▁", " ").encode() if usable else b"")
         self.longest = max(map(len, self.pieces))
         self.byte_weight = -float(np.log(sp.get_piece_size() + SHIFT))
+        # pieces by the hash of their characters
+        hashes = np.array([self._hash(p) for p in self.pieces], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.piece_ids = np.array([x[0] for x in self.pieces.values()], np.int32)[order]
+        self.piece_logs = np.array([x[1] for x in self.pieces.values()])[order]
         self.reset()
 
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * BASE + ord(c) + 1) % 2**64
+        return h
+
     def reset(self) -> None:
         self.units: dict[str, int] = {}
         self.nodes, self.edges = 0, 0
         self.first = np.zeros(1 << 16, np.int64)  # a node's first edge; the next node's ends it
         self.cum = np.zeros(1 << 18)  # node + cumulative chance up to and with the edge
         self.chance = np.zeros(1 << 18)
-        self.target = np.zeros(1 << 18, np.int64)  # next node, -1 at the end
-        self.owner = np.zeros(1 << 18, np.int64)  # the node that the edge leaves
-        self.ids: list[tuple[int, ...]] = []
+        self.target = np.zeros(1 << 18, np.int32)  # next node, -1 at the end
+        self.owner = np.zeros(1 << 18, np.int32)  # the node that the edge leaves
+        self.ids = np.zeros(1 << 18, np.int32)  # piece, or -1 - code point for a character in bytes
 
     @staticmethod
     def normal(text: str) -> str:
@@ -84,56 +100,79 @@ class Lattices:
         return ["▁" + x for x in normal.split("▁")[1:]]
 
     def add(self, units: list[str]) -> None:
-        first, cum, chance, target, owner = [], [], [], [], []
+        """Lattices of new units, all at once: a node before each character and one at the end."""
+        sizes = np.array([len(u) for u in units])
+        begin = np.concatenate([[0], np.cumsum(sizes + 1)])
+        n_nodes = int(begin[-1])
+        end = np.repeat(begin[1:] - 1, sizes + 1)  # each node's last node
+        code = np.zeros(n_nodes, np.uint64)
+        code[np.flatnonzero(np.arange(n_nodes) != end)] = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        left = end - np.arange(n_nodes)  # characters to the end
+        h, at = np.zeros(n_nodes, np.uint64), np.arange(n_nodes)
+        starts, ends, pid, logs = [], [], [], []
+        for size in range(1, self.longest + 1):
+            at = at[left[at] >= size]
+            if not len(at):
+                break
+            h[at] = h[at] * np.uint64(BASE) + code[at + size - 1] + np.uint64(1)
+            k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+            hit = self.hashes[k] == h[at]
+            starts.append(at[hit])
+            ends.append(at[hit] + size)
+            pid.append(self.piece_ids[k[hit]])
+            logs.append(self.piece_logs[k[hit]])
+            if size == 1:
+                rest = at[~hit]
+                c = code[rest].astype(np.int64)
+                starts.append(rest)
+                ends.append(rest + 1)
+                pid.append((-1 - c).astype(np.int32))
+                logs.append(self.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
+        start, stop, pid, logs = (np.concatenate(x) for x in (starts, ends, pid, logs))
+        # log sums over ways to the end, from the last node backwards, in all units at once
+        order = np.lexsort((stop, start, left[start]))
+        start, stop, pid, logs = start[order], stop[order], pid[order], logs[order]
+        total = np.zeros(n_nodes)
+        steps = np.searchsorted(left[start], np.arange(1, int(sizes.max()) + 2))
+        for a, b in zip(steps, steps[1:]):
+            if b > a:
+                w = logs[a:b] + total[stop[a:b]]
+                heads = np.flatnonzero(np.diff(start[a:b], prepend=-1))
+                top = np.maximum.reduceat(w, heads)
+                part = np.exp(w - np.repeat(top, np.diff(np.append(heads, b - a))))
+                total[start[a:b][heads]] = top + np.log(np.add.reduceat(part, heads))
+        logs = logs + total[stop] - total[start]
+        order = np.lexsort((-logs, start))
+        start, stop, pid, chance = start[order], stop[order], pid[order], np.exp(logs[order])
+        last = np.append(np.flatnonzero(np.diff(start)), len(start) - 1)
+        heads = np.append(0, last[:-1] + 1)
+        sums = np.cumsum(chance)
+        cum = sums - np.repeat(sums[heads] - chance[heads], last - heads + 1)
+        cum[last] = 1.0
         node, edge = self.nodes, self.edges
-        log, exp, get = np.log, np.exp, self.pieces.get
-        for u in units:
-            n = len(u)
-            self.units[u] = node
-            scale = [0.0] * (n + 1)  # log of the sum over ways from here to the end
-            outs: list[list] = [[] for _ in range(n)]
-            for i in range(n - 1, -1, -1):
-                found = []
-                for j in range(i + 1, min(n, i + self.longest) + 1):
-                    p = get(u[i:j])
-                    if p is not None:
-                        found.append((j, (p[0],), p[1] + scale[j]))
-                    elif j == i + 1:
-                        raw = u[i:j].encode()
-                        found.append((j, tuple(self.bytes[b] for b in raw), self.byte_weight * len(raw) + scale[j]))
-                top = max(w for _, _, w in found)
-                weights = [float(exp(w - top)) for _, _, w in found]
-                s = sum(weights)
-                scale[i] = top + float(log(s))
-                outs[i] = [(j, ids, w / s) for (j, ids, _), w in zip(found, weights, strict=True)]
-            for i in range(n):
-                first.append(edge)
-                c = 0.0
-                for j, ids, p in outs[i]:
-                    c += p
-                    cum.append(node + i + c)
-                    chance.append(p)
-                    target.append(node + j if j < n else -1)
-                    owner.append(node + i)
-                    self.ids.append(ids)
-                    edge += 1
-                cum[-1] = node + i + 1.0
-            node += n
-        self.first = self._grown(self.first, self.nodes, first, 1)
-        grown = [self._grown(a, self.edges, x, 0) for a, x in ((self.cum, cum), (self.chance, chance), (self.target, target), (self.owner, owner))]
-        self.cum, self.chance, self.target, self.owner = grown
-        self.nodes, self.edges = node, edge
-        self.first[node] = edge
+        self.units.update(zip(units, (node + begin[:-1]).tolist(), strict=True))
+        target = np.where(stop == end[start], -1, stop + node)
+        self.first = self._grown(self.first, node, edge + np.searchsorted(start, np.arange(n_nodes)), 1)
+        new = ((self.cum, node + start + np.minimum(cum, 1.0)), (self.chance, chance), (self.target, target), (self.owner, node + start), (self.ids, pid))
+        self.cum, self.chance, self.target, self.owner, self.ids = (self._grown(a, edge, x, 0) for a, x in new)
+        self.nodes, self.edges = node + n_nodes, edge + len(start)
+        self.first[self.nodes] = self.edges
 
     @staticmethod
-    def _grown(array: np.ndarray, used: int, new: list, spare: int) -> np.ndarray:
+    def _grown(array: np.ndarray, used: int, new: np.ndarray, spare: int) -> np.ndarray:
         if used + len(new) + spare > len(array):
             array = np.concatenate([array[:used], np.zeros(max(len(array), len(new) + spare), array.dtype)])
         array[used : used + len(new)] = new
         return array
 
+    def ids_of(self, edges: np.ndarray) -> np.ndarray:
+        ids = self.ids[edges]
+        if len(ids) and ids.min() < 0:
+            ids = np.array([x for i in ids.tolist() for x in ((i,) if i >= 0 else (self.bytes[b] for b in chr(-1 - i).encode()))], np.int32)
+        return ids
+
     def starts(self, units: list[str]) -> np.ndarray:
-        new = [u for u in dict.fromkeys(units) if u not in self.units]
+        new = list(set(units).difference(self.units))
         if new:
             self.add(new)
         return np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
@@ -143,13 +182,17 @@ class Lattices:
         at = np.flatnonzero(node >= 0)
         node, key, place = node[at], key[at], place[at]
         whose, edges, step = [], [], 0
-        cum = self.cum[: self.edges]
+        cum = self.cum
         while len(at):
-            u = uniform(key, round_, place, step)
-            e = np.minimum(np.searchsorted(cum, node + u, "right"), self.first[node + 1] - 1)
+            x = node + uniform(key, round_, place, step)
+            e = self.first[node]
+            behind = np.flatnonzero(cum[e] < x)
+            while len(behind):  # the likeliest edges come first
+                e[behind] += 1
+                behind = behind[cum[e[behind]] < x[behind]]
             whose.append(at)
             edges.append(e)
-            nxt = self.target[e]
+            nxt = self.target[e].astype(np.int64)
             go = nxt >= 0
             at, node, key, place, step = at[go], nxt[go], key[go], place[go], step + 1
         if not whose:
@@ -212,7 +255,7 @@ class Search:
         return i, t, e, value
 
 
-def sample(lattices: Lattices, keys: list[int], texts: list[str], k: int) -> list[list[tuple[tuple, float, float, float]]]:
+def sample(lattices: Lattices, keys: list[int], texts: list[str], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per text up to k of (ids, log p, perturbed log p, chance of inclusion), best first."""
     l = lattices  # noqa: E741
     if l.edges > POOL_EDGES:
@@ -255,7 +298,7 @@ def sample(lattices: Lattices, keys: list[int], texts: list[str], k: int) -> lis
         limit = s.best()[0] if len(s.paths) == k else -np.inf
         rows = []
         for edges, _, logp, perturbed in s.paths:
-            ids = tuple(x for e in edges.tolist() for x in l.ids[e])
+            ids = l.ids_of(edges)
             inclusion = 1.0 if limit == -np.inf else float(-np.expm1(-np.exp(min(logp - limit, 50.0))))
             rows.append((ids, logp, perturbed, inclusion))
         out.append(rows)
@@ -300,7 +343,7 @@ def sampled_segmentations(df: DataFrame, key: str, model: str = "piece_bpe_32k.m
         for i, found in enumerate(sample(l, keys, texts, k)):
             for j, (ids, logp, perturbed, inclusion) in enumerate(found):
                 row.append(i)
-                new = (j, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)), logp, perturbed, inclusion, decode(l, ids) == texts[i], ids)
+                new = (j, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), logp, perturbed, inclusion, decode(l, ids.tolist()) == texts[i], ids)
                 for c, v in zip(cols, new, strict=False):
                     c.append(v)
         kept = pa.RecordBatch.from_arrays([c for x, c in enumerate(part.columns) if x != at], names=[n for n in names if n != "text"]).take(pa.array(row, pa.int64()))
