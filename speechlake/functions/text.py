@@ -193,11 +193,11 @@ class _Query:
     TOKEN = re.compile(r'"[^"]*"|\(|\)|[^\s()"]+')
 
     def __init__(self, text: str):
-        self.parts = self.TOKEN.findall(text)
+        self.parts = [] if text.count('"') % 2 else self.TOKEN.findall(text)
         self.terms: list[str] = []
 
     def parse(self, t: Column) -> Column:
-        if not self.parts or text_odd(self.parts):
+        if not self.parts:
             raise ValueError("malformed search query")
         out = self._or(t)
         if self.parts:
@@ -244,10 +244,6 @@ class _Query:
         return line.contains(" " + " ".join(words) + ("" if prefix else " "))
 
 
-def text_odd(parts: list[str]) -> bool:
-    return any(p == '"' for p in parts)
-
-
 def search(segments: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
     """transcript_id, segment_id, speaker_id, snippet of matching segments by (transcript_id, seq).
 

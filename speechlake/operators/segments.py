@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 
-IN_ORDER = Window.partitionBy("transcript_id").orderBy("seq")
+def in_order():
+    return Window.partitionBy("transcript_id").orderBy("seq")
 
 
 def strip(text: Column) -> Column:
@@ -26,7 +27,7 @@ def tokens(text: Column) -> Column:
 
 def with_turn_taking(segments: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Adds overlap_with_prev_ms, gap_before_ms (bigint) and is_interruption."""
-    prev = lambda c: F.lag(c).over(IN_ORDER)
+    prev = lambda c: F.lag(c).over(in_order())
     s = segments.withColumns(
         {
             "__delta": F.col("start_ms") - prev("end_ms"),
@@ -54,7 +55,7 @@ def with_turn_taking(segments: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def interruption_counts(annotated: DataFrame) -> DataFrame:
     """interruptions_made and interruptions_received per transcript and speaker that has any."""
-    pairs = annotated.withColumn("previous", F.lag("speaker_id").over(IN_ORDER)).where("is_interruption")
+    pairs = annotated.withColumn("previous", F.lag("speaker_id").over(in_order())).where("is_interruption")
     sides = F.array(
         F.struct(F.col("speaker_id").alias("speaker_id"), F.lit(1).alias("made"), F.lit(0).alias("received")),
         F.struct(F.col("previous").alias("speaker_id"), F.lit(0).alias("made"), F.lit(1).alias("received")),
@@ -67,7 +68,7 @@ def interruption_counts(annotated: DataFrame) -> DataFrame:
 
 def find_gaps(segments: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Silences of min_gap_ms and more between neighbours."""
-    nxt = lambda c: F.lead(c).over(IN_ORDER)
+    nxt = lambda c: F.lead(c).over(in_order())
     out = segments.select(
         "transcript_id",
         F.col("segment_id").alias("after_segment_id"),
@@ -87,12 +88,12 @@ def with_islands(segments: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     A segment joins the one before if the speaker is the same and it starts at most turn_gap_ms after the largest end so
     far of the same speaker's unbroken run. Segments must not end before they start.
     """
-    s = segments.withColumn("__turn", (F.lag("speaker_id").over(IN_ORDER) != F.col("speaker_id")).cast("int"))
-    s = s.withColumn("__run", F.sum(F.coalesce("__turn", F.lit(0))).over(IN_ORDER))
+    s = segments.withColumn("__turn", (F.lag("speaker_id").over(in_order()) != F.col("speaker_id")).cast("int"))
+    s = s.withColumn("__run", F.sum(F.coalesce("__turn", F.lit(0))).over(in_order()))
     in_run = Window.partitionBy("transcript_id", "__run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("__reach", F.max("end_ms").over(in_run))
     cut = F.col("__reach").isNull() | (F.col("start_ms") - F.col("__reach") > cfg.turn_gap_ms)
-    return s.withColumn("island", F.sum(cut.cast("bigint")).over(IN_ORDER)).drop("__turn", "__run", "__reach")
+    return s.withColumn("island", F.sum(cut.cast("bigint")).over(in_order())).drop("__turn", "__run", "__reach")
 
 
 def fold_quality(parts: Column) -> Column:

@@ -1,13 +1,11 @@
 """A relational store of transcripts in plain Parquet: versioned tables, upsert, cascade, and its read queries.
 
-A table is a folder with a folder per version; the pointer file _CURRENT names the one that readers see. A writer puts
-the new version beside the old one and then replaces the pointer, so readers see all of a change or none.
+A table is a folder with a numbered folder per version. Readers take the newest one that was finished (Spark's success
+mark is written last), so they see all of a change or none; two writers of one version collide and one fails.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,32 +15,27 @@ class Table:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._p = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+        self._p = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._p(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def version(self) -> str | None:
-        at = self._p(f"{self.path}/_CURRENT")
-        if not self._fs.exists(at):
-            return None
-        return self.spark.read.text(f"{self.path}/_CURRENT").first()[0]
+    def version(self) -> int:
+        """Number of the newest finished version, 0 if there is none."""
+        if not self._fs.exists(self._p(self.path)):
+            return 0
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._p(self.path))]
+        done = [n for n in names if n.startswith("v-") and self._fs.exists(self._p(f"{self.path}/{n}/_SUCCESS"))]
+        return max((int(n[2:]) for n in done), default=0)
 
     def read(self) -> DataFrame:
         v = self.version()
-        if v is None:
+        if not v:
             raise ValueError(f"no such table: {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{v}")
-
-    def write(self, df: DataFrame) -> str:
-        v = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{v}")
-        out = self._fs.create(self._p(f"{self.path}/.next-{v}"), True)
-        out.write(bytearray(v.encode()))
-        out.close()
-        current = self._p(f"{self.path}/_CURRENT")
-        if self._fs.exists(current):
-            self._fs.delete(current, False)
-        self._fs.rename(self._p(f"{self.path}/.next-{v}"), current)
+        return self.spark.read.parquet(f"{self.path}/v-{v:012d}")
+
+    def write(self, df: DataFrame) -> int:
+        """The next version; fails if another writer has begun it."""
+        v = self.version() + 1
+        df.write.parquet(f"{self.path}/v-{v:012d}")
         return v
 
 
