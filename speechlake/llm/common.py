@@ -57,6 +57,11 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fitted(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more partitions than its rows need, so that small tables cost few tasks; large ones stay as they are."""
+    return df.coalesce(max(8, rows // 50_000))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

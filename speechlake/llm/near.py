@@ -2,11 +2,11 @@
 
 1. Every text gets the set of its 5-word shingles (64-bit hashes), PERMUTATIONS minima under universal hashes, and a
    128-bit digest of its words. Texts with one digest are one class; the smallest doc_id stands for it.
-2. Representatives meet in BANDS bands of ROWS minima. In each band's bucket all link to the bucket's smallest doc_id; a
-   pair is compared by signature, then confirmed on the full sets. So a bucket of n costs n pairs, not n squared.
-3. Confirmed links make components. Where a bucket still holds several, its members meet again, by pairs of bands, and
-   all pairs across components are verified. A pair of similarity 0.75 shares ten bands on average; the chance that it
-   shares none is 5e-6, that it shares only one 8e-5.
+2. Representatives meet in BANDS bands of ROWS minima. In each band's bucket all are held against its hub, the
+   member that shares most buckets with others; a pair is compared by signature, then confirmed on the full sets. So a
+   bucket of n costs n pairs. A pair of similarity 0.75 shares ten bands on average, and none with a chance of 5e-6.
+3. Confirmed links make components. Texts in buckets that still hold several are compared across components, block by
+   block: no link between members other than the hub is lost, and no pair becomes a row.
 4. Components of all links; copies take their class's.
 """
 
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDS, documents, first_of_runs, schema_with, windows, workers_see_package, written
+from .common import WORDS, documents, first_of_runs, fitted, schema_with, windows, workers_see_package, written
 from .components import connected_components
 
 WIDTH = 5
@@ -26,6 +26,8 @@ PERMUTATIONS, ROWS = 128, 4
 BANDS = PERMUTATIONS // ROWS
 #: Similarity from which texts are linked, in hundredths.
 LINK = 75
+#: Texts of a block that is compared as a whole.
+BLOCK = 128
 #: Signatures that agree in fewer places are not looked at further: five standard deviations below 0.75.
 LEAST_AGREEING = int(PERMUTATIONS * (0.75 - 5 * (0.75 * 0.25 / PERMUTATIONS) ** 0.5))
 _RNG = np.random.default_rng(20)
@@ -98,7 +100,7 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
-def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
     """(rep, shingles as bytes) of the representatives in ids."""
 
     def build(batches):
@@ -111,11 +113,21 @@ def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
                     out.append(shingles(words).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(out, pa.binary())], names=["rep", "shingles"])
 
-    wanted = classes.join(ids, "rep").select(F.col("rep").alias("doc_id"), "digest")
+    wanted = fitted(classes.join(ids, "rep"), rows).select(F.col("rep").alias("doc_id"), "digest")
     found = docs.join(wanted, "doc_id").select("doc_id", "text", "digest").mapInArrow(build, "rep long, shingles binary")
     return found.dropDuplicates(["rep"])
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets reach the similarity."""
+    if 100 * min(len(x), len(y)) < LINK * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    union = int(first_of_runs(both).sum())
+    return 100 * (len(x) + len(y) - union) >= LINK * union
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v) of pairs whose full sets reach the similarity."""
 
@@ -123,11 +135,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                union = int(first_of_runs(both).sum())
-                keep.append(100 * (len(x) + len(y) - union) >= LINK * union)
+                keep.append(similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("xa"))
@@ -135,15 +143,71 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(confirm, "u long, v long")
 
 
-def _links(spark, docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+def _links(spark, docs: DataFrame, classes: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
     """Confirmed (u, v) of candidate pairs (a, b)."""
     one = classes.select(F.col("rep").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na"))
     two = classes.select(F.col("rep").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb"))
-    sized = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= LINK * F.greatest("na", "nb"))
-    near = written(spark, _agreeing(sized), f"{name}-near")
-    ids = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
-    sets = written(spark, _sets(docs, classes, ids), f"{name}-sets")
-    return written(spark, _confirmed(near, sets), f"{name}-links")
+    sized = fitted(fitted(pairs.join(one, "a"), rows).join(two, "b"), rows)
+    sized = sized.where(100 * F.least("na", "nb") >= LINK * F.greatest("na", "nb"))
+    near = written(spark, _agreeing(sized), "near")
+    n = near.count()
+    ids = fitted(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), n)
+    sets = written(spark, _sets(docs, classes, ids, n), "sets")
+    return written(spark, _confirmed(near, sets), "links")
+
+
+def _cross_links(spark, docs: DataFrame, classes: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Confirmed (u, v) across the components of mixed (band, rep, component): buckets that hold several components.
+
+    Texts that meet in such buckets, directly or by others, form a group. A group is cut into blocks of BLOCK texts, and
+    blocks are compared in pairs: signatures as matrices, then the full sets of those that may be near. So a pair of
+    texts costs 128 comparisons of numbers and no row, and a task holds a few blocks, whatever the size of the group.
+    """
+    first = mixed.groupBy("band").agg(F.min("rep").alias("v"))
+    n = mixed.count()
+    edges = fitted(mixed.join(written(spark, fitted(first, n), "first"), "band"), n).select(F.col("rep").alias("u"), "v")
+    groups = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("g"))
+    each = fitted(mixed.select("rep", "component").distinct(), n).join(groups, "rep")
+    each = written(spark, fitted(each, n), "grouped")
+    size = written(spark, fitted(each.groupBy("g").agg(F.count(F.lit(1)).alias("n")), n), "sizes")
+    sets = written(spark, _sets(docs, classes, each.select("rep"), n), "sets")
+    rows = fitted(fitted(each.join(size, "g"), n).join(sets, "rep"), n).join(classes.select("rep", "signature"), "rep")
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    rows = fitted(rows.select("g", part.alias("part"), "rep", "component", "signature", "shingles"), n)
+
+    def block(t: pa.Table) -> pa.Table:
+        cols = {"g": t.column("g").slice(0, 1), "part": t.column("part").slice(0, 1)}
+        lists = {new: [t.column(c).to_pylist()] for c, new in (("rep", "reps"), ("component", "components"), ("signature", "signatures"), ("shingles", "sets"))}
+        return pa.table({**cols, **lists})
+
+    kinds = "g long, part int, reps array<long>, components array<long>, signatures array<binary>, sets array<binary>"
+    blocks = written(spark, rows.groupBy("g", "part").applyInArrow(block, kinds), "blocks")
+
+    def compare(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                us, vs = [], []
+                sig = [np.frombuffer(b"".join(r[k]), np.uint32).reshape(-1, PERMUTATIONS) for k in ("a_signatures", "b_signatures")]
+                comp = [np.array(r[k]) for k in ("a_components", "b_components")]
+                for i, row in enumerate(sig[0]):
+                    near = ((sig[1] == row).sum(1) >= LEAST_AGREEING) & (comp[1] != comp[0][i])
+                    if near.any():
+                        x = np.frombuffer(r["a_sets"][i], np.uint64)
+                        for j in np.flatnonzero(near).tolist():
+                            if similar(x, np.frombuffer(r["b_sets"][j], np.uint64)):
+                                us.append(r["a_reps"][i])
+                                vs.append(r["b_reps"][j])
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    named = lambda x: blocks.select("g", *[F.col(c).alias(f"{x}_{c}") for c in ("part", "reps", "components", "signatures", "sets")])
+    met = named("a").join(named("b"), "g").where("a_part <= b_part")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "4")  # a row holds two blocks
+    try:
+        return written(spark, met.mapInArrow(compare, "u long, v long"), "links")
+    finally:
+        spark.conf.set(batch, before)
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:
@@ -157,42 +221,42 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     df = df.drop("n_shingles", "component_id", "kept", "digest", "signature", "component")
     base = written(spark, described(df), "described")
+    rows = base.count()
     docs = df.select("doc_id", "text").where("doc_id is not null")
     classes = base.where("doc_id is not null and n_shingles > 0").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
     )
-    classes = written(spark, classes, "classes")
+    classes = written(spark, fitted(classes, 4 * rows), "classes")
     band = [F.xxhash64(F.lit(i), F.substring("signature", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)]
     banded = classes.select("rep", F.explode(F.array(*band)).alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last")
-    leaders = written(spark, leaders.select("band", "leader"), "leaders")
-    members = written(spark, banded.join(leaders, "band"), "members")
-    pairs = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _links(spark, docs, classes, pairs, "star")
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(spark, fitted(shared, BANDS * rows // 4), "shared")
+    members = written(spark, fitted(banded.join(shared, "band"), BANDS * rows // 4), "members")
+    # the hub of a bucket: the text that shares most elsewhere, an original rather than one of its copies
+    reach = written(spark, fitted(members.groupBy("rep").agg(F.sum("n").alias("reach")), rows), "reach")
+    members = written(spark, fitted(members.select("rep", "band").join(reach, "rep"), BANDS * rows // 4), "members")
+    hub = members.groupBy("band").agg(F.max_by("rep", F.struct("reach", -F.col("rep"))).alias("hub"))
+    hub = written(spark, fitted(hub, BANDS * rows // 4), "hubs")
+    pairs = members.join(hub, "band").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+    pairs = fitted(fitted(pairs, BANDS * rows // 4).distinct(), rows)
+    links = _links(spark, docs, classes, pairs, rows)
     found = connected_components(links)
 
     of = found.select(F.col("node").alias("rep"), "component")
     placed = members.join(of, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-    placed = written(spark, placed, "placed")
+    members = members.select("band", "rep")
+    met = members.count()
+    placed = written(spark, fitted(placed, met), "placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
-    mixed = placed.join(written(spark, mixed.select("band"), "mixed"), "band")
-    both = mixed.groupBy("rep", "component").agg(F.sort_array(F.collect_set("band")).alias("bands"))  # BANDS at most
-    two = F.flatten(
-        F.transform("bands", lambda x, i: F.transform(F.slice("bands", i + 2, BANDS), lambda y: F.xxhash64(x, y)))
-    )
-    keyed = written(spark, both.select("rep", "component", F.explode(two).alias("key")), "keyed")
-    several = keyed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
-    keyed = written(spark, keyed.join(written(spark, several.select("key"), "several"), "key"), "keyed")
-    left = keyed.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    right = keyed.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    pairs = left.join(right, "key").where("ca <> cb and a < b").select("a", "b").distinct()
-    more = _links(spark, docs, classes, pairs, "cross")
+    mixed = fitted(placed.join(written(spark, fitted(mixed.select("band"), met), "mixed"), "band"), met)
+    mixed = written(spark, mixed, "mixed-members")
+    more = _cross_links(spark, docs, classes, mixed)
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
 
     of = found.select(F.col("node").alias("rep"), "component")
     named = classes.join(of, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    named = written(spark, named, "named")
+    named = written(spark, fitted(named, rows), "named")
     out = base.join(named, "digest", "left").drop("digest", "signature")
     own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     out = out.withColumn("component_id", F.when(own, F.col("component")).otherwise(F.col("doc_id"))).drop("component")
