@@ -160,11 +160,11 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "transcript_id", "duration_ms", F.concat(F.lit("/Audio/Call_"), F.col("conv_id").cast("string"), F.lit(".wav")).alias("source_path"),
         F.when(F.col("conv_id") % 3 == 0, F.lit("huddle")).otherwise(F.lit("sales")).alias("meeting_type"),
         F.when(F.col("conv_id") % 4 != 0, day).alias("recorded_at"), F.lit("2024-06-01 00:00:00").alias("created_at"),
-        F.when(F.col("conv_id") % 5 == 0, "failed").otherwise("ok").alias("diarization_state"), F.md5((F.col("conv_id") % 60).cast("string").cast("binary")).alias("content_audio_fp"),
+        F.when(F.col("conv_id") % 5 == 0, "failed").otherwise("ok").alias("diarization_state"), F.md5((F.col("conv_id") % 11).cast("string").cast("binary")).alias("content_audio_fp"),
     )
 
 
 TRANSCRIPTS_SQL = """
 transcripts AS (SELECT transcript_id, max(end_ms) AS duration_ms, '/Audio/Call_' || conv_id || '.wav' AS source_path, CASE WHEN conv_id % 3 = 0 THEN 'huddle' ELSE 'sales' END AS meeting_type,
   CASE WHEN conv_id % 4 <> 0 THEN printf('2024-%02d-%02dT10:00:00', conv_id % 12 + 1, conv_id % 28 + 1) END AS recorded_at, '2024-06-01 00:00:00' AS created_at,
-  CASE WHEN conv_id % 5 = 0 THEN 'failed' ELSE 'ok' END AS diarization_state, md5((conv_id % 60)::VARCHAR) AS content_audio_fp FROM segments GROUP BY conv_id, transcript_id)"""
+  CASE WHEN conv_id % 5 = 0 THEN 'failed' ELSE 'ok' END AS diarization_state, md5((conv_id % 11)::VARCHAR) AS content_audio_fp FROM segments GROUP BY conv_id, transcript_id)"""
