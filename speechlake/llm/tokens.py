@@ -72,6 +72,8 @@ class PrefixCounter:
         self.letters = byte_letters()
         self.good: dict[tuple[int, int], bool] = {}
         self.chunks: dict[str, int] = {}
+        self.whole: dict[str, int] = {}
+        self.inner: dict[str, tuple[int, int]] = {}  # (last token, tokens) of beginnings of words that go on
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether token b stays apart from token a before it."""
@@ -123,6 +125,47 @@ class PrefixCounter:
                     break
         return ends
 
+    def _going_on(self, w: str) -> None:
+        """Fills inner for all beginnings of w; words share theirs."""
+        inner, vocab, good, known = self.inner, self.vocab, self.good, len(w)
+        while known and w[:known] not in inner:
+            known -= 1
+        for i in range(known + 1, len(w) + 1):
+            for start in range(max(0, i - self.longest), i):
+                t = vocab.get(w[start:i])
+                if t is not None:
+                    if not start:
+                        inner[w[:i]] = (t, 1)
+                        break
+                    before, n = inner[w[:start]]
+                    if good[before, t] if (before, t) in good else self.compatible(before, t):
+                        inner[w[:i]] = (t, n + 1)
+                        break
+
+    def word_count(self, word: str) -> int:
+        """Tokens of a word: the last entry of word_prefixes, with beginnings known from other words."""
+        n = self.whole.get(word)
+        if n is None:
+            w = self.letters_of(word)
+            if len(w) > 64:
+                n = self._program(w)[-1]
+            else:
+                if len(self.inner) > CACHE_ENTRIES:
+                    self.inner.clear()
+                self._going_on(w[:-1])
+                for start in range(max(0, len(w) - self.longest), len(w)):
+                    t = self.final.get(w[start:])
+                    if t is not None:
+                        if not start:
+                            n = 1
+                            break
+                        before, k = self.inner[w[:start]]
+                        if self.compatible(before, t):
+                            n = k + 1
+                            break
+            self.whole[word] = n
+        return n
+
     def normal(self, text: str) -> str:
         """As the tokenizer's normalizer does; code points as they count for prefixes."""
         if not text.isascii():
@@ -132,7 +175,7 @@ class PrefixCounter:
         return text.lower()
 
     def _chunk(self, chunk: str) -> int:
-        return sum(self._program(self.letters_of(w))[-1] for w in self.words.findall(chunk))
+        return sum(map(self.word_count, self.words.findall(chunk)))
 
     def _spaced(self, text: str) -> list[str]:
         return text.split() if not self.ODD_SPACE.search(text) else [x for x in self.SPACE.split(text) if x]
@@ -161,6 +204,8 @@ class PrefixCounter:
         if len(known) > CACHE_ENTRIES:
             known.clear()
             self.good.clear()
+            self.whole.clear()
+            self.inner.clear()
         for c in set(chunks).difference(known):
             known[c] = self._chunk(c)
         return list(map(known.__getitem__, chunks))
