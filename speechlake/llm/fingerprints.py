@@ -4,6 +4,10 @@ A document's k-mers are its runs of `kmer` words, numbered by occurrence: the se
 hash of (k-mer, number) sends each to one of SLOTS ranges of the hash space, a min-wise sample each. A slot takes its
 two minimal hashes, puts them in text order, and hashes the pair. So a slot agrees if both documents hold the same two
 k-mers in the same order: swapped, repeated or replaced passages show, as they do in the edit distance and not in a set.
+
+A short text leaves ranges with one k-mer or none, and one k-mer has no order. The filled signature takes the two minima
+of such a slot over all k-mers, by a hash of the slot's own; where a slot of both texts lacks k-mers they are compared
+by that sample, and where only one lacks them they differ, since the other's pair is not in it.
 """
 
 from __future__ import annotations
@@ -53,8 +57,12 @@ def _slot(x: Column) -> Column:
     return F.shiftright(x["h"], 64 - SLOT_BITS)
 
 
-def signature(text: Column, kmer: int = 3) -> Column:
-    """Array of SLOTS longs; null where a slot got no k-mer. A text of 1 to kmer - 1 words is one k-mer; an empty or null one has none."""
+def signatures(text: Column, kmer: int = 3) -> Column:
+    """Struct of two arrays of SLOTS longs. A text of 1 to kmer - 1 words is one k-mer; an empty or null one has none.
+
+    signature: of each slot's own k-mers; null where it got none. filled: slots with fewer than two take theirs from all
+    k-mers; null as a whole if no slot needs that, as it equals signature then.
+    """
 
     def kmers(h: Column) -> Column:
         n = F.size(h)
@@ -80,9 +88,37 @@ def signature(text: Column, kmer: int = 3) -> Column:
             lambda j: F.get(F.transform(F.filter(t, lambda x: x["slot"] == j.cast("long")), lambda x: x["value"]), F.lit(0)),
         )
 
+    def rehashed(k: Column, slot: Column) -> Column:
+        """The value of a slot whose two minima are over all k-mers."""
+
+        def value(m: Column) -> Column:
+            x, y = F.get(m, F.lit(0)), F.get(m, F.lit(1))
+            pair = F.when(x["p"] <= y["p"], F.xxhash64(x["h"], y["h"])).otherwise(F.xxhash64(y["h"], x["h"]))
+            return F.when(y.isNotNull(), pair).when(x.isNotNull(), F.xxhash64(x["h"]))
+
+        return let(F.sort_array(F.transform(k, lambda x: F.struct(F.xxhash64(x["h"], slot).alias("h"), x["p"].alias("p")))), value)
+
+    def filled(k: Column, m: Column, own: Column) -> Column:
+        def one(value: Column, i: Column) -> Column:
+            slot = (i - SLOTS // 2).cast("long")
+            return F.when(F.size(F.filter(m, lambda x: _slot(x) == slot)) == 2, value).otherwise(rehashed(k, slot))
+
+        return F.when(F.size(m) < 2 * SLOTS, F.transform(own, one))
+
+    def both(k: Column) -> Column:
+        def of(m: Column) -> Column:
+            return let(let(tuples(m), dense), lambda own: F.struct(own.alias("signature"), filled(k, m, own).alias("filled")))
+
+        return let(minima(k), of)
+
     hashes = F.transform(words_of(F.coalesce(text, F.lit(""))), lambda w: F.xxhash64(w))
-    keyed = let(let(hashes, kmers), lambda k: F.sort_array(_keyed(k)))
-    return let(let(let(keyed, minima), tuples), dense)
+    return let(let(let(hashes, kmers), lambda k: F.sort_array(_keyed(k))), both)
+
+
+def signature(text: Column, kmer: int = 3, fill: bool = False) -> Column:
+    """Array of SLOTS longs: with fill, null only for a text without words, else also where a slot got no k-mer."""
+    both = signatures(text, kmer)
+    return let(both, lambda s: F.coalesce(s["filled"], s["signature"])) if fill else both["signature"]
 
 
 def signature_text(signature: Column) -> Column:
@@ -98,12 +134,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(held == 0, F.lit(1.0)).otherwise(same / held)
 
 
-def fingerprints(df: DataFrame, text: str = "text", kmer: int = 3, name: str = "signature") -> DataFrame:
+def fingerprints(df: DataFrame, text: str = "text", kmer: int = 3, name: str = "signature", fill: bool = False) -> DataFrame:
     """df with the column `name` (replaced if there): the Order MinHash signature of each whole text.
 
-    Null and empty texts have all slots null; equal texts have equal signatures.
+    Null and empty texts have all slots null; equal texts have equal signatures. Without `fill`, slots of texts of up to
+    some hundred words lack the order of k-mers.
     """
-    return df.withColumn(name, signature(F.col(text), kmer))
+    return df.withColumn(name, signature(F.col(text), kmer, fill))
 
 
 def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -132,17 +169,23 @@ def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def op10_order_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns named ordered_ are of the filled signatures, those without of the slots' own k-mers."""
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    docs = fingerprints(documents(spark, sf_dir).select("doc_id", text))
-    both = with_next(docs, ["text", "signature"])
+    docs = documents(spark, sf_dir).select("doc_id", text).withColumn("both", signatures(F.col("text")))
+    both = with_next(docs, ["text", "both"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), "signature", "next_signature", edited.alias("edited"))
-    both = fingerprints(both, "edited", name="edited_signature")
+    both = both.select("doc_id", n.cast("long").alias("n_chars"), "both", "next_both", edited.alias("edited"))
+    both = both.withColumn("edited_both", signatures(F.col("edited")))
+    own, edited_own, next_own = (F.col(c)["signature"] for c in ("both", "edited_both", "next_both"))
+    ordered, edited_ordered, next_ordered = (F.coalesce(F.col(c)["filled"], F.col(c)["signature"]) for c in ("both", "edited_both", "next_both"))
     return both.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signature_text(F.col("signature")).alias("fingerprint"),
-        signature_text(F.col("edited_signature")).alias("edited_fingerprint"),
-        likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
-        likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signature_text(own).alias("fingerprint"),
+        signature_text(edited_own).alias("edited_fingerprint"),
+        likeness(own, edited_own).alias("near_edited"),
+        likeness(own, next_own).alias("near_next"),
+        signature_text(ordered).alias("ordered_fingerprint"), signature_text(edited_ordered).alias("edited_ordered_fingerprint"),
+        likeness(ordered, edited_ordered).alias("ordered_near_edited"),
+        likeness(ordered, next_ordered).alias("ordered_near_next"),
     )

@@ -79,3 +79,54 @@ def test_awkward_and_empty(awkward, nothing):
     out = P.with_next(cols, ["doc_id", "text"]).collect()
     assert len(out) == awkward.count() and {r["next_doc_id"] for r in out} == {None, 7, 8, 9}
     assert P.with_next(nothing.select("doc_id", "text"), ["text"]).count() == 0
+
+
+def brute_filled(text, k=3):
+    """Slots of fewer than two k-mers take the two minima of all k-mers by a hash of their own."""
+    w = [xxhash.xxh64_intdigest(x.encode(), 42) for x in re.findall("[^\x20\x09-\x0d]+", text or "")]
+    mers = [h64(w[i + 2], h64(w[i + 1], h64(w[i]))) for i in range(len(w) - k + 1)]
+    if w and len(w) < k:
+        seed = 42
+        for x in w:
+            seed = h64(x, seed)
+        mers = [seed]
+    seen, keyed = {}, []
+    for p, m in enumerate(mers):
+        seen[m] = seen.get(m, -1) + 1
+        keyed.append((signed(hint(seen[m], h64(m))), p))
+    out = brute(text, k)
+    for i, slot in enumerate(range(-P.SLOTS // 2, P.SLOTS // 2)):
+        if sum(x[0] >> (64 - P.SLOT_BITS) == slot for x in keyed) < 2:
+            two = sorted((signed(h64(slot, h64(h))), p) for h, p in keyed)[:2]
+            two.sort(key=lambda x: x[1])
+            out[i] = None if not two else signed(h64(two[0][0])) if len(two) == 1 else signed(h64(two[1][0], h64(two[0][0])))
+    return out
+
+
+def test_filled_signatures_equal_brute_force(spark, docs, rows):
+    text = {i: t for i, t, *_ in rows}
+    for r in P.fingerprints(docs, fill=True).collect():
+        assert r["signature"] == brute_filled(text[r["doc_id"]])
+
+
+def test_order_shows_in_short_texts(spark):
+    """Two halves swapped: most pairs of k-mers change their order, in texts of a dozen words as in long ones."""
+    pairs = [(" ".join(w), " ".join(w[n // 2 :] + w[: n // 2])) for n in (12, 20, 33, 55) for d in range(40) for w in [[f"w{d}x{i}" for i in range(n)]]]
+    df = spark.createDataFrame(pairs, "a string, b string").coalesce(1)
+    out = df.select(P.likeness(P.signature(F.col("a"), fill=True), P.signature(F.col("b"), fill=True)).alias("x"), F.size(F.split("a", " ")).alias("n")).groupBy("n").agg(F.avg("x").alias("x"))
+    for r in out.collect():
+        n = r["n"]  # of n k-mers in either text two are not in the other; a pair agrees if both are of the same half
+        law = sum((x - 2) * (x - 3) for x in (n // 2, n - n // 2)) / (n * (n - 1))
+        assert abs(r["x"] - law) < 0.05
+
+
+def test_query_compares_filled_signatures(spark, sf, rows):
+    order = sorted(rows, key=lambda r: -r[0])
+    out = {r["doc_id"]: r for r in P.op10_order_minhash_fingerprints(spark, sf).collect()}
+    for k, (i, t, *_) in enumerate(order):
+        t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        r = out[i]
+        assert r["ordered_near_edited"] == pytest.approx(like(brute_filled(t), brute_filled(edited)))
+        assert r["ordered_near_next"] == pytest.approx(like(brute_filled(t), brute_filled(nxt)))
+        assert r["ordered_fingerprint"].count(".") == (0 if t.split() else 8 * P.SLOTS)
