@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .common import documents, ranked, workers_see_package
 
-#: numpy draws exactly below this size; above, the normal law with the same mean and variance stands in.
+#: numpy draws from the hypergeometric law below this size; above, two binomial draws are repeated until their sum fits.
 EXACT_BELOW = 1_000_000_000
 
 
@@ -28,9 +28,14 @@ def _one(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
     total = good + bad
     if total < EXACT_BELOW:
         return int(rng.hypergeometric(good, bad, take))
-    share = good / total
-    spread = np.sqrt(take * share * (1 - share) * (total - take) / max(1, total - 1))
-    return int(np.clip(round(rng.normal(take * share, spread)), max(0, take - bad), min(good, take)))
+    # binomial draws of good and bad at one rate, given their sum, follow the hypergeometric law, whatever the rate
+    rate = take / total
+    tries = int(4 * np.sqrt(total * rate * (1 - rate))) + 16
+    while True:
+        x = rng.binomial(good, rate, tries)
+        fits = np.flatnonzero(x + rng.binomial(bad, rate, tries) == take)
+        if len(fits):
+            return int(x[fits[0]])
 
 
 def draw(rng: np.random.Generator, capacity: np.ndarray, take: int) -> np.ndarray:

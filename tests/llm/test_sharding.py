@@ -43,6 +43,18 @@ def test_matrix_margins_and_law():
     assert big.sum() == 2 * 10**9 and abs(big[0] / 1.5e9 - 1) < 1e-3
 
 
+def test_large_draws_follow_the_law():
+    """Ten of two billion, a hundredth taken: two or more in 0.43 of 100 draws; a rounded normal draw never gives them."""
+    rng = np.random.default_rng(3)
+    n, x = 2000, []
+    for _ in range(n):
+        x.append(S._one(rng, 10, 2 * 10**9 - 10, 2 * 10**7))
+    for value, law in ((0, 0.99**10), (1, 10 * 0.01 * 0.99**9)):
+        assert abs(x.count(value) / n - law) < 4 * (law * (1 - law) / n) ** 0.5
+    assert 1 <= sum(v >= 2 for v in x) <= 22
+    assert [S._one(rng, 2 * 10**9, 3, t) for t in (0, 2 * 10**9 + 3)] == [0, 2 * 10**9]
+
+
 def test_query(spark, sf, rows):
     out = S.op1_hypergeometric_shards(spark, sf).collect()
     check(out, len(rows), 40)
