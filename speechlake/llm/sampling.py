@@ -11,6 +11,7 @@ opened next. Uniform numbers are hashes of the row's key and the place, so a row
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -43,7 +44,7 @@ def uniform(*parts) -> np.ndarray:
 
 
 class Lattices:
-    """Lattices of a vocabulary's units (a word with the blank before it), in common arrays of nodes and edges."""
+    """Lattices of a vocabulary's units (a word with the blanks before it), in common arrays of nodes and edges."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -58,8 +59,8 @@ class Lattices:
                 self.bytes[int(piece[3:5], 16)] = i
                 self.text.append(bytes([int(piece[3:5], 16)]))
             else:
-                # the blank alone has no rank in the file, but any text may need it
-                usable = not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and (score > -1e8 or piece == "▁")
+                # blanks alone, one or several, have no rank in the file, but texts need them
+                usable = not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and (score > -1e8 or not piece.strip("▁"))
                 score = max(score, -float(sp.get_piece_size()))
                 if usable:
                     self.pieces[piece] = (i, -float(np.log(-score + SHIFT)))
@@ -97,7 +98,8 @@ class Lattices:
 
     @staticmethod
     def units_of(normal: str) -> list[str]:
-        return ["▁" + x for x in normal.split("▁")[1:]]
+        """No piece has a blank behind another character, so the text's segmentations are those of its units, joined."""
+        return re.findall("▁+[^▁]*", normal)
 
     def add(self, units: list[str]) -> None:
         """Lattices of new units, all at once: a node before each character and one at the end."""

@@ -89,3 +89,29 @@ def test_awkward_empty_and_clashing(awkward, nothing):
     out = M.sampled_segmentations(awkward.withColumn("sample", F.lit("x")), "doc_id", k=2).collect()
     assert {r["n_chars"]: 0 for r in out} and len(out) == 3 + 2 * (awkward.count() - 3) and all(r["decoded"] for r in out)
     assert M.sampled_segmentations(nothing, "doc_id").count() == 0
+
+
+def test_runs_of_blanks_have_their_pieces(lattices):
+    """Pieces of several blanks are sampled, with exact probabilities."""
+    text = " a    b "
+    units = [every(lattices, u) for u in lattices.units_of(lattices.normal(text))]
+    law = {(): 1.0}
+    for u in units:
+        law = {a + b: x * y for a, x in law.items() for b, y in u.items()}
+    total, blanks = sum(law.values()), {lattices.pieces["▁" * n][0] for n in range(2, 17) if "▁" * n in lattices.pieces}
+    rows = M.sample(lattices, [3], [text], len(law) + 1)[0]
+    assert len(blanks) == 14 and {tuple(r[0].tolist()) for r in rows} == set(law)
+    assert all(r[1] == pytest.approx(np.log(law[tuple(r[0].tolist())] / total), abs=1e-9) and M.decode(lattices, r[0].tolist()) == text for r in rows)
+    assert any(blanks & set(r[0].tolist()) for r in rows)
+
+
+def test_library_decodes_to_the_text(spark, docs, rows):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert not any("▁" in sp.id_to_piece(i).lstrip("▁") for i in range(sp.get_piece_size()))
+    code = [(10**6 + i, "if x:\n" + " " * n + "y  =   1" + " " * n) for i, n in enumerate([1, 2, 4, 8, 15, 16, 17, 40])]
+    text = {**{i: t or "" for i, t, *_ in rows}, **dict(code)}
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(code, "doc_id long, text string"))
+    for r in M.sampled_segmentations(both, "doc_id", k=2, keep_ids=True).where("n_pieces > 0").collect():
+        assert sp.decode(r["ids"]) == text[r["doc_id"]] and r["decoded"]
