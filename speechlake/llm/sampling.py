@@ -367,4 +367,4 @@ def sampled_segmentations(df: DataFrame, key: str, model: str = "piece_bpe_32k.m
 
 
 def op9_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampled_segmentations(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", k=2)
+    return sampled_segmentations(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")

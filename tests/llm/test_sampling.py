@@ -115,3 +115,12 @@ def test_library_decodes_to_the_text(spark, docs, rows):
     both = docs.select("doc_id", "text").union(spark.createDataFrame(code, "doc_id long, text string"))
     for r in M.sampled_segmentations(both, "doc_id", k=2, keep_ids=True).where("n_pieces > 0").collect():
         assert sp.decode(r["ids"]) == text[r["doc_id"]] and r["decoded"]
+
+
+def test_query_gives_three_segmentations(spark, sf, rows):
+    out = M.op9_gumbel_segmentations(spark, sf).collect()
+    samples = {}
+    for r in out:
+        samples.setdefault(r["doc_id"], []).append(r["sample"])
+    assert all(r["decoded"] for r in out) and set(samples) == {i for i, *_ in rows}
+    assert all(sorted(samples[i]) == [0, 1, 2] for i, t, *_ in rows if len((t or "").strip()) > 5)
