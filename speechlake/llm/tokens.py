@@ -16,6 +16,7 @@ import unicodedata
 from bisect import bisect_right
 from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -70,14 +71,21 @@ class PrefixCounter:
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split.replace(r"\s", self.BLANK))
         self.letters = byte_letters()
-        self.good: dict[tuple[int, int], bool] = {}
+        self.good: dict[int, bool] = {}
         self.chunks: dict[str, int] = {}
         self.whole: dict[str, int] = {}
-        self.inner: dict[str, tuple[int, int]] = {}  # (last token, tokens) of beginnings of words that go on
+        # finds all tokens that end at a place, the longest first; a blank after a word marks its end
+        if self.longest > 126 or max(ids.values()) >= 1 << 23:
+            raise ValueError("tokens or ids too long for the finder's 32-bit values")
+        self.finder = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for shown, end in ((self.vocab, ""), (self.final, " ")):
+            for token, i in shown.items():
+                self.finder.add_word(token + end, i << 8 | len(token + end) << 1 | bool(end))
+        self.finder.make_automaton()
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether token b stays apart from token a before it."""
-        key = (a, b)
+        key = a << 32 | b
         known = self.good.get(key)
         if known is None:
             known = self.good[key] = self._apart(a, b)
@@ -107,7 +115,7 @@ class PrefixCounter:
         return self._program(self.letters_of(word))
 
     def _program(self, w: str) -> list[int]:
-        n, longest, vocab, final, good = len(w), self.longest, self.vocab, self.final, self.good
+        n, longest, vocab, final = len(w), self.longest, self.vocab, self.final
         last, count, ends = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
             inner = outer = False
@@ -115,56 +123,33 @@ class PrefixCounter:
                 piece, before = w[start:i], last[start]
                 if not inner:
                     t = vocab.get(piece)
-                    if t is not None and (start == 0 or (good[before, t] if (before, t) in good else self.compatible(before, t))):
+                    if t is not None and (start == 0 or self.compatible(before, t)):
                         last[i], count[i], inner = t, count[start] + 1, True
                 if not outer:
                     t = final.get(piece)
-                    if t is not None and (start == 0 or (good[before, t] if (before, t) in good else self.compatible(before, t))):
+                    if t is not None and (start == 0 or self.compatible(before, t)):
                         ends[i], outer = count[start] + 1, True
                 if inner and outer:
                     break
         return ends
 
-    def _going_on(self, w: str) -> None:
-        """Fills inner for all beginnings of w; words share theirs."""
-        inner, vocab, good, known = self.inner, self.vocab, self.good, len(w)
-        while known and w[:known] not in inner:
-            known -= 1
-        for i in range(known + 1, len(w) + 1):
-            for start in range(max(0, i - self.longest), i):
-                t = vocab.get(w[start:i])
-                if t is not None:
-                    if not start:
-                        inner[w[:i]] = (t, 1)
-                        break
-                    before, n = inner[w[:start]]
-                    if good[before, t] if (before, t) in good else self.compatible(before, t):
-                        inner[w[:i]] = (t, n + 1)
-                        break
-
-    def word_count(self, word: str) -> int:
-        """Tokens of a word: the last entry of word_prefixes, with beginnings known from other words."""
-        n = self.whole.get(word)
-        if n is None:
-            w = self.letters_of(word)
-            if len(w) > 64:
-                n = self._program(w)[-1]
-            else:
-                if len(self.inner) > CACHE_ENTRIES:
-                    self.inner.clear()
-                self._going_on(w[:-1])
-                for start in range(max(0, len(w) - self.longest), len(w)):
-                    t = self.final.get(w[start:])
-                    if t is not None:
-                        if not start:
-                            n = 1
-                            break
-                        before, k = self.inner[w[:start]]
-                        if self.compatible(before, t):
-                            n = k + 1
-                            break
-            self.whole[word] = n
-        return n
+    def _counts(self, words: list[str]) -> list[int]:
+        """Tokens of each word: the program over the prefixes of all of them in one pass, of which only the last entries are kept."""
+        joined = " ".join(map(self.letters_of, words)) + " "
+        last, count = [-1] * (len(joined) + 1), [0] * (len(joined) + 1)
+        good, compatible, done, out = self.good, self.compatible, -1, []
+        for end, found in self.finder.iter(joined):
+            if end == done:  # a longer token is known already
+                continue
+            start = end + 1 - ((found & 0xFF) >> 1)
+            before, t = last[start], found >> 8
+            if before < 0 or (good[key] if (key := before << 32 | t) in good else compatible(before, t)):
+                done = end
+                if found & 1:
+                    out.append(count[start] + 1)
+                else:
+                    last[end + 1], count[end + 1] = t, count[start] + 1
+        return out
 
     def normal(self, text: str) -> str:
         """As the tokenizer's normalizer does; code points as they count for prefixes."""
@@ -174,9 +159,6 @@ class PrefixCounter:
                 text = text.replace("Σ", "σ")
         return text.lower()
 
-    def _chunk(self, chunk: str) -> int:
-        return sum(map(self.word_count, self.words.findall(chunk)))
-
     def _spaced(self, text: str) -> list[str]:
         return text.split() if not self.ODD_SPACE.search(text) else [x for x in self.SPACE.split(text) if x]
 
@@ -191,8 +173,13 @@ class PrefixCounter:
 
     def count(self, text: str) -> int:
         """Tokens of the whole text."""
+        return self.counted(text)[0]
+
+    def counted(self, text: str) -> tuple[int, int]:
+        """Tokens and code points of the whole normalised text."""
         parts = self.segments(text)
-        return len(parts) - 1 + sum(sum(self.chunk_counts(p)) for p in parts)
+        tokens = len(parts) - 1 + sum(sum(self.chunk_counts(p)) for p in parts)
+        return tokens, sum(map(len, parts)) + (_special_chars(self, text) if len(parts) > 1 else 0)
 
     def chunk_counts(self, segment: str) -> list[int]:
         known = self.chunks
@@ -201,13 +188,15 @@ class PrefixCounter:
             return list(map(known.__getitem__, chunks))
         except KeyError:
             pass
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-            self.good.clear()
-            self.whole.clear()
-            self.inner.clear()
-        for c in set(chunks).difference(known):
-            known[c] = self._chunk(c)
+        for cache, most in ((known, CACHE_ENTRIES), (self.whole, CACHE_ENTRIES), (self.good, 4 * CACHE_ENTRIES)):
+            if len(cache) > most:
+                cache.clear()
+        whole, split = self.whole, self.words.findall
+        new = [(c, (c,) if c.isascii() and c.isalpha() else split(c)) for c in set(chunks).difference(known)]
+        words = list({w for _, ws in new for w in ws}.difference(whole))
+        if words:
+            whole.update(zip(words, self._counts(words), strict=True))
+        known.update((c, sum(map(whole.__getitem__, ws))) for c, ws in new)
         return list(map(known.__getitem__, chunks))
 
     def prefix_counts(self, segment: str) -> np.ndarray:
@@ -265,7 +254,8 @@ def token_counts(df: DataFrame, tokenizer: str, budget: int = 2048, prefixes: bo
     n_tokens is the tokenizer's count for the whole text, without added special tokens; special strings in the text count
     as the one token they stand for. n_fitting_chars: code points of the normalised text that fit into `budget` tokens.
     prefix_tokens (array<int>): the count of every prefix of the normalised text by code point (texts with special
-    strings: of the stretch before the first). A null text counts as empty: 0 tokens. Columns of df with these names are
+    strings: of the stretch before the first). A null text counts as empty: 0 tokens. Repeated rows count alike; a word of
+    any length is one program, linear in its characters. An empty df gives no rows. Columns of df with these names are
     replaced. `tokenizer` names a file of public_tokenizers or is a path that executors can open.
     """
     workers_see_package(df.sparkSession)
@@ -277,8 +267,9 @@ def token_counts(df: DataFrame, tokenizer: str, budget: int = 2048, prefixes: bo
         c = counter(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
         for b in batches:
             texts = [x or "" for x in b.column(at).to_pylist()]
-            n = [c.count(x) for x in texts]
-            fits = [len("".join(c.segments(x))) + _special_chars(c, x) if k <= budget else c.longest_prefix(x, budget) for x, k in zip(texts, n, strict=True)]
+            counted = [c.counted(x) for x in texts]
+            n = [k for k, _ in counted]
+            fits = [chars if k <= budget else c.longest_prefix(x, budget) for x, (k, chars) in zip(texts, counted, strict=True)]
             new = [pa.array(n, pa.int64()), pa.array(fits, pa.int64())]
             if prefixes:
                 new.append(pa.array([c.prefix_counts(c.segments(x)[0]).tolist() for x in texts], pa.list_(pa.int32())))
