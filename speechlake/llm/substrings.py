@@ -1,118 +1,108 @@
 """Exact removal of repeated word windows.
 
-Every window of `width` consecutive words gets a Rabin-Karp hash (64 bits). A map task keeps, for each hash among some
-million words, the smallest doc_id, and sends hash and doc_id, packed, to the hash's bucket; a larger doc_id in the same
-task is already known to be a repeat. A bucket finds each hash's smallest doc_id overall and answers with the (doc_id,
-hash) pairs to remove. So a window that a third of all documents share costs a bucket one entry per map chunk. The
-answers meet their documents by doc_id, where overlapping windows merge into maximal intervals.
+Every window of `width` consecutive words gets two Rabin-Karp hashes, 96 bits together. A chunk of texts keeps, for each
+hash, its smallest doc_id, and sends both to the hash's bucket; a larger doc_id in the same chunk is already known to be
+a repeat. A bucket finds each hash's smallest doc_id overall and answers with one bit per entry: whether an earlier
+document holds it. So a window that a third of all documents share costs a bucket one entry per chunk. The answers meet
+their chunk, whose texts travel compressed, and overlapping windows merge into maximal intervals.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import (
-    WORDS,
-    buckets_of,
-    documents,
-    first_of_runs,
-    pack,
-    pack_sorted,
-    schema_with,
-    shuffle_partitions,
-    unpack,
-    unpack_sorted,
-    windows,
-    workers_see_package,
-)
-
-#: Words of a map task's documents that are worked on at a time.
-CHUNK_WORDS = 1_000_000
+from .common import buckets_of, documents, first_of_runs, pack, pack_sorted, schema_with, unpack, unpack_sorted, workers_see_package
+from .words import BASES, Words, bits_of, blocks, chunks, flags_of, n_buckets, order_of, rolling, rows_of
 
 
 def split_words(text: str | None) -> list[bytes]:
-    """Runs of bytes other than space and 9 to 13; no word for a null text."""
+    """Runs of bytes other than space and 9 to 13; no word for a null text. Words finds the same in a column."""
     return text.encode().split() if text else []
 
 
-def _chunks(batches, limit: int):
-    """(doc_ids, numbers of words, words) of some documents at a time, by ascending doc_id."""
-    docs, n = [], 0
-    for b in batches:
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            words = split_words(text.as_py())
-            docs.append((doc, words))
-            n += len(words)
-            if n >= limit:
-                yield docs
-                docs, n = [], 0
-    if docs:
-        yield docs
-
-
-def repeated_windows(df: DataFrame, width: int, buckets: int | None = None) -> DataFrame:
-    """(doc_id, h): hashes of a document's windows that also start in a document with a smaller doc_id.
-
-    df has doc_id (long, not null) and text. A document may have several rows.
+def grouped(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): a stable order by (hi, lo) and where a new pair begins in it."""
+    order = order_of(hi)
+    a, b = hi[order], lo[order]
+    new = first_of_runs(a)
+    if (~new & first_of_runs(b)).any():  # 64 bits agree, the others don't
+        order = np.lexsort((lo, hi))
+        new = first_of_runs(hi[order]) | first_of_runs(lo[order])
+    return order, new
+
+
+class Windows:
+    """The windows of a chunk's documents and, by ascending hash, the distinct ones with their smallest doc_id."""
+
+    def __init__(self, rows: pa.RecordBatch, words: Words, doc_at: int, text_at: int, width: int):
+        ids = rows.column(doc_at)
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        ids = ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+        if (ids[1:] < ids[:-1]).any():  # places in ascending doc_id, so that the first of equal windows has the smallest
+            by_id = np.argsort(ids, kind="stable")
+            rows, ids, known = rows.take(pa.array(by_id)), ids[by_id], known[by_id]
+            words = Words(rows.column(text_at))
+        self.rows, self.words = rows, words
+        hi, lo = (rolling(words.h, width, base) for base in BASES)
+        text = words.text[: len(hi)]
+        self.at = np.flatnonzero((text == words.text[width - 1 :]) & known[text]) if len(hi) else np.empty(0, np.int64)
+        doc = ids[text[self.at]] if len(hi) else np.empty(0, np.int64)
+        hi, lo = hi[self.at], (lo[self.at] >> np.uint64(32)).astype(np.uint32)
+        self.order, new = grouped(hi, lo)
+        first = self.order[new]
+        self.hi, self.lo, self.doc = hi[first], lo[first], doc[first]
+        self.run = np.cumsum(new) - 1
+        self.later = doc[self.order] > self.doc[self.run]  # than the smallest of this chunk
+
+    def gone(self, earlier: np.ndarray) -> np.ndarray:
+        """First words of the windows to remove; earlier: the distinct windows that an earlier document holds."""
+        return self.at[self.order[self.later | earlier[self.run]]]
+
+
+def _digest(hi: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(hi, initial=np.uint64(len(hi))).view(np.int64))
+
+
+def repeated_windows(df: DataFrame, width: int, buckets: int) -> DataFrame:
+    """(chunk, bucket, earlier, digest): of each chunk's distinct windows, which also start in a document with a smaller doc_id.
+
+    df has doc_id (long) and text.
     """
-    n_buckets = buckets or 2 * shuffle_partitions(df.sparkSession)
+    names = ["chunk", "bucket", "low", "hi", "lo", "doc"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def send(batches):
-        for docs in _chunks(batches, CHUNK_WORDS):
-            docs.sort(key=lambda x: x[0])
-            lens = np.array([len(w) for _, w in docs])
-            ids = np.array([d for d, _ in docs], np.int64)
-            h = windows(WORDS.of([w for _, words in docs for w in words]), width)
-            if not len(h):
+        for number, rows, words in chunks(batches, 1):
+            w = Windows(rows, words, 0, 1, width)
+            if not len(w.hi):
                 continue
-            at = np.repeat(np.arange(len(docs)), lens)
-            inside = at[: len(h)] == at[width - 1 :]
-            h, doc = h[inside], ids[at[: len(h)][inside]]
-            order = np.argsort(h, kind="stable")
-            h, doc = h[order], doc[order]
-            first = first_of_runs(h)
-            again = ~first
-            again[1:] &= doc[1:] != doc[:-1]
-            least = doc[first][np.cumsum(first) - 1]
-            again &= doc != least
-            own_h, own_doc = h[again], doc[again]
-            order = np.argsort(own_doc, kind="stable")
-            own_h, own_doc = own_h[order], own_doc[order]
-            h, doc = h[first], doc[first]
-            edges = np.searchsorted(buckets_of(h, n_buckets), np.arange(n_buckets + 1, dtype=np.uint64))
-            cuts = np.linspace(0, len(own_h), n_buckets + 1).astype(int)
-            rows = []
-            for k in range(n_buckets):
-                a, b, c, d = edges[k], edges[k + 1], cuts[k], cuts[k + 1]
-                if b > a or d > c:
-                    low = int(min([*doc[a:b][:1], *own_doc[c : c + 1], *([doc[a:b].min()] if b > a else [])]))
-                    rows.append(
-                        (k, low, pack_sorted(h[a:b]), pack((doc[a:b] - low).astype(np.uint64)), pack(own_h[c:d]), pack((own_doc[c:d] - low).astype(np.uint64)))
-                    )
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=packed)
-
-    names = ["bucket", "low", "h", "doc", "own_h", "own_doc"]
-    packed = pa.schema([("bucket", pa.int32()), ("low", pa.int64()), *((n, pa.binary()) for n in names[2:])])
-
-    def answer(rows):
-        low = np.array([r["low"] for r in rows], np.int64)
-        part = lambda name, f: [f(r[name]) for r in rows]
-        hs, ds = part("h", unpack_sorted), part("doc", unpack)
-        h = np.concatenate(hs)
-        doc = np.concatenate([x.astype(np.int64) + m for x, m in zip(ds, low, strict=True)])
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        first = first_of_runs(h)
-        least = doc[first][np.cumsum(first) - 1] if len(h) else doc
-        gone = doc > least
-        own = np.concatenate([x.astype(np.int64) + m for x, m in zip(part("own_doc", unpack), low, strict=True)])
-        h = np.concatenate([h[gone], *part("own_h", unpack)]).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([doc[gone], own])), pa.array(h)], names=["doc_id", "h"])
+            edges = np.searchsorted(buckets_of(w.hi, buckets), np.arange(buckets + 1, dtype=np.uint64)).tolist()
+            low = int(w.doc.min())
+            doc = (w.doc - low).astype(np.uint64)
+            out = [(number, k, low, pack_sorted(w.hi[a:b]), w.lo[a:b].tobytes(), pack(doc[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    def answer(rows: list[dict]):
+        each = [unpack_sorted(r["hi"]) for r in rows]
+        hi = np.concatenate(each)
+        lo = np.frombuffer(b"".join(r["lo"] for r in rows), np.uint32)
+        doc = np.concatenate([unpack(r["doc"]).astype(np.int64) + r["low"] for r in rows])
+        order, new = grouped(hi, lo)
+        by_hash = doc[order]
+        least = np.minimum.reduceat(by_hash, np.flatnonzero(new))
+        earlier = np.empty(len(doc), bool)
+        earlier[order] = by_hash > least[np.cumsum(new) - 1]
+        cuts = np.cumsum([len(x) for x in each])[:-1]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["bucket"] for r in rows], pa.int32()),
+                pa.array([bits_of(x) for x in np.split(earlier, cuts)], pa.binary()), pa.array([_digest(x) for x in each], pa.int64()),
+            ],
+            names=["chunk", "bucket", "earlier", "digest"],
+        )
 
     def receive(batches):
         rows: list[dict] = []
@@ -125,20 +115,44 @@ def repeated_windows(df: DataFrame, width: int, buckets: int | None = None) -> D
         if rows:
             yield answer(rows)
 
-    sent = df.select("doc_id", "text").mapInArrow(send, "bucket int, low long, h binary, doc binary, own_h binary, own_doc binary")
-    dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(receive, "doc_id long, h long")
-
-
-def spans_of(h: np.ndarray, gone: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Maximal intervals [start, end) of words that the windows with a hash in `gone` cover."""
-    starts = np.flatnonzero(np.isin(h, gone))
-    if not len(starts):
-        return []
-    new = np.ones(len(starts), bool)
-    new[1:] = starts[1:] > starts[:-1] + width
-    last = np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)
-    return list(zip(starts[new].tolist(), (starts[last] + width).tolist(), strict=True))
+    sent = df.select("doc_id", "text").mapInArrow(send, "chunk long, bucket int, low long, hi binary, lo binary, doc binary")
+    dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(receive, "chunk long, bucket int, earlier binary, digest long")
+
+
+def _spans(words: Words, starts: np.ndarray, width: int) -> tuple[np.ndarray, pa.ListArray]:
+    """Which words go, and each row's maximal intervals [start, end) of them, for windows that begin at `starts`."""
+    change = np.zeros(len(words.h) + 1, np.int32)
+    change[starts] += 1
+    change[starts + width] -= 1
+    gone = np.cumsum(change[:-1]) > 0
+    begins, ends = gone.copy(), gone.copy()
+    new = first_of_runs(words.text)
+    begins[1:] &= ~gone[:-1] | new[1:]
+    ends[:-1] &= ~gone[1:] | new[1:]
+    at, to = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    before = words.first[words.text[at]]
+    spans = pa.StructArray.from_arrays([pa.array(at - before, pa.int32()), pa.array(to - before, pa.int32())], names=["start", "end"])
+    return gone, pa.ListArray.from_arrays(pa.array(np.searchsorted(at, words.first), pa.int32()), spans)
+
+
+def _kept_texts(words: Words, gone: np.ndarray) -> pa.Array:
+    """Each row's words that stay, joined by one space."""
+    stays = np.flatnonzero(~gone)
+    text = words.text[stays]
+    more = np.zeros(len(stays), bool)  # another one follows in the text, hence a blank behind the word
+    more[:-1] = text[1:] == text[:-1]
+    start, end = words.start[stays], words.end[stays]
+    data = words.data.copy()
+    data[end[more]] = 32
+    change = np.zeros(len(data) + 1, np.int8)
+    change[start] += 1
+    change[end[~more]] -= 1
+    change[end[more] + 1] -= 1
+    kept = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
+    cuts = np.concatenate([[0], np.cumsum(kept)])[words.cuts]
+    buffers = [None, pa.py_buffer(cuts.astype(np.int64).tobytes()), pa.py_buffer(data[kept].tobytes())]
+    return pa.LargeStringArray.from_buffers(len(words.lens), *buffers[1:]).cast(pa.string())
 
 
 def remove_repeats(df: DataFrame, width: int = 13) -> DataFrame:
@@ -148,35 +162,36 @@ def remove_repeats(df: DataFrame, width: int = 13) -> DataFrame:
     windows are judged on the input. Adds n_words, n_removed (long), removed_spans (array of [start, end) word
     intervals, maximal) and kept_text (the kept words joined by one space); columns of df with these names are replaced.
     A null or empty text has no words and kept_text ''. A null doc_id is smaller than none: such a row neither loses
-    words nor makes others lose theirs. Rows that share a doc_id are one document: none removes from the other.
+    words nor makes others lose theirs. Rows that share a doc_id are one document: none removes from the other. A very
+    long text is a chunk of its own; an empty df gives no rows. df must give the same rows in the same partitions each
+    time (a scan does); other rows than were hashed raise an error.
     """
     workers_see_package(df.sparkSession)
-    df = df.drop("n_words", "n_removed", "removed_spans", "kept_text", "__hashes")
-    gone = repeated_windows(df.where("doc_id is not null"), width)
-    gone = gone.groupBy("doc_id").agg(F.collect_list("h").alias("__hashes"))
-    text = df.schema.fieldNames().index("text")
+    df = df.drop("n_words", "n_removed", "removed_spans", "kept_text")
+    names = df.schema.fieldNames()
+    doc_at, text_at = names.index("doc_id"), names.index("text")
+    buckets = n_buckets(df)
+    found = repeated_windows(df, width, buckets)
     out = schema_with(df, "n_words long, n_removed long, removed_spans array<struct<start:int,end:int>>, kept_text string")
 
-    def clean(batches):
-        for b in batches:
-            n_words, n_removed, spans, kept = [], [], [], []
-            for x, hashes in zip(b.column(text), b.column(b.num_columns - 1), strict=True):
-                words = split_words(x.as_py())
-                found = []
-                if hashes.is_valid:
-                    gone = hashes.values.to_numpy().view(np.uint64)
-                    found = spans_of(windows(WORDS.of(words), width), gone, width)
-                n_words.append(len(words))
-                n_removed.append(sum(e - s for s, e in found))
-                spans.append([{"start": s, "end": e} for s, e in found])
-                for s, e in reversed(found):
-                    del words[s:e]
-                kept.append(b" ".join(words).decode())
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string()]
-            new = [pa.array(v, k) for v, k in zip((n_words, n_removed, spans, kept), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=out.fieldNames())
-
-    return df.join(gone, "doc_id", "left").select(*df.columns, "__hashes").mapInArrow(clean, out)
+    def clean(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = rows_of(left.column("rows")[0].as_py())
+        w = Windows(rows, Words(rows.column(text_at)), doc_at, text_at, width)
+        edges = np.searchsorted(buckets_of(w.hi, buckets), np.arange(buckets + 1, dtype=np.uint64)).tolist()
+        earlier = np.zeros(len(w.hi), bool)
+        answers = {r["bucket"]: r for r in right.to_pylist()}
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            if b > a:
+                if k not in answers or answers[k]["digest"] != _digest(w.hi[a:b]):
+                    raise RuntimeError("a chunk's texts changed between two reads")
+                earlier[a:b] = flags_of(answers[k]["earlier"], b - a)
+        words = w.words
+        gone, spans = _spans(words, w.gone(earlier), width)
+        n_removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first])
+        new = [pa.array(words.lens, pa.int64()), pa.array(n_removed, pa.int64()), spans, _kept_texts(words, gone)]
+        return pa.table([*w.rows.columns, *new], names=out.fieldNames())
+
+    return blocks(df).groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(clean, out)
 
 
 def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
