@@ -1,5 +1,4 @@
 import math
-import tempfile
 import zlib
 from collections import Counter
 
@@ -13,24 +12,41 @@ def tokens(text):
     return [*(text or "").encode().lower().split(), L.END]
 
 
-def brute(rows, train):
-    one, two, starts = Counter(), Counter(), 0
+#: Stated apart from the module: what a byte can stand for, and the strength of shorter n-grams.
+STEPS = [*range(65), *(66 * (2.0**40 / 66) ** (i / 190) for i in range(191))]
+STRENGTH = {2: 100.0, 3: 5.0}
+
+
+def stepped(c):
+    """The step nearest to c in ratio."""
+    return 0.0 if not c else float(min(STEPS[1:], key=lambda s: abs(math.log(s / c))))
+
+
+def brute(rows, train, order=3):
+    counts, starts = Counter(), 0
     for i, t, *_ in rows:
         if train(i):
             w = tokens(t)
             starts += 1
-            one.update(w)
-            two.update(zip([None, *w], w))
-    n, v = sum(one.values()), len(one)
-    grid = lambda c: float(L.GRID[L.weight_of(np.array([float(c)]))[0]])
+            counts.update((x,) for x in w)
+            padded = [None, *w]
+            for k in range(2, order + 1):
+                counts.update(tuple(padded[j : j + k]) for j in range(len(padded) - k + 1))
+    n = sum(c for g, c in counts.items() if len(g) == 1)
+    v = sum(len(g) == 1 for g in counts)
+    counts[(None,)] = starts
     for i, t, *_ in rows:
         w = tokens(t)
-        single = [(one[x] + 1) / (n + v + 1) for x in w]
-        score = 0.0
-        for a, b, p in zip([None, *w], w, single):
-            c = starts if a is None else one[a]
-            score += math.log10(L.PRIOR / (c + L.PRIOR) * (p + grid(two[a, b]) / L.PRIOR))
-        yield i, len(w), sum(one[x] > 0 for x in w), n, sum(map(math.log10, single)), score
+        padded, base, score = [None, *w], 0.0, 0.0
+        for j, x in enumerate(w, 1):
+            p = (counts[(x,)] + 1) / (n + v + 1)
+            base += math.log10(p)
+            for k in range(2, order + 1):
+                gram = tuple(padded[j - k + 1 : j + 1]) if j >= k - 1 else None
+                c, context = (stepped(counts[gram]), stepped(counts[gram[:-1]])) if gram else (0.0, 0.0)
+                p = (c + STRENGTH[k] * p) / (context + STRENGTH[k])
+            score += math.log10(p)
+        yield i, len(w), sum(counts[(x,)] > 0 for x in w), n, base, score
 
 
 def compare(out, expected):
@@ -48,15 +64,29 @@ def test_equals_brute_force(spark, sf, rows, monkeypatch):
 
 def test_elias_fano_finds_what_is_there():
     rng = np.random.default_rng(1)
-    for n, universe in ((1, 5), (50, 60), (3000, 1 << 20), (3000, 1 << 45), (0, 10)):
+    for n, universe in ((1, 5), (50, 60), (3000, 1 << 20), (3000, 1 << 45), (7, 1 << 63), (0, 10)):
         values = np.unique(rng.integers(0, universe, n, dtype=np.uint64))
-        with tempfile.TemporaryDirectory() as d:
-            L.EliasFano.write(d, "x", values, universe)
-            e = L.EliasFano(d, "x")
-            assert (e.access(np.arange(len(values))) == values).all()
-            asked = np.concatenate([values, rng.integers(0, universe, 500, dtype=np.uint64)])
-            at = {int(v): i for i, v in enumerate(values)}
-            assert e.find(asked).tolist() == [at.get(int(x), -1) for x in asked]
+        e = L.EliasFano(L.EliasFano.build(values, universe))
+        assert (e.access(np.arange(len(values))) == values).all()
+        asked = np.concatenate([values, rng.integers(0, universe, 500, dtype=np.uint64)])
+        at = {int(v): i for i, v in enumerate(values)}
+        assert e.find(asked).tolist() == [at.get(int(x), -1) for x in asked]
+
+
+def test_trie_is_compact_and_exact():
+    rng = np.random.default_rng(2)
+    keys = np.unique((rng.integers(0, 5000, 200_000, dtype=np.uint64) * np.uint64(858_993) << np.uint64(32)) | rng.integers(0, 1 << 32, 200_000, dtype=np.uint64))
+    weights = rng.integers(1, 256, len(keys)).astype(np.uint8)
+    trie = L.Trie(keys, weights)
+    assert (trie(keys) == weights).all() and not trie(keys + np.uint64(1))[~np.isin(keys + np.uint64(1), keys)].any()
+    assert len(trie.block) < 6.5 * len(keys)
+
+
+def test_orders(spark, sf, rows):
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    for order in (1, 2):
+        out = L.lm_scores(df, F.col("doc_id") % 2 == 0, order).collect()
+        compare(out, brute([r for r in rows], lambda i: i is not None and i % 2 == 0, order))
 
 
 def test_probabilities_sum_to_one_without_quantising():
