@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -33,9 +34,11 @@ def workers_see_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset, one of our own, on a single machine only."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="speechlake-checkpoint-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -54,11 +57,35 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/speechlake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+class Scratch:
+    """Tables in the shared folder that go as soon as free() is called, but for those it names; these stay for the session."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        out = written(self.spark, df, name)
+        self.paths.append(out.table_path)
+        return out
+
+    def free(self, *keep: DataFrame) -> None:
+        kept = {df.table_path for df in keep}
+        for path in self.paths:
+            if path not in kept:
+                _remove(self.spark, path)
+        self.paths = [p for p in self.paths if p in kept]
 
 
 def fitted(df: DataFrame, rows: int) -> DataFrame:
-    """df in no more partitions than its rows need, so that small tables cost few tasks; large ones stay as they are."""
+    """df in no more partitions than the rows of its largest input need, so that small tables cost few tasks.
+
+    coalesce() also narrows the stage that computes df: `rows` must count the larger side of a join.
+    """
     return df.coalesce(max(8, rows // 50_000))
 
 

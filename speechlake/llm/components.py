@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fitted, written
+from .common import Scratch, fitted, written
 
 
-def _least(edges: DataFrame, rows: int) -> DataFrame:
+def _least(tables: Scratch, edges: DataFrame, rows: int) -> DataFrame:
     """Smallest neighbour of each u, as a table of its own so that a join with a hot u can be split."""
-    return written(edges.sparkSession, fitted(edges.groupBy("u").agg(F.min("v").alias("m")), rows), "least")
+    return tables.written(fitted(edges.groupBy("u").agg(F.min("v").alias("m")), rows), "least")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,20 +26,25 @@ def connected_components(links: DataFrame) -> DataFrame:
     are, every component is a star around its smallest node. Each round is written to the shared folder.
     """
     spark = links.sparkSession
+    tables = Scratch(spark)
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     rows = edges.count()
-    edges = written(spark, fitted(edges.distinct(), rows), "edges")
+    edges = tables.written(fitted(edges.distinct(), rows), "edges")
     state = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least(both, rows).select("u", F.least("u", "m").alias("m"))
+        least = _least(tables, both, rows).select("u", F.least("u", "m").alias("m"))
         large = fitted(both.where("v > u").join(least, "u"), rows).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(spark, fitted(large.distinct(), rows), "large")
-        least = _least(large, rows)
+        large = tables.written(fitted(large.distinct(), rows), "large")
+        least = _least(tables, large, rows)
         tied = fitted(large.join(least, "u"), rows).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(spark, fitted(tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), rows), "edges")
+        edges = tables.written(fitted(tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), rows), "edges")
         before, state = state, _state(edges)
+        tables.free(edges)
         if state == before:
             break
     roots = fitted(edges.select(F.col("v").alias("node")).distinct(), rows).withColumn("component", F.col("node"))
-    return written(spark, edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    found = written(spark, found, "components")
+    tables.free()
+    return found

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDS, documents, first_of_runs, fitted, schema_with, windows, workers_see_package, written
+from .common import WORDS, Scratch, documents, first_of_runs, fitted, schema_with, windows, workers_see_package
 from .components import connected_components
 
 WIDTH = 5
@@ -30,6 +30,8 @@ LINK = 75
 BLOCK = 128
 #: Signatures that agree in fewer places are not looked at further: five standard deviations below 0.75.
 LEAST_AGREEING = int(PERMUTATIONS * (0.75 - 5 * (0.75 * 0.25 / PERMUTATIONS) ** 0.5))
+#: Rows (doc_id and digest, some 40 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 500_000
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -100,8 +102,8 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
-def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
-    """(rep, shingles as bytes) of the representatives in ids."""
+def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, wanted_rows: int, rows: int) -> DataFrame:
+    """(rep, shingles as bytes) of the representatives in ids. Few of them are sent to the texts, many meet them in a join."""
 
     def build(batches):
         for b in batches:
@@ -114,6 +116,7 @@ def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, rows: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(out, pa.binary())], names=["rep", "shingles"])
 
     wanted = fitted(classes.join(ids, "rep"), rows).select(F.col("rep").alias("doc_id"), "digest")
+    wanted = F.broadcast(wanted) if wanted_rows <= BROADCAST_ROWS else wanted
     found = docs.join(wanted, "doc_id").select("doc_id", "text", "digest").mapInArrow(build, "rep long, shingles binary")
     return found.dropDuplicates(["rep"])
 
@@ -143,37 +146,33 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(confirm, "u long, v long")
 
 
-def _links(spark, docs: DataFrame, classes: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
+def _links(tables: Scratch, classes: DataFrame, sets: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
     """Confirmed (u, v) of candidate pairs (a, b)."""
     one = classes.select(F.col("rep").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na"))
     two = classes.select(F.col("rep").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb"))
     sized = fitted(fitted(pairs.join(one, "a"), rows).join(two, "b"), rows)
     sized = sized.where(100 * F.least("na", "nb") >= LINK * F.greatest("na", "nb"))
-    near = written(spark, _agreeing(sized), "near")
-    n = near.count()
-    ids = fitted(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), n)
-    sets = written(spark, _sets(docs, classes, ids, n), "sets")
-    return written(spark, _confirmed(near, sets), "links")
+    return tables.written(_confirmed(_agreeing(sized), sets), "links")
 
 
-def _cross_links(spark, docs: DataFrame, classes: DataFrame, mixed: DataFrame) -> DataFrame:
+def _cross_links(tables: Scratch, classes: DataFrame, sets: DataFrame, mixed: DataFrame, rows: int) -> DataFrame:
     """Confirmed (u, v) across the components of mixed (band, rep, component): buckets that hold several components.
 
     Texts that meet in such buckets, directly or by others, form a group. A group is cut into blocks of BLOCK texts, and
     blocks are compared in pairs: signatures as matrices, then the full sets of those that may be near. So a pair of
     texts costs 128 comparisons of numbers and no row, and a task holds a few blocks, whatever the size of the group.
     """
+    spark = tables.spark
     first = mixed.groupBy("band").agg(F.min("rep").alias("v"))
     n = mixed.count()
-    edges = fitted(mixed.join(written(spark, fitted(first, n), "first"), "band"), n).select(F.col("rep").alias("u"), "v")
+    edges = fitted(mixed.join(tables.written(fitted(first, n), "first"), "band"), n).select(F.col("rep").alias("u"), "v")
     groups = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("g"))
     each = fitted(mixed.select("rep", "component").distinct(), n).join(groups, "rep")
-    each = written(spark, fitted(each, n), "grouped")
-    size = written(spark, fitted(each.groupBy("g").agg(F.count(F.lit(1)).alias("n")), n), "sizes")
-    sets = written(spark, _sets(docs, classes, each.select("rep"), n), "sets")
-    rows = fitted(fitted(each.join(size, "g"), n).join(sets, "rep"), n).join(classes.select("rep", "signature"), "rep")
+    each = tables.written(fitted(each, n), "grouped")
+    size = tables.written(fitted(each.groupBy("g").agg(F.count(F.lit(1)).alias("n")), n), "sizes")
+    texts = fitted(fitted(each.join(size, "g"), n).join(sets, "rep"), rows).join(classes.select("rep", "signature"), "rep")
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    rows = fitted(rows.select("g", part.alias("part"), "rep", "component", "signature", "shingles"), n)
+    texts = fitted(texts.select("g", part.alias("part"), "rep", "component", "signature", "shingles"), rows)
 
     def block(t: pa.Table) -> pa.Table:
         cols = {"g": t.column("g").slice(0, 1), "part": t.column("part").slice(0, 1)}
@@ -181,7 +180,7 @@ def _cross_links(spark, docs: DataFrame, classes: DataFrame, mixed: DataFrame) -
         return pa.table({**cols, **lists})
 
     kinds = "g long, part int, reps array<long>, components array<long>, signatures array<binary>, sets array<binary>"
-    blocks = written(spark, rows.groupBy("g", "part").applyInArrow(block, kinds), "blocks")
+    blocks = tables.written(texts.groupBy("g", "part").applyInArrow(block, kinds), "blocks")
 
     def compare(batches):
         for b in batches:
@@ -205,7 +204,7 @@ def _cross_links(spark, docs: DataFrame, classes: DataFrame, mixed: DataFrame) -
     before = spark.conf.get(batch)
     spark.conf.set(batch, "4")  # a row holds two blocks
     try:
-        return written(spark, met.mapInArrow(compare, "u long, v long"), "links")
+        return tables.written(met.mapInArrow(compare, "u long, v long"), "links")
     finally:
         spark.conf.set(batch, before)
 
@@ -216,51 +215,57 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     Texts are linked from a similarity of 0.75 on; component_id is the smallest doc_id that links reach, kept marks the
     row that has it. A text without words (or null) is linked with nothing, as is a row without doc_id (component_id
     null); both are kept. Rows that share a doc_id count as one node of the graph, so that all of a kept document's rows
-    are kept. Columns of df named like an output are replaced.
+    are kept. Columns of df named like an output are replaced. A very long text is one set, built in one task; an empty df
+    gives no rows. The result reads tables in the shared folder; its attribute `tables` frees them before the session ends.
     """
     spark = df.sparkSession
+    tables = Scratch(spark)
     df = df.drop("n_shingles", "component_id", "kept", "digest", "signature", "component")
-    base = written(spark, described(df), "described")
+    base = tables.written(described(df), "described")
     rows = base.count()
     docs = df.select("doc_id", "text").where("doc_id is not null")
     classes = base.where("doc_id is not null and n_shingles > 0").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
     )
-    classes = written(spark, fitted(classes, 4 * rows), "classes")
+    classes = tables.written(fitted(classes, 4 * rows), "classes")
     band = [F.xxhash64(F.lit(i), F.substring("signature", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)]
     banded = classes.select("rep", F.explode(F.array(*band)).alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(spark, fitted(shared, BANDS * rows // 4), "shared")
-    members = written(spark, fitted(banded.join(shared, "band"), BANDS * rows // 4), "members")
+    shared = tables.written(fitted(shared, BANDS * rows // 4), "shared")
+    members = tables.written(fitted(banded.join(shared, "band"), BANDS * rows // 4), "members")
     # the hub of a bucket: the text that shares most elsewhere, an original rather than one of its copies
-    reach = written(spark, fitted(members.groupBy("rep").agg(F.sum("n").alias("reach")), rows), "reach")
-    members = written(spark, fitted(members.select("rep", "band").join(reach, "rep"), BANDS * rows // 4), "members")
+    reach = tables.written(fitted(members.groupBy("rep").agg(F.sum("n").alias("reach")), rows), "reach")
+    sets = tables.written(_sets(docs, classes, reach.select("rep"), reach.count(), rows), "sets")
+    members = tables.written(fitted(members.select("rep", "band").join(reach, "rep"), BANDS * rows // 4), "members")
     hub = members.groupBy("band").agg(F.max_by("rep", F.struct("reach", -F.col("rep"))).alias("hub"))
-    hub = written(spark, fitted(hub, BANDS * rows // 4), "hubs")
+    hub = tables.written(fitted(hub, BANDS * rows // 4), "hubs")
     pairs = members.join(hub, "band").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
     pairs = fitted(fitted(pairs, BANDS * rows // 4).distinct(), rows)
-    links = _links(spark, docs, classes, pairs, rows)
+    links = _links(tables, classes, sets, pairs, rows)
     found = connected_components(links)
 
     of = found.select(F.col("node").alias("rep"), "component")
     placed = members.join(of, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
     members = members.select("band", "rep")
     met = members.count()
-    placed = written(spark, fitted(placed, met), "placed")
+    placed = tables.written(fitted(placed, met), "placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
-    mixed = fitted(placed.join(written(spark, fitted(mixed.select("band"), met), "mixed"), "band"), met)
-    mixed = written(spark, mixed, "mixed-members")
-    more = _cross_links(spark, docs, classes, mixed)
+    mixed = fitted(placed.join(tables.written(fitted(mixed.select("band"), met), "mixed"), "band"), met)
+    mixed = tables.written(mixed, "mixed-members")
+    more = _cross_links(tables, classes, sets, mixed, rows)
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
 
     of = found.select(F.col("node").alias("rep"), "component")
     named = classes.join(of, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    named = written(spark, fitted(named, rows), "named")
+    named = tables.written(fitted(named, rows), "named")
+    tables.free(base, named)
     out = base.join(named, "digest", "left").drop("digest", "signature")
     own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     out = out.withColumn("component_id", F.when(own, F.col("component")).otherwise(F.col("doc_id"))).drop("component")
-    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+    out = out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+    out.tables = tables
+    return out
 
 
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,7 @@ def hypergeometric_shuffle(
         at = 0
         for b in batches:
             if at + b.num_rows > len(labels):
+                at += b.num_rows
                 break
             mine = labels[at : at + b.num_rows]
             place = (p << 33) + np.arange(at, at + b.num_rows, dtype=np.int64)
