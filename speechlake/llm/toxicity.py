@@ -14,35 +14,36 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain, combinations, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import CACHE_ENTRIES, documents, schema_with, workers_see_package
 
 ORDER, DECAY, SHARPEN = 3, 0.6, 3
-LANDMARKS = (24, 8)
+#: Stems of toxic sentences, the most telling ones, and harmless words like them, that become landmarks at most.
+LANDMARKS = (48, 16)
 #: Log-likelihood ratio from which a word of toxic sentences may become a landmark.
 LEAST_G2 = 12.0
-#: Labelled documents of either class, and code points of one, that a model is fitted to at most.
-TRAIN_DOCS, TRAIN_CHARS = 1500, 200_000
+#: Labelled documents of either class, code points of one, and code points of all, that a model is fitted to at most.
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_TOTAL = 1500, 200_000, 40_000_000
 #: Longer words are compared window by window.
 LONGEST = 24
 #: Tokens of a sentence at most.
 SENTENCE = 32
-BORDER = re.compile(r"[.!?]+\s+|\n+")
+BORDER = re.compile(r"[.!?]+(?:\s+|$)|\n+")
 SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def _codes(words: list[str], width: int, pad: int) -> np.ndarray:
     """Character codes of the words, each after a mark for its beginning."""
-    words = ["\x02" + w for w in words]
     out = np.full((len(words), width), pad, np.int32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = np.frombuffer(w.encode("utf-32-le"), np.int32)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    out[np.arange(width) < size[:, None]] = np.frombuffer("".join("\x02" + w for w in words).encode("utf-32-le", "surrogatepass"), np.int32)
     return out
 
 
@@ -67,12 +68,49 @@ def raw_kernel(a: np.ndarray, b: np.ndarray, pairwise: bool = True) -> np.ndarra
 
 
 class WordKernel:
-    """Normalised word kernels with fixed landmark words."""
+    """Normalised word kernels with fixed landmark words.
+
+    The landmarks' subsequences are few: a table has the row of each, with its weight in every landmark. A word's kernels
+    are the sum of its own subsequences' rows, each by its weight there; most of them are in no landmark and cost a look.
+    """
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.b = _codes(landmarks, 1 + max(map(len, landmarks)), -2)
-        self.norm = np.sqrt(raw_kernel(_codes(landmarks, self.b.shape[1], -1), self.b, False))
+        codes = _codes(landmarks, 1 + max(map(len, landmarks)), -1)
+        norm = np.sqrt(raw_kernel(codes, np.where(codes == -1, -2, codes), False))
+        letters = np.unique(codes[codes >= 0])
+        self.letters, self.size = letters, len(letters) + 1  # letter 0: in no landmark
+        self.row = np.zeros(self.size**ORDER, np.int32)
+        found: dict[int, np.ndarray] = {}
+        mapped = self._mapped(codes)
+        for i, word in enumerate(mapped.tolist()):
+            for at in combinations(range(len(word)), ORDER):
+                if all(codes[i, x] >= 0 for x in at):
+                    key = 0
+                    for x in at:
+                        key = key * self.size + word[x]
+                    found.setdefault(key, np.zeros(len(landmarks), np.float32))[i] += DECAY ** (at[-1] - at[0] + 1)
+        self.weights = np.array([np.zeros(len(landmarks), np.float32), *found.values()])
+        self.weights /= np.maximum(norm, 1e-12)[None]
+        self.row[list(found)] = np.arange(1, len(found) + 1)
+
+    def _mapped(self, codes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        return np.where(self.letters[at] == codes, at + 1, 0)
+
+    def _with_landmarks(self, a: np.ndarray) -> np.ndarray:
+        """Kernels of rows of character codes (padded with -1) with the landmarks, divided by the landmarks' norms."""
+        mapped = np.ascontiguousarray(self._mapped(a).T)
+        out = np.zeros((len(a), len(self.landmarks)), np.float32)
+        for at in combinations(range(len(mapped)), ORDER):
+            key = mapped[at[0]]
+            for x in at[1:]:
+                key = key * self.size + mapped[x]
+            row = self.row[key]
+            hit = np.flatnonzero(row)
+            if len(hit):
+                out[hit] += self.weights[row[hit]] * np.float32(DECAY ** (at[-1] - at[0] + 1))
+        return out
 
     def __call__(self, words: list[str]) -> np.ndarray:
         """Rows of kernels to the power SHARPEN; of a word over LONGEST characters, the largest over its windows."""
@@ -81,13 +119,13 @@ class WordKernel:
         for i, w in enumerate(words):
             for part in [w] if len(w) <= LONGEST else [w[s : s + LONGEST] for s in range(0, len(w) - LONGEST // 2, LONGEST // 2)]:
                 if len(part) >= ORDER - 1:
-                    by_width.setdefault(1 + -(-len(part) // 3) * 3, []).append((i, part))
+                    by_width.setdefault(1 + len(part), []).append((i, part))
         for width, found in by_width.items():
-            for s in range(0, len(found), 500):
-                some = found[s : s + 500]
+            for s in range(0, len(found), 4000):
+                some = found[s : s + 4000]
                 a = _codes([p for _, p in some], width, -1)
                 own = np.sqrt(raw_kernel(a, np.where(a == -1, -2, a), False))
-                k = raw_kernel(a, self.b) / np.maximum(own[:, None] * self.norm[None], 1e-12)
+                k = self._with_landmarks(a) / np.maximum(own[:, None], 1e-12)
                 np.maximum.at(out, [i for i, _ in some], np.clip(k, 0, 1) ** SHARPEN)
         return out
 
@@ -95,7 +133,7 @@ class WordKernel:
 def sentences(text: str) -> list[list[str]]:
     """The distinct lower-case tokens of each sentence, or of each SENTENCE tokens of a longer one.
 
-    Runs of three or more single characters add the word they spell.
+    Runs of three or more single characters add the word they spell. Model.values finds the same in many texts at once.
     """
     out = []
     for s in BORDER.split(text.lower()):
@@ -110,13 +148,32 @@ def bare(token: str) -> str:
     return EDGE.sub("", token)
 
 
+class _Numbers(dict):
+    """A number for each token, in the order of their first look-up."""
+
+    def __missing__(self, token: str) -> int:
+        n = self[token] = len(self)
+        return n
+
+
 class Model:
     """value(sentence) = sum of word shares + bias; score = logistic(a * worst value + b)."""
 
+    #: Code points of the texts that are worked on at a time.
+    GROUP = 2_000_000
+    #: Stands for a line's end among the tokens.
+    LINE = "\x00"
+
     def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, a: float, b: float):
         self.landmarks, self.weights, self.bias, self.a, self.b = landmarks, weights, bias, a, b
         self._kernel: WordKernel | None = None
-        self._shares: dict[str, float] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self._numbers = _Numbers({self.LINE: 0})
+        self._kinds = np.array([1], np.uint8)  # 1: a sentence ends here, 2: a single character
+        self._word = np.array([0], np.int64)  # the token without the marks that end a sentence
+        self._share = np.zeros(1)
 
     def __getstate__(self):
         return (self.landmarks, self.weights, self.bias, self.a, self.b)
@@ -124,39 +181,89 @@ class Model:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def learn_words(self, tokens: set[str]) -> None:
-        if len(self._shares) > CACHE_ENTRIES:
-            self._shares.clear()
-        new = list(tokens.difference(self._shares))
-        if new:
-            self._kernel = self._kernel or WordKernel(self.landmarks)
-            words = [bare(t) for t in new]
-            distinct = list(dict.fromkeys(words))
-            value = dict(zip(distinct, (self._kernel(distinct) @ self.weights).tolist(), strict=True))
-            self._shares.update((t, value[w]) for t, w in zip(new, words, strict=True))
+    def shares(self, tokens: list[str]) -> np.ndarray:
+        """What each token adds to a sentence."""
+        self._kernel = self._kernel or WordKernel(self.landmarks)
+        distinct = _Numbers()
+        at = [distinct[bare(t)] for t in tokens]
+        return (self._kernel(list(distinct)) @ self.weights)[at] if tokens else np.zeros(0)
+
+    def _learn(self) -> None:
+        """Fills in what is known of new tokens."""
+        known = len(self._share)
+        new = list(islice(self._numbers, known, None))
+        words = [self._numbers[t.rstrip(".!?")] for t in new]  # may add more tokens
+        more = list(islice(self._numbers, known + len(new), None))
+        kinds = [t.endswith((".", "!", "?")) + 2 * (len(t) == 1) for t in new + more]
+        self._kinds = np.concatenate([self._kinds, np.array(kinds, np.uint8)])
+        self._word = np.concatenate([self._word, np.array(words + [self._numbers[t] for t in more], np.int64)])
+        self._share = np.concatenate([self._share, self.shares(new + more)])
 
     def worst(self, found: list[list[str]]) -> float:
-        share = self._shares.__getitem__
-        return max((sum(map(share, s)) for s in found), default=0.0) + self.bias
+        """Value of a text from its sentences."""
+        return max((float(self.shares(s).sum()) for s in found), default=0.0) + self.bias
+
+    def values(self, texts: list[str]) -> np.ndarray:
+        """worst(sentences(t)) of each text."""
+        if len(self._numbers) > CACHE_ENTRIES:
+            self._forget()
+        tokens = [t.lower().replace("\n", f" {self.LINE} ").split() for t in texts]
+        n = np.array([len(t) for t in tokens])
+        flat = list(chain.from_iterable(tokens))
+        ids = np.fromiter(map(self._numbers.__getitem__, flat), np.int64, len(flat))
+        self._learn()
+        out = np.full(len(texts), -np.inf)
+        out[n == 0] = 0.0
+        if not len(ids):
+            return out + self.bias
+        text = np.repeat(np.arange(len(texts)), n)
+        first = np.ones(len(ids), bool)  # of a sentence
+        first[1:] = (text[1:] != text[:-1]) | (self._kinds[ids[:-1]] & 1 > 0)
+        heads = np.flatnonzero(first)
+        place = np.arange(len(ids)) - np.repeat(heads, np.diff(np.append(heads, len(ids))))
+        part = np.cumsum(place % SENTENCE == 0) - 1
+        text_of = text[np.flatnonzero(place % SENTENCE == 0)]
+        key = (part << 32) | self._word[ids]
+        key.sort()
+        key = key[np.append(True, key[1:] != key[:-1])]
+        part = key >> 32
+        sums = np.add.reduceat(self._share[key & 0xFFFFFFFF], np.flatnonzero(np.append(True, part[1:] != part[:-1])))
+        np.maximum.at(out, text_of, sums)
+        single = self._kinds[ids] & 2 > 0
+        runs = np.flatnonzero(single[2:] & single[1:-1] & single[:-2] & (text[2:] == text[:-2]))
+        if len(runs):
+            starts = runs[np.append(True, (runs[1:] != runs[:-1] + 1) | (text[runs[1:]] != text[runs[:-1]]))].tolist()
+            spelled = []
+            for i in starts:
+                end = i
+                while end < len(ids) and single[end] and text[end] == text[i]:
+                    end += 1
+                spelled.append("".join(flat[i:end]))
+            np.maximum.at(out, text[starts], self.shares(spelled))
+        return out + self.bias
 
     def score(self, texts: list[str]) -> list[float]:
-        found = [sentences(t) for t in texts]
-        for i in range(0, len(found), 64):  # a cache that fills up is cleared between such groups only
-            some = found[i : i + 64]
-            self.learn_words({t for f in some for s in f for t in s})
-            found[i : i + 64] = [self.worst(f) for f in some]
-        return (1 / (1 + np.exp(-np.clip(self.a * np.array(found, float) + self.b, -60, 60)))).tolist()
+        value, start = [], 0
+        while start < len(texts):
+            end, n = start, 0
+            while end < len(texts) and (end == start or n + len(texts[end]) <= self.GROUP):
+                n, end = n + len(texts[end]), end + 1
+            value.append(self.values(texts[start:end]))
+            start = end
+        value = np.concatenate(value) if value else np.zeros(0)
+        return (1 / (1 + np.exp(-np.clip(self.a * value + self.b, -60, 60)))).tolist()
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 2000, c: float = 3000.0) -> tuple[np.ndarray, float]:
     """Linear SVM by averaged subgradient steps on the weighted hinge loss, from zero; no randomness."""
     w, b, lam = np.zeros(x.shape[1]), 0.0, 1.0 / c
     sw, sb = w.copy(), 0.0
+    x, pull = x.astype(np.float32), y * weight
     for t in range(1, rounds + 1):
-        hit = (y * (x @ w + b) < 1) * weight
+        hit = np.flatnonzero(y * (x @ w.astype(np.float32) + b) < 1)
         step = 3.0 / t**0.5
-        w = w - step * (lam * w - (hit * y) @ x)
-        b += step * float((hit * y).sum())
+        w = w - step * (lam * w - pull[hit] @ x[hit])
+        b += step * float(pull[hit].sum())
         if t > rounds // 2:
             sw, sb = sw + w, sb + b
     n = rounds - rounds // 2
@@ -235,11 +342,17 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> tuple[list[str], list[str]]:
-    """Texts of at most `limit` toxic and as many other documents, by a hash of the id; 2 * limit ids are broadcast."""
+    """Texts of at most `limit` toxic and as many other documents, by a hash of the id; 2 * limit ids are broadcast.
+
+    Texts that are null, empty or over TRAIN_CHARS teach nothing; what reaches the driver is bounded by TRAIN_TOTAL code
+    points of either class, the documents first in the order of the hash.
+    """
     per_id = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda v: per_id.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     some = F.broadcast(pick(1).unionByName(pick(0)))
-    rows = docs.where(F.char_length("text").between(1, TRAIN_CHARS)).join(some, "doc_id").select("doc_id", "toxic", "text").collect()
+    rows = docs.where(F.char_length("text").between(1, TRAIN_CHARS)).join(some, "doc_id").select("doc_id", "toxic", "text")
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text")  # of 2 * limit documents
+    rows = rows.withColumn("sum", F.sum(F.char_length("text")).over(before)).where(F.col("sum") <= TRAIN_TOTAL).drop("sum").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows if r["toxic"]], [r["text"] for r in rows if not r["toxic"]]
 
@@ -247,7 +360,8 @@ def training_texts(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS)
 def toxicity(df: DataFrame, model: Model) -> DataFrame:
     """df (text; others kept) with score (double, 0 to 1) and predicted (int, 1 from 0.5 on); such columns are replaced.
 
-    A null text counts as empty; an empty text's score is that of a sentence without words.
+    A null text counts as empty; an empty text's score is that of a sentence without words. Equal texts have equal scores,
+    whatever stands beside them; a very long text or word is worked on whole; an empty df gives no rows.
     """
     workers_see_package(df.sparkSession)
     df = df.drop("score", "predicted")
@@ -266,7 +380,7 @@ def toxicity(df: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def op3_subsequence_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,51 @@ def test_training_texts_are_bounded(spark, docs):
     assert 0 < len(pos) <= 5 and 0 < len(neg) <= 5
 
 
+def test_values_of_many_texts_are_those_of_their_sentences(rows):
+    model = X.fit(["you idiot. go away!", "such an idiot", "idiot here"], ["a fine day", "good words here", ""])
+    texts = [t[:3000] for _, t, *_ in rows if t] + ["i d i o t", "a b.\nc d e f ... ! x", "", "   ", "idiot.\u0085idiot! idiot", "\x00 x \x00"]
+    assert np.allclose(model.values(texts), [model.worst(X.sentences(t)) for t in texts], atol=1e-6)
+    assert np.allclose(model.values(texts)[::-1], model.values(texts[::-1]), atol=1e-9)
+
+
+def test_word_kernel_equals_subsequence_counts():
+    landmarks = ["idiot", "banana", "ananas"]
+    words = ["idiot", "id-iot", "an", "bananas", "zzz", "ot", "anna", "\U0001f600nana"]
+    exact = [[naive(a, b) / (naive(a, a) * naive(b, b)) ** 0.5 if naive(a, a) else 0.0 for b in landmarks] for a in words]
+    assert np.allclose(X.WordKernel(landmarks)(words), np.array(exact) ** X.SHARPEN, atol=1e-5)
+
+
+def test_query_equals_brute_force(spark, sf, rows):
+    """Scores from subsequences that are counted one by one, with the fitted weights."""
+    from functools import cache
+    from itertools import combinations
+
+    out = {r["doc_id"]: r["score"] for r in X.op3_subsequence_kernel_toxicity(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    model = X.fit(*X.training_texts(docs, labels.where(~X.held_out(F.col("doc_id")))))
+
+    @cache
+    def weights(word):
+        found = {}
+        word = "\x02" + word
+        for ix in combinations(range(len(word)), X.ORDER):
+            u = tuple(word[i] for i in ix)
+            found[u] = found.get(u, 0.0) + X.DECAY ** (ix[-1] - ix[0] + 1)
+        norm = sum(v * v for v in found.values()) ** 0.5
+        return {u: v / norm for u, v in found.items()}
+
+    @cache
+    def share(word):
+        parts = [word] if len(word) <= X.LONGEST else [word[s : s + X.LONGEST] for s in range(0, len(word) - X.LONGEST // 2, X.LONGEST // 2)]
+        dot = lambda a, b: sum(v * b.get(u, 0.0) for u, v in a.items())
+        return sum(w * max(dot(weights(mark), weights(p)) for p in parts) ** X.SHARPEN for mark, w in zip(model.landmarks, model.weights, strict=True))
+
+    for i, t, *_ in rows:
+        value = max((sum(share(X.bare(x)) for x in s) for s in X.sentences(t or "")), default=0.0) + model.bias
+        assert abs(out[i] - 1 / (1 + np.exp(-np.clip(model.a * value + model.b, -60, 60)))) < 1e-3
+
+
 def test_query(spark, sf, rows):
     out = X.op3_subsequence_kernel_toxicity(spark, sf).collect()
     assert sorted(r["doc_id"] for r in out) == [r[0] for r in rows]
