@@ -11,8 +11,12 @@ opened next. Uniform numbers are hashes of the row's key and the place, so a row
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from bisect import bisect_right
+from heapq import heappop, heappush
+from itertools import accumulate, chain
 
 import numpy as np
 import public_tokenizers
@@ -26,23 +30,45 @@ from .common import documents, schema_with, workers_see_package
 SHIFT = 10.0
 #: Edges of lattices that a worker keeps before it starts anew.
 POOL_EDGES = 4_000_000
+#: Characters of units whose lattices are built at a time, unless one unit has more.
+ADD_CHARS = 100_000
+#: Characters of the longest unit whose sums over ways are far from the smallest double.
+LINEAR = 50
 #: Of the hash by which pieces are found.
 BASE = 0x9E3779B97F4A7C15
 BATCH_CHARS = 1_000_000
 
 
-def uniform(*parts) -> np.ndarray:
-    """Numbers between 0 and 1, exclusive, from integers."""
-    x = np.uint64(0x9E3779B97F4A7C15)
-    with np.errstate(over="ignore"):
-        for p in parts:
-            x = (x ^ np.asarray(p).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-            x = x ^ (x >> np.uint64(29))
-            x = x * np.uint64(0x94D049BB133111EB)
-            x = x ^ (x >> np.uint64(32))
+_M64 = 2**64 - 1
+_C1, _C2, _C3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def seed_of(*parts: int) -> int:
+    """One 64-bit number from several."""
+    x = _C1
+    for p in parts:
+        x = ((x ^ (p & _M64)) * _C2) & _M64
+        x ^= x >> 29
+        x = (x * _C3) & _M64
+        x ^= x >> 32
+    return x
+
+
+def uniform(seed, place) -> np.ndarray:
+    """Numbers between 0 and 1, exclusive, from seeds and places (numbers or arrays)."""
+    x = np.asarray(place).astype(np.uint64) * np.uint64(_C1)
+    x += np.asarray(seed, np.uint64)
+    for shift, factor in ((30, _C2), (27, _C3)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def uniform_one(seed: int) -> float:
+    return float(uniform(np.array([seed], np.uint64), np.array([1]))[0])
+
+
 class Lattices:
     """Lattices of a vocabulary's units (a word with the blanks before it), in common arrays of nodes and edges."""
 
@@ -67,14 +93,34 @@ class Lattices:
                 self.text.append(piece.replace("▁", " ").encode() if usable else b"")
         self.longest = max(map(len, self.pieces))
         self.byte_weight = -float(np.log(sp.get_piece_size() + SHIFT))
-        # pieces by the hash of their characters
-        hashes = np.array([self._hash(p) for p in self.pieces], np.uint64)
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.piece_ids = np.array([x[0] for x in self.pieces.values()], np.int32)[order]
-        self.piece_logs = np.array([x[1] for x in self.pieces.values()])[order]
+        self._index()
         self.reset()
 
+    def _index(self) -> None:
+        """An open table of all beginnings of pieces by hash; those that are no piece themselves have id -1."""
+        known: dict[str, tuple[int, float]] = {p[:n]: (-1, 0.0) for p in self.pieces for n in range(1, len(p))}
+        known.update(self.pieces)
+        bits = (4 * len(known)).bit_length()
+        self.shift, self.slots = np.uint64(64 - bits), np.zeros(1 << bits, np.uint64)
+        self.slot_ids, self.slot_weights = np.zeros(1 << bits, np.int32), np.zeros(1 << bits)
+        for text, (i, log) in known.items():
+            h = self._hash(text)
+            at = ((h * _C2) & _M64) >> int(self.shift)
+            while self.slots[at]:
+                at = (at + 1) % len(self.slots)
+            self.slots[at], self.slot_ids[at], self.slot_weights[at] = h, i, math.exp(log)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        """Each hash's slot, -1 for what begins no piece."""
+        at = ((h * np.uint64(_C2)) >> self.shift).astype(np.int64)
+        found = self.slots[at]
+        open_ = np.flatnonzero((found != h) & (found != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.slots) - 1)
+            found[open_] = self.slots[at[open_]]
+            open_ = open_[(found[open_] != h[open_]) & (found[open_] != 0)]
+        return np.where(found == h, at, -1)
+
     @staticmethod
     def _hash(piece: str) -> int:
         h = 0
@@ -83,11 +129,14 @@ class Lattices:
         return h
 
     def reset(self) -> None:
-        self.units: dict[str, int] = {}
+        self.units: dict[str, int] = {}  # first node by the unit without its first blank
         self.nodes, self.edges = 0, 0
+        if hasattr(self, "first"):  # the arrays are written over
+            return
         self.first = np.zeros(1 << 16, np.int64)  # a node's first edge; the next node's ends it
         self.cum = np.zeros(1 << 18)  # node + cumulative chance up to and with the edge
-        self.chance = np.zeros(1 << 18)
+        self.log = np.zeros(1 << 18)  # of the edge's chance
+        self.rest = np.zeros(1 << 18)  # log of the chance of the node's other edges
         self.target = np.zeros(1 << 18, np.int32)  # next node, -1 at the end
         self.owner = np.zeros(1 << 18, np.int32)  # the node that the edge leaves
         self.ids = np.zeros(1 << 18, np.int32)  # piece, or -1 - code point for a character in bytes
@@ -101,63 +150,84 @@ class Lattices:
         """No piece has a blank behind another character, so the text's segmentations are those of its units, joined."""
         return re.findall("▁+[^▁]*", normal)
 
-    def add(self, units: list[str]) -> None:
-        """Lattices of new units, all at once: a node before each character and one at the end."""
-        sizes = np.array([len(u) for u in units])
+    def keys_of(self, text: str) -> list[str]:
+        """The text's units, each without its first blank."""
+        if not text:
+            return []
+        words = text.split(" ")
+        return words if "" not in words and "▁" not in text else [u[1:] for u in self.units_of(self.normal(text))]
+
+    def add(self, keys: list[str]) -> None:
+        """Lattices of new units (without their first blank), all at once: a node before each character and one at the end.
+
+        Rows of matrices are nodes, columns the lengths of the pieces that may follow, falling.
+        """
+        sizes = np.fromiter(map(len, keys), np.int64, len(keys)) + 1
         begin = np.concatenate([[0], np.cumsum(sizes + 1)])
-        n_nodes = int(begin[-1])
+        longest = int(sizes.max())
+        n, width = int(begin[-1]), min(self.longest, longest)
+        node = np.arange(n)
         end = np.repeat(begin[1:] - 1, sizes + 1)  # each node's last node
-        code = np.zeros(n_nodes, np.uint64)
-        code[np.flatnonzero(np.arange(n_nodes) != end)] = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
-        left = end - np.arange(n_nodes)  # characters to the end
-        h, at = np.zeros(n_nodes, np.uint64), np.arange(n_nodes)
-        starts, ends, pid, logs = [], [], [], []
-        for size in range(1, self.longest + 1):
-            at = at[left[at] >= size]
+        left = end - node  # characters to the end
+        code = np.zeros(n, np.uint64)
+        code[left > 0] = np.frombuffer(("▁" + "▁".join(keys)).encode("utf-32-le", "surrogatepass"), np.uint32)
+        chance, piece = np.zeros((n, width)), np.zeros((n, width), np.int32)
+        at = np.flatnonzero(left)
+        h = np.zeros(len(at), np.uint64)
+        for size in range(1, width + 1):
+            fits = left[at] >= size
+            at, h = at[fits], h[fits] * np.uint64(BASE)
             if not len(at):
                 break
-            h[at] = h[at] * np.uint64(BASE) + code[at + size - 1] + np.uint64(1)
-            k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-            hit = self.hashes[k] == h[at]
-            starts.append(at[hit])
-            ends.append(at[hit] + size)
-            pid.append(self.piece_ids[k[hit]])
-            logs.append(self.piece_logs[k[hit]])
+            h += code[at + size - 1] + np.uint64(1)
+            slot = self._slot(h)
+            ids = np.where(slot >= 0, self.slot_ids[slot], -1)
+            hit = ids >= 0
+            chance[at[hit], width - size] = self.slot_weights[slot[hit]]  # long pieces first: the likelier ones, mostly
+            piece[at[hit], width - size] = ids[hit]
             if size == 1:
-                rest = at[~hit]
-                c = code[rest].astype(np.int64)
-                starts.append(rest)
-                ends.append(rest + 1)
-                pid.append((-1 - c).astype(np.int32))
-                logs.append(self.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
-        start, stop, pid, logs = (np.concatenate(x) for x in (starts, ends, pid, logs))
-        # log sums over ways to the end, from the last node backwards, in all units at once
-        order = np.lexsort((stop, start, left[start]))
-        start, stop, pid, logs = start[order], stop[order], pid[order], logs[order]
-        total = np.zeros(n_nodes)
-        steps = np.searchsorted(left[start], np.arange(1, int(sizes.max()) + 2))
-        for a, b in zip(steps, steps[1:]):
+                c = code[at[~hit]].astype(np.int64)
+                chance[at[~hit], -1] = np.exp(self.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
+                piece[at[~hit], -1] = -1 - c
+            at, h = at[slot >= 0], h[slot >= 0]
+        # sums over ways to the end, from the last node backwards, in all units at once; as logs where they get too small
+        total = np.zeros(n) if longest > LINEAR else np.ones(n)
+        by_left = np.argsort(left.astype(np.uint16 if longest < 65536 else np.int64), kind="stable")
+        steps = np.searchsorted(left[by_left], np.arange(1, longest + 2)).tolist()
+        for k, (a, b) in enumerate(zip(steps, steps[1:]), 1):
             if b > a:
-                w = logs[a:b] + total[stop[a:b]]
-                heads = np.flatnonzero(np.diff(start[a:b], prepend=-1))
-                top = np.maximum.reduceat(w, heads)
-                part = np.exp(w - np.repeat(top, np.diff(np.append(heads, b - a))))
-                total[start[a:b][heads]] = top + np.log(np.add.reduceat(part, heads))
-        logs = logs + total[stop] - total[start]
-        order = np.lexsort((-logs, start))
-        start, stop, pid, chance = start[order], stop[order], pid[order], np.exp(logs[order])
-        last = np.append(np.flatnonzero(np.diff(start)), len(start) - 1)
-        heads = np.append(0, last[:-1] + 1)
+                at, m = by_left[a:b], min(k, width)
+                w, behind = chance[at, width - m :], total[at[:, None] + np.arange(m, 0, -1)]
+                if longest > LINEAR:
+                    top = behind.max(1)
+                    w *= np.exp(behind - top[:, None])
+                    ways = w.sum(1)
+                    total[at] = top + np.log(ways)
+                else:
+                    w *= behind
+                    total[at] = ways = w.sum(1)
+                chance[at, width - m :] = w / ways[:, None]
+        flat = np.flatnonzero(chance)
+        start = flat // width
+        stop = start + width - (flat - start * width)
+        chance, piece = chance.ravel()[flat], piece.ravel()[flat]
+        logs = np.log(chance)
+        first = np.concatenate([[0], np.cumsum(np.bincount(start, minlength=n))])
+        heads = np.flatnonzero(np.diff(start, prepend=-1))
+        size = np.diff(np.append(heads, len(start)))
         sums = np.cumsum(chance)
-        cum = sums - np.repeat(sums[heads] - chance[heads], last - heads + 1)
-        cum[last] = 1.0
-        node, edge = self.nodes, self.edges
-        self.units.update(zip(units, (node + begin[:-1]).tolist(), strict=True))
-        target = np.where(stop == end[start], -1, stop + node)
-        self.first = self._grown(self.first, node, edge + np.searchsorted(start, np.arange(n_nodes)), 1)
-        new = ((self.cum, node + start + np.minimum(cum, 1.0)), (self.chance, chance), (self.target, target), (self.owner, node + start), (self.ids, pid))
-        self.cum, self.chance, self.target, self.owner, self.ids = (self._grown(a, edge, x, 0) for a, x in new)
-        self.nodes, self.edges = node + n_nodes, edge + len(start)
+        sums -= np.repeat(sums[heads] - chance[heads], size)
+        sums[heads + size - 1] = 1.0
+        with np.errstate(divide="ignore"):
+            rest = np.log1p(-np.minimum(chance, 1.0))
+        rest[heads[size == 1]] = -np.inf
+        old, edge = self.nodes, self.edges
+        self.units.update(zip(keys, (old + begin[:-1]).tolist(), strict=True))
+        self.first = self._grown(self.first, old, edge + first[:-1], 1)
+        target = np.where(stop == end[start], -1, stop + old)
+        new = ((self.cum, old + start + np.minimum(sums, 1.0)), (self.log, logs), (self.rest, rest), (self.target, target), (self.owner, old + start), (self.ids, piece))
+        self.cum, self.log, self.rest, self.target, self.owner, self.ids = (self._grown(a, edge, x, 0) for a, x in new)
+        self.nodes, self.edges = old + n, edge + len(start)
         self.first[self.nodes] = self.edges
 
     @staticmethod
@@ -169,24 +239,34 @@ class Lattices:
 
     def ids_of(self, edges: np.ndarray) -> np.ndarray:
         ids = self.ids[edges]
-        if len(ids) and ids.min() < 0:
-            ids = np.array([x for i in ids.tolist() for x in ((i,) if i >= 0 else (self.bytes[b] for b in chr(-1 - i).encode()))], np.int32)
+        odd = np.flatnonzero(ids < 0)
+        if len(odd):
+            raw = [chr(-1 - i).encode() for i in ids[odd].tolist()]
+            size = np.ones(len(ids), np.int64)
+            size[odd] = [len(r) for r in raw]
+            ids = np.repeat(ids, size)
+            ids[ids < 0] = [self.bytes[b] for r in raw for b in r]
         return ids
 
-    def starts(self, units: list[str]) -> np.ndarray:
-        new = list(set(units).difference(self.units))
-        if new:
-            self.add(new)
-        return np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
-
-    def walk(self, node: np.ndarray, key: np.ndarray, place: np.ndarray, round_: int) -> tuple[np.ndarray, np.ndarray]:
+    def starts(self, keys: list[str]) -> np.ndarray:
+        new = sorted(set(keys).difference(self.units), key=len)
+        at = 0
+        while at < len(new):  # matrices of some MB
+            n, end = 0, at
+            while end < len(new) and (end == at or n + len(new[end]) < ADD_CHARS):
+                n, end = n + len(new[end]) + 2, end + 1
+            self.add(new[at:end])
+            at = end
+        return np.fromiter(map(self.units.__getitem__, keys), np.int64, len(keys))
+
+    def walk(self, node: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draws edges from each node (-1: none) to its unit's end; (which of the nodes, edge), in order."""
         at = np.flatnonzero(node >= 0)
-        node, key, place = node[at], key[at], place[at]
+        node, seed, place = node[at], seed[at], place[at] << 24
         whose, edges, step = [], [], 0
         cum = self.cum
         while len(at):
-            x = node + uniform(key, round_, place, step)
+            x = node + uniform(seed, place + step)
             e = self.first[node]
             behind = np.flatnonzero(cum[e] < x)
             while len(behind):  # the likeliest edges come first
@@ -196,65 +276,77 @@ class Lattices:
             edges.append(e)
             nxt = self.target[e].astype(np.int64)
             go = nxt >= 0
-            at, node, key, place, step = at[go], nxt[go], key[go], place[go], step + 1
+            at, node, seed, place, step = at[go], nxt[go], seed[go], place[go], step + 1
         if not whose:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         whose, edges = np.concatenate(whose), np.concatenate(edges)
-        order = np.argsort(whose, kind="stable")
+        order = np.argsort(whose.astype(np.uint16) if len(node) and whose.max() < 65536 else whose, kind="stable")
         return whose[order], edges[order]
 
 
 class Search:
-    """The search of one text: the paths found so far and, for each of their places, the subset that leaves it there."""
+    """The search of one text: the paths found so far and, for each of their places, the subset that leaves it there.
+
+    A subset of log-mass m below a path of value v has the largest perturbed value -log(exp(-v) + exp(g - m)) with
+    g = log(-log(uniform)); so the best subset of a path is that with the smallest g - m.
+    """
 
-    def __init__(self, lattices: Lattices, key: np.uint64, starts: np.ndarray):
+    def __init__(self, lattices: Lattices, key: int, starts: np.ndarray):
         self.l, self.key, self.starts = lattices, key, starts
         self.paths: list[tuple[np.ndarray, np.ndarray, float, float]] = []  # edges, units, log p, perturbed
-        self.bounds: list[np.ndarray] = []
+        self.gaps: list[np.ndarray] = []  # g - m of each place
+        self.logs: list[np.ndarray] = []  # log-probability up to each place
+        self.heap: list[tuple[float, int, int]] = []  # (-value, path, place), of each path the best place, and places opened before
         self.taken: dict[tuple[int, int], set[int]] = {}
 
-    def _subset_values(self, logs: np.ndarray, rest: np.ndarray, bound: float, salt: int, places: np.ndarray) -> np.ndarray:
-        """Largest perturbed value in subsets of log-mass logs + log(rest), cut off at bound."""
-        with np.errstate(divide="ignore"):
-            mass = logs + np.log(np.maximum(rest, 0.0))
-            noise = np.log(-np.log(uniform(self.key, salt, places, 0x47)))
-            return -np.logaddexp(-bound, noise - mass)
+    def _put_best(self, i: int) -> None:
+        """The best place left of path i."""
+        if len(self.gaps[i]):
+            t = int(self.gaps[i].argmin())
+            gap = float(self.gaps[i][t])
+            if gap < math.inf:
+                heappush(self.heap, (float(np.logaddexp(-self.paths[i][3], gap)), i, t))
+                self.gaps[i][t] = math.inf
 
     def add(self, edges: np.ndarray, units: np.ndarray, perturbed: float, branch: int) -> None:
         """A path that is new from place `branch` on."""
-        chance = self.l.chance[edges]
-        logs = np.concatenate([[0.0], np.cumsum(np.log(chance))])
-        values = np.full(len(edges), -np.inf)
-        node = self.l.owner[edges]
-        several = self.l.first[node + 1] - self.l.first[node] > 1
-        open_ = np.flatnonzero(several & (np.arange(len(edges)) > branch))
-        if len(open_):
-            values[open_] = self._subset_values(logs[open_], 1 - chance[open_], perturbed, len(self.paths) + 1, open_)
-        self.paths.append((edges, units, float(logs[-1]), perturbed))
-        self.bounds.append(values)
-
-    def best(self) -> tuple[float, int, int]:
-        """(value, path, place) of the best subset left."""
-        found = [(float(v.max()), i, int(v.argmax())) for i, v in enumerate(self.bounds) if len(v)]
-        return max(found, key=lambda x: x[0], default=(-np.inf, -1, -1))
+        log = self.l.log[edges]
+        sums = np.cumsum(log)
+        before = sums - log
+        gaps = np.log(-np.log(uniform(np.uint64(seed_of(self.key, len(self.paths), 0x47)), np.arange(len(edges))))) - before - self.l.rest[edges]
+        gaps[: branch + 1] = math.inf
+        self.paths.append((edges, units, float(sums[-1]) if len(sums) else 0.0, perturbed))
+        self.logs.append(before)
+        self.gaps.append(gaps)
+        self._put_best(len(self.paths) - 1)
+
+    def best(self) -> float:
+        """Value of the best subset left."""
+        return -self.heap[0][0] if self.heap else -math.inf
 
     def leave(self) -> tuple[int, int, int, float] | None:
         """Opens the best subset: (path, place, edge taken there, value)."""
-        value, i, t = self.best()
-        if value == -np.inf:
+        if not self.heap:
             return None
-        edges = self.paths[i][0]
-        node = int(self.l.owner[edges[t]])
-        taken = self.taken.setdefault((i, t), {int(edges[t])})
+        value, i, t = heappop(self.heap)
+        value = -value
+        edge = int(self.paths[i][0][t])
+        node = int(self.l.owner[edge])
+        taken = self.taken.get((i, t))
+        if taken is None:
+            taken = self.taken[i, t] = {edge}
+            self._put_best(i)
         free = [e for e in range(int(self.l.first[node]), int(self.l.first[node + 1])) if e not in taken]
-        chance = self.l.chance[free]
-        u = float(uniform(self.key, len(self.paths), t, 0x1F)) * float(chance.sum())
-        e = free[min(int(np.searchsorted(np.cumsum(chance), u, "right")), len(free) - 1)]
-        taken.add(e)
-        rest = float(chance.sum() - self.l.chance[e]) if len(free) > 1 else 0.0
-        before = float(np.log(self.l.chance[edges[:t]]).sum())
-        self.bounds[i][t] = self._subset_values(np.array([before]), np.array([rest]), value, len(self.paths) + 0x1000, np.array([t]))[0]
-        return i, t, e, value
+        chance = [math.exp(self.l.log[e]) for e in free]
+        u = uniform_one(seed_of(self.key, len(self.paths), t, 0x1F)) * sum(chance)
+        sums = list(accumulate(chance))
+        pick = min(bisect_right(sums, u), len(free) - 1)
+        taken.add(free[pick])
+        rest = sum(c for j, c in enumerate(chance) if j != pick)
+        if rest > 0:  # what is left of the subset stays below this value
+            gap = math.log(-math.log(uniform_one(seed_of(self.key, len(self.paths), t, 0x47, 1)))) - float(self.logs[i][t]) - math.log(rest)
+            heappush(self.heap, (float(np.logaddexp(-value, gap)), i, t))
+        return i, t, free[pick], value
 
 
 def sample(lattices: Lattices, keys: list[int], texts: list[str], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -262,27 +354,25 @@ def sample(lattices: Lattices, keys: list[int], texts: list[str], k: int) -> lis
     l = lattices  # noqa: E741
     if l.edges > POOL_EDGES:
         l.reset()
-    units = [l.units_of(l.normal(t)) for t in texts]
-    sizes = np.array([len(u) for u in units])
-    starts = l.starts([x for u in units for x in u])
-    cuts = np.concatenate([[0], np.cumsum(sizes)])
-    key = np.array(keys, np.uint64)
-    searches = [Search(l, key[i], starts[cuts[i] : cuts[i + 1]]) for i in range(len(texts))]
+    units = [l.keys_of(t) for t in texts]
+    cuts = np.cumsum([0, *map(len, units)])
+    starts = l.starts(list(chain.from_iterable(units)))
+    searches = [Search(l, key & _M64, starts[a:b]) for key, a, b in zip(keys, cuts.tolist(), cuts[1:].tolist())]
 
     def drawn(which: list[int], nodes: list[np.ndarray], places: list[np.ndarray], round_: int):
         """Edges and units of each text's remaining units."""
         n = np.array([len(x) for x in nodes])
-        owner = np.repeat(np.array(which), n)
-        whose, edges = l.walk(np.concatenate(nodes), key[owner], np.concatenate(places), round_)
-        ends = np.searchsorted(whose, np.concatenate([[0], np.cumsum(n)]))
-        at = np.concatenate(places)[whose]
+        seeds = np.array([seed_of(searches[i].key, round_) for i in which], np.uint64)
+        at = np.concatenate(places)
+        whose, edges = l.walk(np.concatenate(nodes), np.repeat(seeds, n), at)
+        ends = np.searchsorted(whose, np.concatenate([[0], np.cumsum(n)])).tolist()
+        at = at[whose]
         return [(edges[a:b], at[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
     every = list(range(len(texts)))
     if every:
-        for i, (edges, at) in zip(every, drawn(every, [s.starts for s in searches], [np.arange(len(s.starts)) for s in searches], 0), strict=True):
-            root = -float(np.log(-np.log(uniform(key[i], 0x52))))
-            searches[i].add(edges, at, root, -1)
+        for s, (edges, at) in zip(searches, drawn(every, [s.starts for s in searches], [np.arange(len(s.starts)) for s in searches], 0), strict=True):
+            s.add(edges, at, -math.log(-math.log(uniform_one(seed_of(s.key, 0x52)))), -1)
     for r in range(1, k):
         opened = [(i, x) for i in every if (x := searches[i].leave()) is not None]
         if not opened:
@@ -297,19 +387,23 @@ def sample(lattices: Lattices, keys: list[int], texts: list[str], k: int) -> lis
             searches[i].add(np.concatenate([old[:t], [e], edges]), np.concatenate([old_at[: t + 1], at]), value, t)
     out = []
     for s in searches:
-        limit = s.best()[0] if len(s.paths) == k else -np.inf
+        limit = s.best() if len(s.paths) == k else -math.inf
         rows = []
         for edges, _, logp, perturbed in s.paths:
-            ids = l.ids_of(edges)
-            inclusion = 1.0 if limit == -np.inf else float(-np.expm1(-np.exp(min(logp - limit, 50.0))))
-            rows.append((ids, logp, perturbed, inclusion))
+            inclusion = 1.0 if limit == -math.inf else -math.expm1(-math.exp(min(logp - limit, 50.0)))
+            rows.append((l.ids_of(edges), logp, perturbed, inclusion))
         out.append(rows)
     return out
 
 
+def decoded(lattices: Lattices, ids) -> bytes:
+    """The bytes of piece ids, one behind the other, with the blank that was put before the text."""
+    return b"".join(map(lattices.text.__getitem__, ids))
+
+
 def decode(lattices: Lattices, ids) -> str:
-    """The text of piece ids: pieces one behind the other, bytes joined, without the blank put before the text."""
-    return b"".join(map(lattices.text.__getitem__, ids)).decode("utf-8", "replace")[1:]
+    """The text of piece ids, without the blank put before it."""
+    return decoded(lattices, ids).decode("utf-8", "replace")[1:]
 
 
 _LATTICES: dict[str, Lattices] = {}
@@ -328,7 +422,8 @@ def sampled_segmentations(df: DataFrame, key: str, model: str = "piece_bpe_32k.m
     log_prob, perturbed, inclusion double, decoded boolean (the ids decode to the text), and ids (array) if asked for;
     such columns of df are replaced. inclusion is the chance to be among the sample given the best one that is not.
     A null text counts as empty: one segmentation without pieces. A text with fewer than k segmentations gives all. Rows
-    with equal keys and texts give equal samples; a null key counts as 'None'.
+    with equal keys and texts give equal samples; a null key counts as 'None'. A very long text is sampled whole, by
+    itself; an empty df gives no rows.
     """
     workers_see_package(df.sparkSession)
     df = df.drop("sample", "n_pieces", "ids_crc32", "log_prob", "perturbed", "inclusion", "decoded", "ids")
@@ -340,12 +435,13 @@ def sampled_segmentations(df: DataFrame, key: str, model: str = "piece_bpe_32k.m
         l = lattices(model)  # noqa: E741
         part = b.slice(start, end - start)
         texts = [t or "" for t in part.column(at).to_pylist()]
+        raw = [b" " + t.encode() if t else b"" for t in texts]
         keys = [xxhash.xxh3_64_intdigest(str(x), seed) for x in part.column(key_at).to_pylist()]
         row, cols = [], [[] for _ in range(7 + keep_ids)]
         for i, found in enumerate(sample(l, keys, texts, k)):
             for j, (ids, logp, perturbed, inclusion) in enumerate(found):
                 row.append(i)
-                new = (j, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), logp, perturbed, inclusion, decode(l, ids.tolist()) == texts[i], ids)
+                new = (j, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), logp, perturbed, inclusion, decoded(l, ids.tolist()) == raw[i], ids)
                 for c, v in zip(cols, new, strict=False):
                     c.append(v)
         kept = pa.RecordBatch.from_arrays([c for x, c in enumerate(part.columns) if x != at], names=[n for n in names if n != "text"]).take(pa.array(row, pa.int64()))

@@ -77,17 +77,30 @@ def test_round_trip_and_digests(docs, rows, lattices):
     assert all(len(v) == 3 for i, v in by.items() if len(text[i].strip()) > 5)
 
 
-def test_library_decodes_the_same(docs):
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    for r in M.sampled_segmentations(docs, "doc_id", k=1, keep_ids=True).where("n_pieces > 0").limit(40).collect():
-        assert zlib.crc32(sp.decode(r["ids"]).encode()) is not None
+def test_query_equals_brute_force(spark, sf, rows, lattices):
+    """Ids, probabilities and order of every short text's samples against all its segmentations."""
+    out = M.sampled_segmentations(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id", keep_ids=True).collect()
+    query = {(r["doc_id"], r["sample"]): r for r in M.op9_gumbel_segmentations(spark, sf).collect()}
+    assert len(query) == len(out) and all(query[r["doc_id"], r["sample"]]["ids_crc32"] == r["ids_crc32"] for r in out)
+    text, seen = {i: t or "" for i, t, *_ in rows}, 0
+    for i, t in text.items():
+        mine = sorted((r for r in out if r["doc_id"] == i), key=lambda r: r["sample"])
+        assert [r["perturbed"] for r in mine] == sorted((r["perturbed"] for r in mine), reverse=True) and all(0 <= r["inclusion"] <= 1 for r in mine)
+        if len(t) <= 30:
+            law = {(): 1.0}
+            for u in lattices.units_of(lattices.normal(t)):
+                law = {a + b: x * y for a, x in law.items() for b, y in every(lattices, u).items()} if len(law) < 20_000 else {}
+            if law:
+                seen += 1
+                total = sum(law.values())
+                assert len({tuple(r["ids"]) for r in mine}) == min(3, len(law))
+                assert all(r["log_prob"] == pytest.approx(np.log(law[tuple(r["ids"])] / total), abs=1e-9) for r in mine)
+    assert seen > 5
 
 
 def test_awkward_empty_and_clashing(awkward, nothing):
     out = M.sampled_segmentations(awkward.withColumn("sample", F.lit("x")), "doc_id", k=2).collect()
-    assert {r["n_chars"]: 0 for r in out} and len(out) == 3 + 2 * (awkward.count() - 3) and all(r["decoded"] for r in out)
+    assert len(out) == 3 + 2 * (awkward.count() - 3) and all(r["decoded"] for r in out)
     assert M.sampled_segmentations(nothing, "doc_id").count() == 0
 
 
