@@ -258,12 +258,12 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 2000, c
     """Linear SVM by averaged subgradient steps on the weighted hinge loss, from zero; no randomness."""
     w, b, lam = np.zeros(x.shape[1]), 0.0, 1.0 / c
     sw, sb = w.copy(), 0.0
-    x, pull = x.astype(np.float32), y * weight
+    pull = y * weight
     for t in range(1, rounds + 1):
-        hit = np.flatnonzero(y * (x @ w.astype(np.float32) + b) < 1)
+        hit = np.where(y * (x @ w.astype(np.float32) + b) < 1, pull, 0.0)
         step = 3.0 / t**0.5
-        w = w - step * (lam * w - pull[hit] @ x[hit])
-        b += step * float(pull[hit].sum())
+        w = w - step * (lam * w - hit.astype(np.float32) @ x)
+        b += step * float(hit.sum())
         if t > rounds // 2:
             sw, sb = sw + w, sb + b
     n = rounds - rounds // 2
@@ -284,12 +284,13 @@ def _logistic(v: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def _stems(docs: list[list[list[str]]]) -> Counter:
-    """In how many documents a word begins so, for all beginnings of 3 to LONGEST characters."""
+def _stems(docs: list[list[list[str]]], among: Counter | None = None) -> Counter:
+    """In how many documents a word begins so, for all beginnings of 3 to LONGEST characters, or those in `among`."""
     out: Counter = Counter()
     for d in docs:
         words = {bare(t)[:LONGEST] for s in d for t in s}
-        out.update({w[:n] for w in words for n in range(3, len(w) + 1)})
+        stems = {w[:n] for w in words for n in range(3, len(w) + 1)}
+        out.update(stems if among is None else stems & among.keys())
     return out
 
 
@@ -306,8 +307,10 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
     if not toxic or not clean:
         return Model(["none"], np.zeros(1), 0.0, 0.0, 0.0 if toxic else -60.0)
     pos, neg = [sentences(t) for t in toxic], [sentences(t) for t in clean]
-    n_pos, n_neg = _stems(pos), _stems(neg)
+    n_pos = _stems(pos)
+    n_neg = _stems(neg, n_pos)
     strength = {w: _g2(n, len(pos), n_neg[w], len(neg)) for w, n in n_pos.items()}
+    del n_pos, n_neg
     top: list[str] = []
     for w in sorted(strength, key=lambda w: (-strength[w], -len(w), w)):
         if len(top) == LANDMARKS[0] or top and strength[w] < LEAST_G2:
@@ -317,19 +320,20 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
     top = top or ["none"]
     # harmless words that look most like these
     others = sorted({bare(t) for d in neg for s in d for t in s}.difference(top))
-    like = WordKernel(top)(others).max(1) if others else np.zeros(0)
+    kernel = WordKernel(top)
+    like = np.concatenate([kernel(others[i : i + 20_000]).max(1) for i in range(0, len(others), 20_000)] or [np.zeros(0)])
+    strength = {w: strength.get(w, 0.0) for w in top}
     landmarks = top + [others[i] for i in np.argsort(-like, kind="stable")[: LANDMARKS[1]]]
     kernel = WordKernel(landmarks)
     words = list(dict.fromkeys(bare(t) for d in [*pos, *neg] for s in d for t in s))
     index = {w: i for i, w in enumerate(words)}
-    k = kernel(words)
     value, vectors = np.linalg.eigh(kernel(landmarks).astype(float))
     keep = value > 1e-6
     root = vectors[:, keep] / np.sqrt(value[keep])  # features of a word: k @ root
-    phi = k @ root
+    phi = np.concatenate([(kernel(words[i : i + 20_000]) @ root).astype(np.float32) for i in range(0, len(words), 20_000)] or [np.zeros((0, root.shape[1]), np.float32)])
     of = lambda s: phi[[index[bare(t)] for t in s]].sum(0)
-    x_pos = [np.array([of(s) for s in d]) if d else np.zeros((1, phi.shape[1])) for d in pos]
-    x_neg = np.array([of(s) for d in neg for s in d] or [np.zeros(phi.shape[1])])
+    x_pos = [np.array([of(s) for s in d]) if d else np.zeros((1, phi.shape[1]), np.float32) for d in pos]
+    x_neg = np.array([of(s) for d in neg for s in d] or [np.zeros(phi.shape[1])], np.float32)
     guess = root.T @ (np.array([strength[w] if w in top and w in strength else 0.0 for w in landmarks]))
     w, b = guess, 0.0
     for _ in range(3):
