@@ -225,11 +225,11 @@ def overlap_quality(spark, sf_dir):
 
 @query(
     """SELECT m.transcript_id, m.label, m.speaker, p.pos, round(avg(p.x), 6) AS mean FROM mapped m JOIN (SELECT transcript_id, process.label AS speaker, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x
-    FROM process JOIN embeddings ON vec_id = (conv_id * 7 + seq) % 200) p ON p.transcript_id = m.transcript_id AND p.speaker = m.speaker GROUP BY ALL""", P + "," + MAP)
+    FROM process JOIN embeddings ON vec_id = (conv_id * 7 + seq) % (SELECT count(*) FROM embeddings)) p ON p.transcript_id = m.transcript_id AND p.speaker = m.speaker GROUP BY ALL""", P + "," + MAP)
 def hybrid_speakers(spark, sf_dir):
     process = td.process_spans(spark, sf_dir)
     e = td.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    heard = process.withColumn("vec_id", (F.col("conv_id") * 7 + F.col("seq")) % 200).join(e, "vec_id")
+    heard = process.withColumn("vec_id", (F.col("conv_id") * 7 + F.col("seq")) % F.lit(e.count())).join(e, "vec_id")
     mean = vectors.vector_mean(heard, ["transcript_id", "label"]).withColumnRenamed("label", "speaker")
     mapped = ranges.overlap_map(td.sort_spans(spark, sf_dir), process).drop("seconds")
     return near(mapped.join(mean, ["transcript_id", "speaker"]).select("transcript_id", "label", "speaker", "pos", "mean"), "mean")
@@ -326,7 +326,7 @@ def centroid_merge(spark, sf_dir):
 def collapse_speakers(spark, sf_dir):
     s = td.speakers(spark, sf_dir)
     e = td.table(spark, sf_dir, "embeddings").select(F.col("vec_id"), "embedding")
-    v = s.withColumn("vec_id", F.pmod(F.xxhash64("transcript_id", "speaker_id"), F.lit(40))).join(e, "vec_id", "left")
+    v = s.withColumn("vec_id", F.pmod(F.xxhash64("transcript_id", "speaker_id"), F.lit(e.count()))).join(e, "vec_id", "left")
     return identity.collapse_speakers(v, td.segments(spark, sf_dir))
 
 
@@ -343,9 +343,9 @@ def relabel_plan(spark, sf_dir):
     return identity.relabels(td.speakers(spark, sf_dir), td.prints(spark, sf_dir)).select("transcript_id", "speaker_id", "fingerprint_id", "old_name", "new_name")
 
 
-@query("SELECT i.fingerprint_id, CASE WHEN p.fingerprint_id IS NULL THEN 'insert' ELSE 'replace' END AS action FROM (SELECT printf('VP-%06d', vec_id) AS fingerprint_id FROM embeddings WHERE vec_id % 3 = 0) i LEFT JOIN prints p USING (fingerprint_id)", FP)
+@query("SELECT i.fingerprint_id, CASE WHEN p.fingerprint_id IS NULL THEN 'insert' ELSE 'replace' END AS action FROM (SELECT printf('VP-%06d', vec_id) AS fingerprint_id FROM embeddings) i LEFT JOIN prints p USING (fingerprint_id)", FP)
 def import_plan(spark, sf_dir):
-    incoming = td.table(spark, sf_dir, "embeddings").where("vec_id % 3 = 0").select(F.format_string("VP-%06d", "vec_id").alias("fingerprint_id"))
+    incoming = td.table(spark, sf_dir, "embeddings").select(F.format_string("VP-%06d", "vec_id").alias("fingerprint_id"))
     return plans.import_plan(incoming, _library(spark, sf_dir), replace=True)
 
 
@@ -521,7 +521,7 @@ def url_identity(spark, sf_dir):
     return td.table(spark, sf_dir, "pages").select("page_id", urls.url_identity(signed).alias("identity"))
 
 
-@query()
+@query("SELECT page_id, 'see ' || regexp_replace(url, '[?#].*$', '') || ' Bearer [redacted]' AS text FROM pages")
 def redact_urls(spark, sf_dir):
     return td.table(spark, sf_dir, "pages").select("page_id", urls.redacted(F.concat(F.lit("see "), "url", F.lit("?token=abc Bearer sk_live_x1"))).alias("text"))
 
@@ -529,7 +529,8 @@ def redact_urls(spark, sf_dir):
 @query(
     """SELECT 'https://site.example/' || (page_id // 5) AS original_url, page_id AS id, CASE page_id % 5 WHEN 0 THEN 'page-voiceover' WHEN 1 THEN 'external-video' WHEN 2 THEN 'podcast-enclosure' ELSE 'generic-media' END AS kind,
     CASE WHEN page_id % 10 = 3 THEN 'requires-auth' WHEN page_id % 10 = 8 THEN 'found-but-unavailable' ELSE 'downloadable' END AS state,
-    row_number() OVER (PARTITION BY page_id // 5 ORDER BY page_id % 10 IN (3, 8), CASE WHEN page_id % 5 = 0 THEN 3 ELSE 0 END, -((page_id * 37 % 100)::DOUBLE), page_id::VARCHAR) AS rank FROM pages""")
+    row_number() OVER (PARTITION BY page_id // 5 ORDER BY page_id % 10 IN (3, 8), CASE WHEN page_id % 5 = 0 THEN 3 ELSE 0 END, -((page_id * 37 % 100)::DOUBLE), page_id::VARCHAR) AS rank,
+    CASE WHEN page_id % 5 = 1 THEN 'https://site.example/p/' || page_id WHEN page_id % 10 <> 8 THEN 'https://cdn.example/m/' || page_id || '?token=1' END AS ref, CASE page_id % 10 WHEN 3 THEN 'availability: subscriber_only' WHEN 8 THEN 'candidate is not directly downloadable; select a candidate with a concrete media or extractor URL' END AS reason FROM pages""")
 def candidate_rank(spark, sf_dir):
     p = td.table(spark, sf_dir, "pages").select("page_id")
     k, i = F.col("page_id") % 5, F.col("page_id").cast("string")
@@ -543,7 +544,7 @@ def candidate_rank(spark, sf_dir):
     )
     info = p.groupBy(F.concat(F.lit("https://site.example/"), F.floor(F.col("page_id") / 5).cast("string")).alias("original_url")).agg(F.sort_array(F.collect_list(F.struct("page_id", entry.alias("e")))).alias("x"))
     out = urls.candidates(info.select("original_url", F.col("x.e").alias("entries")))
-    return out.select("original_url", F.col("id").cast("bigint").alias("id"), "kind", "state", "rank")
+    return out.select("original_url", F.col("id").cast("bigint").alias("id"), "kind", "state", "rank", "ref", "reason")
 
 
 @query(

@@ -6,9 +6,11 @@ import hashlib
 import struct
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULT, Config
 from .vectors import nearest_two
@@ -244,6 +246,56 @@ def folded_centroids(prints: DataFrame, samples: DataFrame) -> DataFrame:
     return out.select("fingerprint_id", F.col("pos").cast("bigint").alias("pos"), value.alias("value"), (F.col("sample_count") + F.col("k")).alias("sample_count"))
 
 
+def minted(embedding: Column, model: Column) -> Column:
+    """print_id of each vector."""
+
+    @F.pandas_udf(T.StringType())
+    def ids(v: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else print_id(x, y) for x, y in zip(v, m, strict=True)])
+
+    return ids(embedding, model)
+
+
+def committed(prints: DataFrame, speakers: DataFrame, decisions: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(library, sources) after an assignment, whose decisions are keyed by speaker_key.
+
+    New speakers become prints with one sample; then samples of strong matches that are long enough are folded into
+    their prints, new ones included; other prints stay. Sources name, for each print that is active afterwards, the
+    speakers it was heard as. prints: fingerprint_id, model, display_name, status, embedding, sample_count; speakers:
+    speaker_key, transcript_id, speaker_id, model, display_name, embedding, duration_ms.
+    """
+    columns = ["fingerprint_id", "model", "display_name", "status", "embedding", "sample_count"]
+    s = speakers.join(decisions.select("speaker_key", "kind", "matched_id"), "speaker_key")
+    floats = F.col("embedding").cast("array<double>").alias("embedding")
+    fresh = s.where("kind = 'new'").select(
+        F.coalesce("matched_id", minted(F.col("embedding"), F.col("model"))).alias("fingerprint_id"), "model", "display_name",
+        F.lit("active").alias("status"), floats, F.lit(1).alias("sample_count"),
+    )
+    old = prints.select(*[floats if c == "embedding" else c for c in columns])
+    library = old.unionByName(fresh.dropDuplicates(["fingerprint_id"]).join(old, "fingerprint_id", "left_anti"))
+    long_enough = F.coalesce(F.col("duration_ms") >= cfg.min_update_ms, F.lit(True))
+    active = library.where("status = 'active'")
+    folded = folded_centroids(active, s.where((F.col("kind") == "strong") & long_enough)).groupBy("fingerprint_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("__new"), F.max("sample_count").alias("__n")
+    )
+    out = library.join(folded, "fingerprint_id", "left").withColumns(
+        {"embedding": F.coalesce("__new", "embedding"), "sample_count": F.coalesce("__n", "sample_count").cast("int")}
+    )
+    heard = s.where("kind in ('strong', 'margin', 'name_match', 'preassigned', 'new')")
+    names = F.coalesce("matched_id", F.when(F.col("kind") == "new", minted(F.col("embedding"), F.col("model"))))
+    sources = heard.select(names.alias("fingerprint_id"), "transcript_id", "speaker_id").dropDuplicates()
+    return out.select(*columns), sources.join(active.select("fingerprint_id"), "fingerprint_id", "left_semi")
+
+
+def labelled(prints: DataFrame, names: DataFrame) -> DataFrame:
+    """Prints with the display names of names (fingerprint_id, name); an id that no print has raises."""
+    missing = names.join(prints, "fingerprint_id", "left_anti").select("fingerprint_id").orderBy("fingerprint_id").limit(1).collect()
+    if missing:
+        raise ValueError(f"fingerprint not found: {missing[0][0]}")
+    new = names.select("fingerprint_id", F.col("name").alias("__name"))
+    return prints.join(new, "fingerprint_id", "left").withColumn("display_name", F.coalesce("__name", "display_name")).select(*prints.columns)
+
+
 def relabels(speakers: DataFrame, prints: DataFrame) -> DataFrame:
     """Speakers whose print has another name than they: transcript_id, speaker_id, fingerprint_id, old_name, new_name."""
     names = prints.select("fingerprint_id", F.col("display_name").alias("new_name"))

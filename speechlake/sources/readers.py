@@ -61,7 +61,7 @@ def best_recording(recordings: DataFrame) -> DataFrame:
 
 
 def entry_speakers(entries: DataFrame, participants: DataFrame) -> DataFrame:
-    """Entries (conference, i, ref) with speaker_id: S1, S2, ... by participant, S_unk_1, ... by first appearance.
+    """Entries (conference, i, ref) with speaker_id: S1, S2, ... by participant, S_unk_0, ... by first appearance.
 
     An unknown ref is one speaker wherever it comes; every entry without ref is another.
     """
@@ -71,7 +71,7 @@ def entry_speakers(entries: DataFrame, participants: DataFrame) -> DataFrame:
     e = e.withColumn("who", F.when(F.col("sid").isNull(), F.when(F.col("ref") != "", F.concat(F.lit("r"), "ref")).otherwise(F.concat(F.lit("i"), F.col("i").cast("string")))))
     first = e.where("who is not null").groupBy("conference", "who").agg(F.min("i").alias("first"))
     n = F.row_number().over(Window.partitionBy("conference").orderBy("first"))
-    first = first.select("conference", "who", F.concat(F.lit("S_unk_"), n.cast("string")).alias("unknown"))
+    first = first.select("conference", "who", F.concat(F.lit("S_unk_"), (n - 1).cast("string")).alias("unknown"))
     out = e.join(first, ["conference", "who"], "left")
     return out.select(*entries.columns, F.coalesce("sid", "unknown").alias("speaker_id"))
 

@@ -39,6 +39,57 @@ class Table:
         return v
 
 
+class Store:
+    """Tables that change together. A commit names the version of each; readers take the newest finished commit, so they
+    see all of a save or none of it, and two writers of one commit collide."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._commits = Table(spark, f"{self.path}/commits")
+
+    def _table(self, name: str) -> Table:
+        return Table(self.spark, f"{self.path}/tables/{name}")
+
+    def versions(self) -> dict[str, int]:
+        return {r["name"]: r["version"] for r in self._commits.read().collect()} if self._commits.version() else {}
+
+    def read(self, name: str) -> DataFrame:
+        v = self.versions().get(name)
+        if not v:
+            raise ValueError(f"no such table: {name}")
+        return self.spark.read.parquet(f"{self.path}/tables/{name}/v-{v:012d}")
+
+    def commit(self, changed: dict[str, DataFrame]) -> int:
+        """Writes new versions of the tables, then the commit that makes them seen."""
+        versions = {**self.versions(), **{name: self._table(name).write(df) for name, df in changed.items()}}
+        rows = self.spark.createDataFrame(sorted(versions.items()), "name string, version int").coalesce(1)
+        return self._commits.write(rows)
+
+    def save(self, transcripts: DataFrame, speakers: DataFrame, segments: DataFrame, prints: DataFrame | None = None) -> int:
+        """Transcripts with their speakers and segments, in place of what these transcripts had; one commit.
+
+        created_at stays that of the first save. Segments of unknown speakers raise. With prints, the library after this
+        assignment, ids of discarded prints are taken from the speakers.
+        """
+        check_orphans(segments, speakers)
+        if prints is not None:
+            speakers = without_discarded(speakers, prints)
+        new, known = {"transcripts": transcripts, "speakers": speakers, "segments": segments}, self.versions()
+        if "transcripts" in known:
+            old = self.read("transcripts")
+            if "created_at" in transcripts.columns:
+                first = old.select("transcript_id", F.col("created_at").alias("__first"))
+                transcripts = transcripts.join(first, "transcript_id", "left").withColumn("created_at", F.coalesce("__first", "created_at")).drop("__first")
+            new["transcripts"] = upsert(old, transcripts, ["transcript_id"])
+            ids = transcripts.select("transcript_id")
+            for name, df in (("speakers", speakers), ("segments", segments)):
+                new[name] = self.read(name).join(ids, "transcript_id", "left_anti").unionByName(df)
+        return self.commit({**new, **({"prints": prints} if prints is not None else {})})
+
+    def delete(self, ids: DataFrame) -> int:
+        return self.commit(delete({n: self.read(n) for n in ("transcripts", "speakers", "segments")}, ids))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
     """Old rows without a new one, and the new rows; columns in keep stay as they were where the new value is null."""
     if keep:
@@ -66,6 +117,85 @@ def orphan_segments(segments: DataFrame, speakers: DataFrame) -> DataFrame:
     return segments.join(speakers.select("transcript_id", "speaker_id"), ["transcript_id", "speaker_id"], "left_anti")
 
 
+def check_orphans(segments: DataFrame, speakers: DataFrame) -> None:
+    """Raises if segments name speakers that their transcript doesn't have; tells of one transcript and up to five ids."""
+    found = orphan_segments(segments, speakers).groupBy("transcript_id").agg(
+        F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("speaker_id")), 1, 5).alias("ids")
+    )
+    first = found.orderBy("transcript_id").limit(1).collect()
+    if first:
+        raise ValueError(f"transcript {first[0]['transcript_id']} has {first[0]['n']} segments of unknown speakers {first[0]['ids']}")
+
+
+def exists(df: DataFrame, value: str, key: str = "transcript_id") -> bool:
+    return not df.where(F.col(key) == value).limit(1).isEmpty()
+
+
+def guarded(incoming: DataFrame, old: DataFrame, mode: str = "error", key: str = "transcript_id") -> tuple[DataFrame, DataFrame]:
+    """(rows to go on with, skip messages). mode: skip leaves out ids that are known, force keeps them, error raises on them."""
+    known = incoming.join(old.select(key).distinct(), key, "left_semi")
+    message = F.to_json(F.struct(F.col(key), F.lit(True).alias("skipped"), F.lit("exists").alias("reason")))
+    if mode == "skip":
+        return new_only(incoming, old, key), known.select(key, message.alias("message"))
+    if mode == "error":
+        first = known.select(key).orderBy(key).limit(1).collect()
+        if first:
+            raise ValueError(f"transcript already exists: {first[0][0]}; choose force or skip")
+    elif mode != "force":
+        raise ValueError(f"mode must be skip, force or error, not {mode!r}")
+    return incoming, known.select(key, message.alias("message")).limit(0)
+
+
+def without_discarded(speakers: DataFrame, prints: DataFrame) -> DataFrame:
+    """Speakers whose print is discarded lose its id."""
+    gone = prints.where("status = 'discarded'").select("fingerprint_id", F.lit(True).alias("__gone"))
+    out = speakers.join(gone, "fingerprint_id", "left")
+    return out.withColumn("fingerprint_id", F.when(F.col("__gone").isNull(), F.col("fingerprint_id"))).select(*speakers.columns)
+
+
+def guarded_sources(sources: DataFrame, prints: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(fingerprint_id, transcript_id, speaker_id) of active prints only, each once; with known, those that are new."""
+    keys = ["fingerprint_id", "transcript_id", "speaker_id"]
+    out = sources.select(*keys).dropDuplicates(keys).join(prints.where("status = 'active'").select("fingerprint_id"), "fingerprint_id", "left_semi")
+    return out if known is None else out.join(known.select(*keys), keys, "left_anti")
+
+
+def with_status(prints: DataFrame, which: str = "active") -> DataFrame:
+    """Prints that are active, discarded, or all."""
+    if which not in ("active", "discarded", "all"):
+        raise ValueError(f"status must be active, discarded or all, not {which!r}")
+    return prints if which == "all" else prints.where(F.coalesce("status", F.lit("active")) == which)
+
+
+def unnamed(prints: DataFrame) -> DataFrame:
+    return prints.where("display_name is null or display_name = ''")
+
+
+def encoded_segments(segments: DataFrame, nested: tuple[str, ...] = ("words",)) -> DataFrame:
+    """Segments with nested columns as JSON text, nulls included."""
+    return segments.withColumns({c: F.to_json(c, {"ignoreNullFields": "false"}) for c in nested})
+
+
+def decoded_segments(rows: DataFrame, ddl: dict[str, str]) -> DataFrame:
+    """The reverse, with the columns' types."""
+    return rows.withColumns({c: F.from_json(c, t) for c, t in ddl.items()})
+
+
+def loaded(transcripts: DataFrame, speakers: DataFrame, segments: DataFrame, ids: list[str] | None = None) -> DataFrame:
+    """A row per transcript with its speakers (by place) and segments (by seq) as arrays; of some ids or all."""
+    t = transcripts if ids is None else transcripts.where(F.col("transcript_id").isin(ids))
+
+    def nested(df: DataFrame, order: str, name: str) -> DataFrame:
+        rest = [c for c in df.columns if c not in (order, "transcript_id")]
+        return df.groupBy("transcript_id").agg(F.sort_array(F.collect_list(F.struct(order, *rest))).alias(name))
+
+    out = t
+    for df, order, name in ((speakers, "ord" if "ord" in speakers.columns else "speaker_id", "speakers"), (segments, "seq", "segments")):
+        own = df if ids is None else df.where(F.col("transcript_id").isin(ids))
+        out = out.join(nested(own, order, name), "transcript_id", "left")
+    return out
+
+
 def audio_duplicates(transcripts: DataFrame) -> DataFrame:
     """(transcript_id, duplicate_of): for each transcript the earliest other one with the same audio fingerprint."""
     t = transcripts.where("content_audio_fp is not null")
@@ -80,10 +210,12 @@ def list_transcripts(
     transcripts: DataFrame, speakers: DataFrame, segments: DataFrame, source: str | None = None, meeting_type: str | None = None,
     diarization_state: str | None = None, limit: int | None = 50, offset: int = 0,
 ) -> DataFrame:
-    """Transcripts with their numbers of speakers and segments, newest first; source may hold % and _."""
+    """Transcripts with their numbers of speakers and segments, newest first; source, which may hold % and _, is looked for
+    in the path and, if there is such a column, in the URL."""
     t = transcripts
     if source:
-        t = t.where(F.col("source_path").ilike(f"%{source}%"))
+        at = [F.coalesce(F.col(c).ilike(f"%{source}%"), F.lit(False)) for c in ("source_path", "source_url") if c in t.columns]
+        t = t.where(at[0] | at[1] if len(at) > 1 else at[0])
     if meeting_type:
         t = t.where(F.col("meeting_type") == meeting_type)
     if diarization_state:
@@ -109,6 +241,12 @@ def status_counts(prints: DataFrame) -> DataFrame:
     return prints.groupBy(F.coalesce("status", F.lit("active")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def status_report(prints: DataFrame) -> DataFrame:
+    """One row: total and, as a map by status, the counts."""
+    by = status_counts(prints).agg(F.sum("n").alias("total"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias("by_status"))
+    return by.select(F.coalesce("total", F.lit(0)).alias("total"), "by_status")
+
+
 def model_counts(prints: DataFrame, active: str) -> DataFrame:
     """Active prints per namespace: legacy (no model), compatible (the active one), incompatible."""
     kind = F.when(F.col("model").isNull(), "legacy").when(F.col("model") == active, "compatible").otherwise("incompatible")

@@ -140,7 +140,7 @@ obs AS (SELECT a.vec_id AS speaker_key, CASE WHEN a.vec_id % 20 > 1 THEN 'm' ||
 def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speakers of the transcripts with the print that stands for them."""
     s = segments(spark, sf_dir).groupBy("conv_id", "transcript_id", "speaker_id").agg(F.min("seq").alias("ord"))
-    i = (F.col("conv_id") * 7 + F.col("ord") * 3) % 500
+    i = (F.col("conv_id") * 7 + F.col("ord") * 3) % F.lit(table(spark, sf_dir, "embeddings").count())
     return s.select(
         "transcript_id", "speaker_id", "ord", F.when(i % 4 != 1, F.format_string("VP-%06d", i - i % 2)).alias("fingerprint_id"),
         F.when(i % 6 == 0, F.lit("Old Name")).alias("display_name"),
@@ -149,7 +149,7 @@ def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SPEAKERS_SQL = """
 spk_o AS (SELECT conv_id, transcript_id, speaker_id, min(seq) AS ord FROM segments GROUP BY conv_id, transcript_id, speaker_id),
-spk0 AS (SELECT *, (conv_id * 7 + ord * 3) % 500 AS i FROM spk_o),
+spk0 AS (SELECT *, (conv_id * 7 + ord * 3) % (SELECT count(*) FROM embeddings) AS i FROM spk_o),
 speakers AS (SELECT transcript_id, speaker_id, ord, CASE WHEN i % 4 <> 1 THEN printf('VP-%06d', i - i % 2) END AS fingerprint_id, CASE WHEN i % 6 = 0 THEN 'Old Name' END AS display_name FROM spk0)"""
 
 
