@@ -145,16 +145,31 @@ def text_signature(text: pd.Series) -> pd.Series:
     Features count as often as they come; a tie sets the bit.
     """
 
-    def one(x) -> str | None:
+    out: list[str | None] = [None] * len(text)
+    held: list[tuple[int, int]] = []  # (place of a text, number of its features) of the texts that digests holds
+    digests: list[bytes] = []
+
+    def flush() -> None:
+        if held:
+            bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8), axis=1)
+            sizes = np.array([n for _, n in held])
+            ones = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0, dtype=np.int64)
+            signatures = np.packbits(2 * ones >= sizes[:, None], axis=1)
+            for (i, _), s in zip(held, signatures, strict=True):
+                out[i] = s.tobytes().hex()
+        held.clear()
+        digests.clear()
+
+    for i, x in enumerate(text):
         t = re.findall("[a-z0-9]+", x.lower()) if x is not None else []
-        if len(t) < 6:
-            return None
-        features = t + [" ".join(t[i : i + 4]) for i in range(len(t) - 3)]
-        digests = b"".join(hashlib.blake2b(w.encode(), digest_size=8).digest() for w in features)
-        bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
-        return np.packbits(2 * bits.sum(0, dtype=np.int64) >= len(bits)).tobytes().hex()
-
-    return text.map(one)
+        if len(t) >= 6:
+            features = t + [" ".join(t[j : j + 4]) for j in range(len(t) - 3)]
+            digests += [hashlib.blake2b(w.encode(), digest_size=8).digest() for w in features]
+            held.append((i, len(features)))
+        if len(digests) > 200_000:
+            flush()
+    flush()
+    return pd.Series(out, dtype=object)
 
 
 def hamming_hex(a: Column, b: Column) -> Column:

@@ -38,6 +38,10 @@ def weighted_mean(a: Column, n: Column, b: Column, m: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: (x.cast("double") * n + y.cast("double") * m) / (n + m))
 
 
+#: Bytes of prints that are broadcast at most, and lots into which a larger join is dealt at most.
+BROADCAST_BYTES, MOST_LOTS = 32_000_000, 256
+
+
 def _blocks(df: DataFrame, key: str, space: str, vector: str, prefix: str, rows: int) -> DataFrame:
     """Rows (space, ids, dim, matrix) of at most a few BLOCK vectors of one length."""
 
@@ -61,10 +65,18 @@ def nearest_two(obs: DataFrame, prints: DataFrame, obs_key: str, print_key: str,
     its space, block by block as matrix products; only the two best of each block go on. A null space is one of its own.
     Vectors of other lengths have similarity 0.0.
     """
-    n_obs, n_prints = obs.count(), prints.count()
+    n_obs = obs.count()
+    n_prints, dim = prints.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vector)), F.lit(0))).first()
     a = _blocks(obs, obs_key, space, vector, "a", n_obs).withColumnRenamed("space", "a_space")
     b = _blocks(prints, print_key, space, vector, "b", n_prints)
-    met = a.join(b, F.col("a_space").eqNullSafe(F.col("space"))).select("a_ids", "a_dim", "a_m", "b_ids", "b_dim", "b_m")
+    if 8 * n_prints * dim <= BROADCAST_BYTES:
+        met = a.join(F.broadcast(b), F.col("a_space").eqNullSafe(F.col("space")))
+    else:  # a space may hold most rows: its parts of obs lie apart, and each meets its own copy of the prints
+        lots = min(MOST_LOTS, max(1, -(-n_obs // BLOCK)))
+        a = a.withColumn("a_lot", F.pmod(F.xxhash64("a_ids"), F.lit(lots)))
+        b = b.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).withColumn("lot", F.col("lot").cast("long"))
+        met = a.join(b, F.col("a_space").eqNullSafe(F.col("space")) & (F.col("a_lot") == F.col("lot")))
+    met = met.select("a_ids", "a_dim", "a_m", "b_ids", "b_dim", "b_m")
 
     def unit(raw: bytes, dim: int) -> np.ndarray:
         m = np.frombuffer(raw, np.float64).reshape(-1, dim)
