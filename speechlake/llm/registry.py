@@ -6,11 +6,11 @@ from .fingerprints import op10_order_minhash_fingerprints
 from .lm import op8_elias_fano_lm_scores
 from .near import OP5_SQL, op5_minhash_near_duplicates
 from .packing import op7_linear_grouping_packs
-from .quality import op2_importance_quality
+from .quality import OP2_BASE_SQL, quality_base_columns, op2_importance_quality
 from .sampling import op9_gumbel_segmentations
 from .sharding import op1_hypergeometric_shards
 from .substrings import OP4_SQL, op4_repeated_substrings
-from .tokens import op6_prefix_token_counts
+from .tokens import OP6_BYTES_SQL, token_byte_counts, op6_prefix_token_counts
 from .toxicity import op3_subsequence_kernel_toxicity
 
 QUERIES = {
@@ -26,7 +26,15 @@ QUERIES = {
         op8_elias_fano_lm_scores,
         op9_gumbel_segmentations,
         op10_order_minhash_fingerprints,
+        # what SQL can state of two of them
+        quality_base_columns,
+        token_byte_counts,
     )
 }
 
-ORACLES = {"op4_repeated_substrings": OP4_SQL, "op5_minhash_near_duplicates": OP5_SQL}
+ORACLES = {
+    "op4_repeated_substrings": OP4_SQL,
+    "op5_minhash_near_duplicates": OP5_SQL,
+    "quality_base_columns": OP2_BASE_SQL,
+    "token_byte_counts": OP6_BYTES_SQL,
+}

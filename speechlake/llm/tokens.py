@@ -289,3 +289,12 @@ def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_tokens",
         (F.col("n_tokens") > 2048).alias("over_limit"), "n_fitting_chars",
     )
+
+
+def token_byte_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6_prefix_token_counts that SQL can state."""
+    return op6_prefix_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
+#: DuckDB: the rows of token_byte_counts.
+OP6_BYTES_SQL = "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents"

@@ -1,6 +1,8 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from speechlake.llm import sharding as S
 
@@ -30,6 +32,22 @@ def test_same_result_each_time(docs):
     assert a == b
 
 
+def test_other_rows_than_were_counted_raise(spark, tmp_path):
+    """Surplus rows that begin a batch of their own are no less an error than missing ones."""
+    for change in (500, -500):
+        mark = tmp_path / f"seen{change}"
+
+        def rows(batches, mark=mark, change=change):
+            n = 10_000 + change if mark.exists() else 10_000
+            mark.touch()
+            list(batches)
+            for start in range(0, n, 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(range(start, min(n, start + 10_000)), pa.int64())], names=["id"])
+
+        with pytest.raises(Exception, match="changed meanwhile"):
+            S.hypergeometric_shuffle(spark.range(0, 10, 1, 1).mapInArrow(rows, "id long"), 7).collect()
+
+
 def test_matrix_margins_and_law():
     counts, sizes = np.array([5, 0, 17, 3, 40]), S.shard_sizes(65, 4)
     prefix = np.concatenate([[0], np.cumsum(counts)])
