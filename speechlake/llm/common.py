@@ -10,7 +10,6 @@ import uuid
 from pathlib import Path
 
 import numpy as np
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -119,38 +118,6 @@ def ranked(df: DataFrame, group: list[str], cell: str, order: list[Column], name
     )
 
 
-class WordHashes(dict):
-    """64-bit hash of a word (bytes), kept until CACHE_ENTRIES words are known."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-WORDS = WordHashes()
-
-
-def windows(h: np.ndarray, width: int) -> np.ndarray:
-    """Rabin-Karp hash, modulo 2**64, of every `width` consecutive word hashes."""
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    acc = np.zeros(n, np.uint64)
-    base = np.uint64(0x9E3779B97F4A7C15)
-    for j in range(width):
-        acc *= base
-        acc += h[j : j + n]
-    acc ^= acc >> np.uint64(32)
-    acc *= np.uint64(0xD6E8FEB86659FD93)
-    acc ^= acc >> np.uint64(32)
-    return acc
-
-
 def buckets_of(h: np.ndarray, n: int) -> np.ndarray:
     """Contiguous, equal ranges of the hash space."""
     return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)

@@ -18,8 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDS, Scratch, documents, first_of_runs, fitted, schema_with, windows, workers_see_package
+from .common import Scratch, documents, first_of_runs, fitted, schema_with, workers_see_package
 from .components import connected_components
+from .words import Words, rolling, sliced
 
 WIDTH = 5
 PERMUTATIONS, ROWS = 128, 4
@@ -37,12 +38,17 @@ _A = _RNG.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.
 _B = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """Sorted distinct hashes of 5-word shingles; of fewer words, of the whole sequence; none without words."""
-    if not words:
-        return np.empty(0, np.uint64)
-    width = min(WIDTH, len(words))
-    return np.unique(windows(WORDS.of(words), width)) ^ np.uint64(width)
+def shingle_sets(texts: pa.Array) -> tuple[list[np.ndarray], list[bytes]]:
+    """Of each text the sorted distinct hashes of its 5-word shingles, A to Z in lower case (of fewer words, of the whole
+    sequence; none without words), and a 128-bit digest of its words."""
+    w = Words(texts, True)
+    h, rolled, sets, digests = w.h, rolling(w.h, WIDTH), [], []
+    for a, b in zip(w.first.tolist(), w.first[1:].tolist()):
+        width = min(WIDTH, b - a)
+        runs = rolled[a : b - WIDTH + 1] if width == WIDTH else rolling(h[a:b], width) if width else h[:0]
+        sets.append(np.unique(runs) ^ np.uint64(width))
+        digests.append(xxhash.xxh3_128_digest(h[a:b].tobytes()))
+    return sets, digests
 
 
 def lowered(text: str | None) -> list[bytes]:
@@ -77,12 +83,11 @@ def described(df: DataFrame) -> DataFrame:
     schema = schema_with(df.drop("text"), "n_shingles long, digest binary, signature binary")
 
     def describe(batches):
-        for b in batches:
-            words = [lowered(t.as_py()) for t in b.column(text)]
-            sets = [shingles(w) for w in words]
+        for b in (part for whole in batches for part in sliced(whole, text)):
+            sets, digests = shingle_sets(b.column(text))
             new = [
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
+                pa.array(digests, pa.binary()),
                 pa.array([s.tobytes() for s in signatures(sets)], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != text), *new], names=schema.fieldNames())
@@ -106,14 +111,10 @@ def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, wanted_rows: int,
     """(rep, shingles as bytes) of the representatives in ids. Few of them are sent to the texts, many meet them in a join."""
 
     def build(batches):
-        for b in batches:
-            rep, out = [], []
-            for i, text, digest in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = lowered(text)
-                if xxhash.xxh3_128_digest(b" ".join(words)) == digest:
-                    rep.append(i)
-                    out.append(shingles(words).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(out, pa.binary())], names=["rep", "shingles"])
+        for b in (part for whole in batches for part in sliced(whole, 1)):
+            sets, digests = shingle_sets(b.column(1))
+            own = [i for i, (mine, wanted) in enumerate(zip(digests, b.column(2).to_pylist(), strict=True)) if mine == wanted]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["rep", "shingles"])
 
     wanted = fitted(classes.join(ids, "rep"), rows).select(F.col("rep").alias("doc_id"), "digest")
     wanted = F.broadcast(wanted) if wanted_rows <= BROADCAST_ROWS else wanted

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import CACHE_ENTRIES, documents, ranked, schema_with, workers_see_package, written
+from .words import sliced
 
 
 class IdBytes:
@@ -92,7 +93,7 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, keep
 
     def cut(batches):
         ids, end = _ids(tokenizer), struct.pack("<I", end_id)
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole, at)):
             row, piece, start, length, crc, raw = [], [], [], [], [], []
             for i, text in enumerate(b.column(at).to_pylist()):
                 data = ids.of(text or "") + end

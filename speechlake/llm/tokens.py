@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import CACHE_ENTRIES, documents, schema_with, workers_see_package
+from .words import sliced
 
 
 def byte_letters() -> dict[int, str]:
@@ -265,7 +266,7 @@ def token_counts(df: DataFrame, tokenizer: str, budget: int = 2048, prefixes: bo
 
     def count(batches):
         c = counter(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole, at)):
             texts = [x or "" for x in b.column(at).to_pylist()]
             counted = [c.counted(x) for x in texts]
             n = [k for k, _ in counted]

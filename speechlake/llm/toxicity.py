@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import CACHE_ENTRIES, documents, schema_with, workers_see_package
+from .words import sliced
 
 ORDER, DECAY, SHARPEN = 3, 0.6, 3
 #: Stems of toxic sentences, the most telling ones, and harmless words like them, that become landmarks at most.
@@ -375,7 +376,7 @@ def toxicity(df: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = known.value
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole, at)):
             score = m.score([t or "" for t in b.column(at).to_pylist()])
             new = [pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=schema.fieldNames())

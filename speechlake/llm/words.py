@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import buckets_of
 
 #: Bytes and words of a chunk, unless one text has more.
-CHUNK_BYTES, CHUNK_WORDS = 6_000_000, 1_000_000
+CHUNK_BYTES, CHUNK_WORDS = 4_500_000, 750_000
 #: Distinct n-grams that a bucket gathers, about.
 BUCKET_ENTRIES = 1_500_000
 #: Longer words are hashed one by one.
@@ -208,6 +208,16 @@ def chunks(batches, text: int, lower: bool = False):
         yield from flush()
 
 
+def sliced(batch: pa.RecordBatch, text: int):
+    """The batch in parts of CHUNK_BYTES of text at most, or of one row."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, start = np.concatenate([[0], np.cumsum(lengths)]), 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(total, total[start] + CHUNK_BYTES, "right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 _OPTIONS = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
 
 
