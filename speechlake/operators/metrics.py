@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.text import fillers
-from .segments import interruption_counts, tokens, with_islands
+from .segments import in_order, tokens, with_islands
 
 KEYS = ["transcript_id", "speaker_id"]
 
@@ -69,15 +69,28 @@ def asr_confidence(words: DataFrame) -> DataFrame:
 
 
 def speaker_metrics(annotated: DataFrame, words: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """All metrics of every speaker with a segment. annotated has turn taking; words as even_words makes them."""
+    """All metrics of every speaker with a segment. annotated has turn taking; words as even_words makes them.
+
+    Segments are dealt by transcript once: windows and the aggregation by speaker need no other exchange. A span adds to
+    the talk time what lies behind the speaker's spans so far; a speaker is interrupted by the segment that follows.
+    """
     islands = with_islands(annotated, cfg).select("transcript_id", "seq", "island")
     pauses = pause_profile(words.join(islands, ["transcript_id", "seq"]), cfg)
-    out = talk_balance(annotated)
-    for part in (pauses, filler_rates(annotated), interruption_counts(annotated)):
-        out = out.join(part, KEYS, "left")
-    return out.fillna(
-        {
-            "pause_count": 0, "avg_pause_ms": 0.0, "filler_count": 0, "filler_rate": 0.0,
-            "interruptions_made": 0, "interruptions_received": 0,
-        }
+    own = Window.partitionBy(*KEYS).orderBy("start_ms", "end_ms").rowsBetween(Window.unboundedPreceding, -1)
+    s = annotated.withColumns(
+        {"__cut": F.lead("is_interruption").over(in_order()), "__total": F.max("end_ms").over(Window.partitionBy("transcript_id")), "__reach": F.max("end_ms").over(own)}
+    )
+    added = F.greatest(F.col("end_ms") - F.greatest("start_ms", F.coalesce("__reach", "start_ms")), F.lit(0).cast("bigint"))
+    out = s.groupBy(*KEYS).agg(
+        F.sum(added).alias("talk_time_ms"), F.max("__total").alias("__total"), F.sum(F.size(tokens(F.col("text")))).cast("bigint").alias("word_count"),
+        F.sum(F.size(fillers(F.col("text")))).cast("bigint").alias("filler_count"),
+        F.count_if("is_interruption").alias("interruptions_made"), F.count_if("__cut").alias("interruptions_received"),
+    )
+    ratio = F.when(F.col("__total") > 0, F.col("talk_time_ms") / F.col("__total")).otherwise(0.0)
+    rate = F.when(F.col("word_count") > 0, F.col("filler_count") / F.col("word_count") * 100).otherwise(0.0)
+    out = out.withColumns({"talk_ratio": ratio, "wpm": per_minute(F.col("word_count"), F.col("talk_time_ms")), "filler_rate": rate})
+    out = out.join(pauses, KEYS, "left").fillna({"pause_count": 0, "avg_pause_ms": 0.0})
+    return out.select(
+        *KEYS, "talk_time_ms", "talk_ratio", "word_count", "wpm", "pause_count", "avg_pause_ms", "filler_count", "filler_rate",
+        "interruptions_made", "interruptions_received",
     )
