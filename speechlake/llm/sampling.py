@@ -29,7 +29,7 @@ from .common import documents, schema_with, workers_see_package
 #: Weight of the piece of rank r: 1 / (r + SHIFT).
 SHIFT = 10.0
 #: Edges of lattices that a worker keeps before it starts anew.
-POOL_EDGES = 4_000_000
+POOL_EDGES = 8_000_000
 #: Characters of units whose lattices are built at a time, unless one unit has more.
 ADD_CHARS = 100_000
 #: Characters of the longest unit whose sums over ways are far from the smallest double.
@@ -54,15 +54,31 @@ def seed_of(*parts: int) -> int:
     return x
 
 
-def uniform(seed, place) -> np.ndarray:
-    """Numbers between 0 and 1, exclusive, from seeds and places (numbers or arrays)."""
-    x = np.asarray(place).astype(np.uint64) * np.uint64(_C1)
-    x += np.asarray(seed, np.uint64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers between 0 and 1, exclusive; x is used up."""
     for shift, factor in ((30, _C2), (27, _C3)):
         x ^= x >> np.uint64(shift)
         x *= np.uint64(factor)
     x ^= x >> np.uint64(31)
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    x >>= np.uint64(11)
+    out = x.astype(np.float64)
+    out += 0.5
+    out *= 2.0**-53
+    return out
+
+
+def uniform(seed, place) -> np.ndarray:
+    """Numbers between 0 and 1, exclusive, from seeds and places (numbers or arrays)."""
+    return _mixed(np.asarray(place).astype(np.uint64) * np.uint64(_C1) + np.asarray(seed, np.uint64))
+
+
+#: Multiples of _C1, for places from 0 on.
+_STEPS = np.arange(1 << 14, dtype=np.uint64) * np.uint64(_C1)
+
+
+def uniform_row(seed: int, n: int) -> np.ndarray:
+    """uniform(seed, place) for the places below n."""
+    return _mixed(_STEPS[:n] + np.uint64(seed)) if n <= len(_STEPS) else uniform(np.uint64(seed), np.arange(n))
 
 
 def uniform_one(seed: int) -> float:
@@ -171,7 +187,7 @@ class Lattices:
         left = end - node  # characters to the end
         code = np.zeros(n, np.uint64)
         code[left > 0] = np.frombuffer(("▁" + "▁".join(keys)).encode("utf-32-le", "surrogatepass"), np.uint32)
-        chance, piece = np.zeros((n, width)), np.zeros((n, width), np.int32)
+        chance, piece = np.zeros(n * width), np.zeros(n * width, np.int32)
         at = np.flatnonzero(left)
         h = np.zeros(len(at), np.uint64)
         for size in range(1, width + 1):
@@ -182,14 +198,18 @@ class Lattices:
             h += code[at + size - 1] + np.uint64(1)
             slot = self._slot(h)
             ids = np.where(slot >= 0, self.slot_ids[slot], -1)
-            hit = ids >= 0
-            chance[at[hit], width - size] = self.slot_weights[slot[hit]]  # long pieces first: the likelier ones, mostly
-            piece[at[hit], width - size] = ids[hit]
+            hit = np.flatnonzero(ids >= 0)
+            cell = at[hit] * width + (width - size)  # long pieces first: the likelier ones, mostly
+            chance[cell] = self.slot_weights[slot[hit]]
+            piece[cell] = ids[hit]
             if size == 1:
-                c = code[at[~hit]].astype(np.int64)
-                chance[at[~hit], -1] = np.exp(self.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
-                piece[at[~hit], -1] = -1 - c
-            at, h = at[slot >= 0], h[slot >= 0]
+                rest = at[ids < 0]
+                c = code[rest].astype(np.int64)
+                chance[rest * width + (width - 1)] = np.exp(self.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
+                piece[rest * width + (width - 1)] = -1 - c
+            on = np.flatnonzero(slot >= 0)
+            at, h = at[on], h[on]
+        chance = chance.reshape(n, width)
         # sums over ways to the end, from the last node backwards, in all units at once; as logs where they get too small
         total = np.zeros(n) if longest > LINEAR else np.ones(n)
         by_left = np.argsort(left.astype(np.uint16 if longest < 65536 else np.int64), kind="stable")
@@ -210,7 +230,7 @@ class Lattices:
         flat = np.flatnonzero(chance)
         start = flat // width
         stop = start + width - (flat - start * width)
-        chance, piece = chance.ravel()[flat], piece.ravel()[flat]
+        chance, piece = chance.ravel()[flat], piece[flat]
         logs = np.log(chance)
         first = np.concatenate([[0], np.cumsum(np.bincount(start, minlength=n))])
         heads = np.flatnonzero(np.diff(start, prepend=-1))
@@ -262,11 +282,13 @@ class Lattices:
     def walk(self, node: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draws edges from each node (-1: none) to its unit's end; (which of the nodes, edge), in order."""
         at = np.flatnonzero(node >= 0)
-        node, seed, place = node[at], seed[at], place[at] << 24
-        whose, edges, step = [], [], 0
+        node = node[at]
+        state = ((place[at] << 24).astype(np.uint64)) * np.uint64(_C1) + seed[at]  # uniform(seed, (place << 24) + step)
+        whose, edges = [], []
         cum = self.cum
         while len(at):
-            x = node + uniform(seed, place + step)
+            x = _mixed(state.copy())
+            x += node
             e = self.first[node]
             behind = np.flatnonzero(cum[e] < x)
             while len(behind):  # the likeliest edges come first
@@ -274,9 +296,10 @@ class Lattices:
                 behind = behind[cum[e[behind]] < x[behind]]
             whose.append(at)
             edges.append(e)
-            nxt = self.target[e].astype(np.int64)
-            go = nxt >= 0
-            at, node, seed, place, step = at[go], nxt[go], seed[go], place[go], step + 1
+            nxt = self.target[e]
+            go = np.flatnonzero(nxt >= 0)
+            at, node, state = at[go], nxt[go].astype(np.int64), state[go]
+            state += np.uint64(_C1)
         if not whose:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         whose, edges = np.concatenate(whose), np.concatenate(edges)
@@ -313,7 +336,10 @@ class Search:
         log = self.l.log[edges]
         sums = np.cumsum(log)
         before = sums - log
-        gaps = np.log(-np.log(uniform(np.uint64(seed_of(self.key, len(self.paths), 0x47)), np.arange(len(edges))))) - before - self.l.rest[edges]
+        gaps = np.log(uniform_row(seed_of(self.key, len(self.paths), 0x47), len(edges)))
+        np.log(np.negative(gaps, out=gaps), out=gaps)
+        gaps -= before
+        gaps -= self.l.rest[edges]
         gaps[: branch + 1] = math.inf
         self.paths.append((edges, units, float(sums[-1]) if len(sums) else 0.0, perturbed))
         self.logs.append(before)
