@@ -136,7 +136,7 @@ def filler_rate(spark, sf_dir):
 
 
 _TOK = r"list_transform(regexp_extract_all(text, '[\p{L}\p{N}_](?:[\p{L}\p{N}_'']*[\p{L}\p{N}_])?'), lambda x: lower(x))"
-_LEX = ", ".join(f"CAST(len(list_filter(t, lambda x: x IN ({', '.join(repr(w) for w in ws.split())}))) AS BIGINT) AS {k}" for k, ws in tx.LEXICONS.items())
+_LEX = ", ".join(f"CAST(len(list_filter(t, lambda x: x IN ({', '.join(repr(w) for w in ws)}))) AS BIGINT) AS {k}" for k, ws in tx.LEXICONS.items())
 
 
 @query(f"SELECT transcript_id, seq, CAST(len(t) AS BIGINT) AS word_count, {_LEX} FROM (SELECT *, {_TOK} AS t FROM segments)", S)

@@ -19,14 +19,36 @@ FILLERS = [
 
 # Words of each category.
 LEXICONS = {
-    "cognitive_process": "think thought thinking know knew knowing knowledge understand understood understanding realize realized consider considered remember recall decide decided reason reasoning analyze analyzed",
-    "tentative": "maybe perhaps possibly might could may seems seem seemed appears appear guess suppose probably somewhat approximately around roughly",
-    "certainty": "always never definitely certainly must absolutely clearly obviously undoubtedly completely totally entirely fully exactly precisely",
-    "inclusive": "and with also together both include including plus additionally furthermore moreover",
-    "exclusive": "but except without however though although unless rather instead neither nor exclude excluding",
-    "insight": "realize realized understand understood see notice noticed discover discovered recognize recognized aware awareness",
-    "causation": "because cause caused causes why since therefore thus hence consequently result resulted leads led due reason effect",
-}
+    "cognitive_process": [
+        "think", "thought", "thinking", "know", "knew", "knowing", "knowledge", "understand", "understood",
+        "understanding", "realize", "realized", "consider", "considered", "remember", "recall", "decide", "decided",
+        "reason", "reasoning", "analyze", "analyzed",
+    ],
+    "tentative": [
+        "maybe", "perhaps", "possibly", "might", "could", "may", "seems", "seem", "seemed", "appears", "appear",
+        "guess", "suppose", "probably", "somewhat", "approximately", "around", "roughly",
+    ],
+    "certainty": [
+        "always", "never", "definitely", "certainly", "must", "absolutely", "clearly", "obviously", "undoubtedly",
+        "completely", "totally", "entirely", "fully", "exactly", "precisely",
+    ],
+    "inclusive": [
+        "and", "with", "also", "together", "both", "include", "including", "plus", "additionally", "furthermore",
+        "moreover",
+    ],
+    "exclusive": [
+        "but", "except", "without", "however", "though", "although", "unless", "rather", "instead", "neither", "nor",
+        "exclude", "excluding",
+    ],
+    "insight": [
+        "realize", "realized", "understand", "understood", "see", "notice", "noticed", "discover", "discovered",
+        "recognize", "recognized", "aware", "awareness",
+    ],
+    "causation": [
+        "because", "cause", "caused", "causes", "why", "since", "therefore", "thus", "hence", "consequently",
+        "result", "resulted", "leads", "led", "due", "reason", "effect",
+    ],
+}
 
 # Title patterns in order, with type and confidence; only the second minds case.
 TITLES = [
@@ -79,7 +101,7 @@ def lexical_tokens(text: Column) -> Column:
 
 def linguistic(text: Column) -> Column:
     """Struct of word_count and the number of tokens in each category (bigint)."""
-    inside = lambda t, words: F.size(F.filter(t, lambda x: x.isin(words.split())))
+    inside = lambda t, words: F.size(F.filter(t, lambda x: x.isin(words)))
 
     def counts(t: Column) -> Column:
         each = [inside(t, words).cast("bigint").alias(k) for k, words in LEXICONS.items()]
