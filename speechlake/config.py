@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -21,6 +22,35 @@ class Config:
     margin_delta: float = 0.15
     min_enroll_ms: int = 15_000
     min_update_ms: int = 3_000
+    enable_turn_taking: bool = True
+    enable_fillers: bool = True
+    enable_linguistic: bool = True
+    enable_meeting_type: bool = True
+    voice_metrics: str = "optional"
+    output_format: str = "json"
+    output_detail: str = "standard"
 
 
 DEFAULT = Config()
+
+
+def resolved(given: Mapping[str, object] = {}, environment: Mapping[str, str] = {}, prefix: str = "SPEECHLAKE_") -> Config:
+    """Settings as given, else from the environment (prefix and the name in capitals), else the default.
+
+    None and, for texts, '' count as not given; 0 and False are values. An unknown name or a bad value raises.
+    """
+    known = {f.name: type(f.default) for f in fields(Config)}
+    if unknown := sorted(set(given) - set(known)):
+        raise ValueError(f"unknown settings: {', '.join(unknown)}")
+    out = {}
+    for name, kind in known.items():
+        value = given.get(name)
+        if value is None or value == "":
+            value = environment.get(prefix + name.upper()) or None
+        if value is not None:
+            if kind is bool and isinstance(value, str):
+                if value.lower() not in ("1", "true", "yes", "on", "0", "false", "no", "off"):
+                    raise ValueError(f"{name} must be on or off, not {value!r}")
+                value = value.lower() in ("1", "true", "yes", "on")
+            out[name] = kind(value)
+    return Config(**out)

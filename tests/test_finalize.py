@@ -1,7 +1,9 @@
 import json
+from dataclasses import replace
 
+import pytest
 from speechlake import schemas
-from speechlake.config import Config
+from speechlake.config import Config, resolved
 from speechlake.plans.finalize import finalize
 
 RAW = {
@@ -30,3 +32,30 @@ def test_the_whole_chain(spark, tmp_path):
     assert (m["S1"]["filler_count"], m["S1"]["interruptions_received"], m["S1"]["pause_count"]) == (1, 1, 1) and m["S2"]["interruptions_made"] == 1
     s = {r["speaker_id"]: r for r in out.speakers.collect()}
     assert (s["S1"]["kind"], s["S1"]["display_name"], s["S2"]["kind"]) == ("strong", "Alex", "no_enroll")
+
+
+def test_toggles_details_and_voices(spark, tmp_path):
+    (tmp_path / "raw.json").write_text(json.dumps(RAW) + "\n" + json.dumps({**RAW, "transcript_id": "t3"}))
+    raw = spark.read.schema(schemas.RAW_TRANSCRIPT).json(str(tmp_path / "raw.json"))
+    details = spark.createDataFrame([("t1", "/a.wav", '{"clientName": 1, "kind": "x"}', "degraded", "panel", "f1"), ("t3", None, None, None, None, "f2")], "transcript_id string, source_path string, source_metadata string, diarization_state string, meeting_type string, content_audio_fp string")
+    voices = spark.createDataFrame([("t1", "S1", 120.0)], "transcript_id string, speaker_id string, f0_mean_hz double")
+    off = Config(min_talk_seconds=0, enable_turn_taking=False, enable_fillers=False, enable_linguistic=False, enable_meeting_type=False)
+    known = spark.createDataFrame([("old", "f2")], "transcript_id string, content_audio_fp string")
+    out = finalize(raw, cfg=off, details=details, voices=voices, collapse=False, known=known)
+    (t,) = out.transcripts.collect()
+    assert (t["transcript_id"], t["diarization_state"], t["meeting_type"], t["confidence"], t["source_metadata"]) == ("t1", "degraded", "panel", 1.0, '{"kind":"x"}')
+    s = out.segments.collect()
+    assert all(r["fillers"] == [] and r["linguistic"] is None and not r["is_interruption"] and r["overlap_with_prev_ms"] == 0 for r in s)
+    m = {r["speaker_id"]: r for r in out.metrics.collect()}
+    assert (m["S1"]["filler_count"], m["S2"]["interruptions_made"], m["S1"]["f0_mean_hz"], m["S2"]["f0_mean_hz"]) == (0, 0, 120.0, None)
+    one = finalize(raw, cfg=replace(off, voice_metrics="required"), expected_speakers=1)
+    assert one.metrics.where("transcript_id = 't1'").count() == 1
+
+
+def test_settings_are_resolved_in_order():
+    env = {"SPEECHLAKE_TURN_GAP_MS": "0", "SPEECHLAKE_MIN_TALK_SECONDS": "2.5", "SPEECHLAKE_ENABLE_FILLERS": "off", "SPEECHLAKE_OUTPUT_DETAIL": ""}
+    cfg = resolved({"min_talk_seconds": 0, "min_gap_ms": None, "output_format": ""}, env)
+    assert (cfg.turn_gap_ms, cfg.min_talk_seconds, cfg.enable_fillers, cfg.min_gap_ms, cfg.output_detail, cfg.output_format) == (0, 0.0, False, 250, "standard", "json")
+    for bad in ({"no_such": 1}, {"turn_gap_ms": "x"}, {"enable_fillers": "maybe"}):
+        with pytest.raises(ValueError):
+            resolved(bad)
