@@ -551,7 +551,11 @@ def candidate_rank(spark, sf_dir):
     """SELECT user_id, n_events, round(total, 4) AS total FROM (SELECT user_id, g, count(*) AS n_events, sum(value) AS total FROM (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g
     FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS cut FROM events)) GROUP BY user_id, g)""")
 def stream_sessions(spark, sf_dir):
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="speechlake-stream-")
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="speechlake-stream-")
     base = f"{at}/stream-{uuid.uuid4().hex}"
     streams.run_to_table(streams.sessions(streams.event_stream(spark, sf_dir)), f"{base}/result", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/result").select("user_id", "n_events", F.round("total", 4).alias("total"))

@@ -319,6 +319,13 @@ def feed_dates(spark, sf_dir):
     return _conversations(spark, sf_dir).select("conv_id", readers.iso_or_text(F.date_format(t, "EEE, dd MMM yyyy HH:mm:ss '+0000'")).alias("at"))
 
 
+@query(r"""SELECT d.doc_id, simhash FROM documents d LEFT JOIN (SELECT doc_id, printf('%08x', sum(CASE WHEN i >= 32 AND on_ THEN 1::BIGINT << (i - 32) ELSE 0 END)::BIGINT) || printf('%08x', sum(CASE WHEN i < 32 AND on_ THEN 1::BIGINT << i ELSE 0 END)::BIGINT) AS simhash
+    FROM (SELECT doc_id, i, 2 * sum((h >> i) & 1) >= count(*) AS on_ FROM (SELECT doc_id, ('0x' || left(md5(f), 16))::UBIGINT AS h FROM (SELECT doc_id, unnest(list_concat(t, list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i + 3], ' ')))) AS f
+    FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents) WHERE len(t) >= 6)), (SELECT unnest(range(64))::INTEGER AS i) GROUP BY doc_id, i) GROUP BY doc_id) USING (doc_id)""")
+def simhash_md5(spark, sf_dir):
+    return tx.md5_signatures(td.table(spark, sf_dir, "documents"), "doc_id")
+
+
 # --- candidates -----------------------------------------------------------------------------------------------------------
 
 

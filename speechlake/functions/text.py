@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -194,6 +195,22 @@ def text_signature(text: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+def md5_signatures(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, simhash): as text_signature, with the first 64 bits of MD5 in place of BLAKE2b, in built-in functions only.
+
+    Each bit is a sum over a text's features, so texts are aggregated before they are dealt. key: unique.
+    """
+    t = df.select(key, signature_tokens(F.col(text)).alias("t")).where(F.size("t") >= 6)
+    features = t.select(key, F.explode(F.concat("t", shingles(F.col("t")))).alias("f"))
+    bits = features.select(key, F.conv(F.left(F.md5(F.col("f").cast("binary")), F.lit(16)), 16, -10).cast("bigint").alias("h"))
+    one = lambda i: F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1)))
+    sums = bits.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[one(i).alias(f"b{i}") for i in range(64)])
+    half = lambda lo: reduce(Column.__add__, [F.when(2 * F.col(f"b{lo + i}") >= F.col("n"), 1 << i).otherwise(0).cast("bigint") for i in range(32)])
+    digits = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
+    found = sums.select(key, F.concat(digits(half(32)), digits(half(0))).alias("simhash"))
+    return df.select(key).join(found, key, "left")
+
+
 def hamming_hex(a: Column, b: Column) -> Column:
     signed = lambda x: F.conv(x, 16, -10).cast("bigint")
     return F.bit_count(signed(a).bitwiseXOR(signed(b)))
