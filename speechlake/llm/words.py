@@ -49,6 +49,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a column of texts: start and end in data (bytes), text (its row), h (hash), lens (words of each row)."""
 
+    #: Bytes that words consist of.
+    solid = _SOLID
+
     def __init__(self, column: pa.Array | pa.ChunkedArray, lower: bool = False):
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
@@ -58,7 +61,7 @@ class Words:
         data = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]] if data is not None and cuts[-1] > cuts[0] else np.empty(0, np.uint8)
         cuts = cuts - cuts[0]
         self.cuts, self.data = cuts, _LOWER[data] if lower else data
-        solid = _SOLID[self.data]
+        solid = self.solid[self.data]
         first, last = solid.copy(), solid.copy()
         first[1:] &= ~solid[:-1]
         last[:-1] &= ~solid[1:]
@@ -90,6 +93,16 @@ class Words:
         return h
 
 
+class Terms(Words):
+    """Words of digits, letters A to Z in lower case, and all characters beyond ASCII."""
+
+    solid = np.zeros(256, bool)
+    solid[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray, lower: bool = True):
+        super().__init__(column, lower)
+
+
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -159,14 +172,14 @@ def n_buckets(df: DataFrame, per_word: int = 1) -> int:
     return max(1, -(-int(size) * per_word // (6 * BUCKET_ENTRIES)))
 
 
-def chunks(batches, text: int, lower: bool = False):
+def chunks(batches, text: int, lower: bool = False, kind: type[Words] = Words):
     """(number, rows, their words) of each chunk of a partition. The same rows give the same chunks again."""
     number = TaskContext.get().partitionId() << 24
     held: list[pa.RecordBatch] = []
     size = 0
 
     def done(rows: pa.RecordBatch):
-        words = Words(rows.column(text), lower)
+        words = kind(rows.column(text), lower)
         if len(words.h) <= CHUNK_WORDS or rows.num_rows == 1:
             yield rows, words
             return
@@ -175,7 +188,7 @@ def chunks(batches, text: int, lower: bool = False):
         while start < rows.num_rows:
             end = max(start + 1, int(np.searchsorted(words.first, words.first[start] + CHUNK_WORDS, "right")) - 1)
             part = rows.slice(start, min(end, rows.num_rows) - start)
-            yield part, Words(part.column(text), lower)
+            yield part, kind(part.column(text), lower)
             start = end
 
     def flush():
