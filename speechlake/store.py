@@ -1,7 +1,7 @@
-"""A relational store of transcripts in plain Parquet: versioned tables, upsert, cascade, and its read queries.
+"""A relational store of transcripts: tables that change together, its guards, and its read queries.
 
-A table is a folder with a numbered folder per version. Readers take the newest one that was finished (Spark's success
-mark is written last), so they see all of a change or none; two writers of one version collide and one fails.
+Tables lie in a log of commits (see log.py): a save writes the rows that it brings and the ids that it replaces, whatever
+the tables hold already, and it keeps the positional index of all segment texts (see search.py) in the same commit.
 """
 
 from __future__ import annotations
@@ -9,85 +9,123 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import search
+from .log import LOOKED_UP, Change, Conflict, Log
+
+#: Order of the rows in a table's files; the first column is what readers look up.
+ORDER = {"segments": ["transcript_id", "seq"], "speakers": ["transcript_id", "speaker_id"], "prints": ["fingerprint_id"], "postings": ["term", "transcript_id", "seq"]}
+#: Columns of a transcript that stay as they were where a later save has null; created_at stays that of the first save.
+KEPT = ("raw_json", "raw_transcript_json")
+
 
 class Table:
     """Versions of one table under a path that Hadoop's file systems reach."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._p = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._p(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._log = Log(spark, path)
 
     def version(self) -> int:
-        """Number of the newest finished version, 0 if there is none."""
-        if not self._fs.exists(self._p(self.path)):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._p(self.path))]
-        done = [n for n in names if n.startswith("v-") and self._fs.exists(self._p(f"{self.path}/{n}/_SUCCESS"))]
-        return max((int(n[2:]) for n in done), default=0)
+        """Number of the newest version, 0 if there is none."""
+        return self._log.newest()
 
     def read(self) -> DataFrame:
-        v = self.version()
-        if not v:
-            raise ValueError(f"no such table: {self.path}")
-        return self.spark.read.parquet(f"{self.path}/v-{v:012d}")
+        if not self.version():
+            raise ValueError(f"no such table: {self._log.path}")
+        return self._log.read("rows")
 
     def write(self, df: DataFrame) -> int:
-        """The next version; fails if another writer has begun it."""
-        v = self.version() + 1
-        df.write.parquet(f"{self.path}/v-{v:012d}")
-        return v
+        """The next version; raises Conflict if another writer published it first."""
+        return self._log.commit({"rows": Change(df, whole=True, key="")})
 
 
 class Store:
-    """Tables that change together. A commit names the version of each; readers take the newest finished commit, so they
-    see all of a save or none of it, and two writers of one commit collide."""
+    """Transcripts, speakers, segments, other tables of transcripts, the print library, and the index of texts."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, read_only: bool = False):
         self.spark, self.path = spark, path.rstrip("/")
-        self._commits = Table(spark, f"{self.path}/commits")
-
-    def _table(self, name: str) -> Table:
-        return Table(self.spark, f"{self.path}/tables/{name}")
+        self.log = Log(spark, self.path, read_only)
 
     def versions(self) -> dict[str, int]:
-        return {r["name"]: r["version"] for r in self._commits.read().collect()} if self._commits.version() else {}
-
-    def read(self, name: str) -> DataFrame:
-        v = self.versions().get(name)
-        if not v:
-            raise ValueError(f"no such table: {name}")
-        return self.spark.read.parquet(f"{self.path}/tables/{name}/v-{v:012d}")
+        """The commit that last changed each table."""
+        return {name: max([x["seq"] for x in t["parts"] + t["gone"]], default=0) for name, t in self.log.state()["tables"].items()}
 
-    def commit(self, changed: dict[str, DataFrame]) -> int:
-        """Writes new versions of the tables, then the commit that makes them seen."""
-        versions = {**self.versions(), **{name: self._table(name).write(df) for name, df in changed.items()}}
-        rows = self.spark.createDataFrame(sorted(versions.items()), "name string, version int").coalesce(1)
-        return self._commits.write(rows)
+    def read(self, name: str, commit: int | None = None) -> DataFrame:
+        return self.log.read(name, commit)
 
-    def save(self, transcripts: DataFrame, speakers: DataFrame, segments: DataFrame, prints: DataFrame | None = None) -> int:
-        """Transcripts with their speakers and segments, in place of what these transcripts had; one commit.
+    def of(self, name: str, ids: DataFrame, state: dict | None = None) -> DataFrame:
+        """The table's rows of some transcripts; of few, only the files that can hold them are opened."""
+        few = [r[0] for r in ids.select("transcript_id").distinct().limit(LOOKED_UP + 1).collect()]
+        if len(few) <= LOOKED_UP:
+            return self.log.read(name, values=few, state=state)
+        return self.log.read(name, state=state).join(ids.select("transcript_id"), "transcript_id", "left_semi")
 
-        created_at stays that of the first save. Segments of unknown speakers raise. With prints, the library after this
-        assignment, ids of discarded prints are taken from the speakers.
+    def commit(self, changed: dict[str, DataFrame]) -> int:
+        """New content of these tables."""
+        return self.log.commit({name: Change(df, whole=True, order=ORDER.get(name, [])) for name, df in changed.items()})
+
+    def save(
+        self, transcripts: DataFrame, speakers: DataFrame, segments: DataFrame, prints: DataFrame | None = None,
+        more: dict[str, DataFrame] | None = None, attempts: int = 3,
+    ) -> int:
+        """Transcripts with their speakers and segments (and rows of other tables with a transcript_id, such as metrics), in
+        place of what these transcripts had; one commit, which costs what it brings.
+
+        created_at stays that of the first save, and the raw JSON where the new one is null. Segments of unknown speakers
+        raise. With prints, the library after this assignment, ids of discarded prints are taken from the speakers, and
+        the prints that differ from the library's are written. If another writer commits meanwhile, the save is made again.
         """
         check_orphans(segments, speakers)
         if prints is not None:
             speakers = without_discarded(speakers, prints)
-        new, known = {"transcripts": transcripts, "speakers": speakers, "segments": segments}, self.versions()
-        if "transcripts" in known:
-            old = self.read("transcripts")
-            if "created_at" in transcripts.columns:
-                first = old.select("transcript_id", F.col("created_at").alias("__first"))
-                transcripts = transcripts.join(first, "transcript_id", "left").withColumn("created_at", F.coalesce("__first", "created_at")).drop("__first")
-            new["transcripts"] = upsert(old, transcripts, ["transcript_id"])
-            ids = transcripts.select("transcript_id")
-            for name, df in (("speakers", speakers), ("segments", segments)):
-                new[name] = self.read(name).join(ids, "transcript_id", "left_anti").unionByName(df)
-        return self.commit({**new, **({"prints": prints} if prints is not None else {})})
+        ids = transcripts.select("transcript_id")
+        for attempt in range(attempts):
+            state = self.log.state()
+            new = {"transcripts": self._kept(transcripts, state), "speakers": speakers, "segments": segments, **(more or {})}
+            if {"seq", "text"} <= set(segments.columns):
+                new["postings"] = search.postings(segments)
+            changes = {name: Change(df, ids, order=ORDER.get(name, ["transcript_id"])) for name, df in new.items()}
+            if prints is not None:
+                changes |= self._library(prints, state)
+            try:
+                return self.log.commit(changes, "save", state)
+            except Conflict:
+                if attempt == attempts - 1:
+                    raise
+        raise ValueError("attempts must be positive")
+
+    def _kept(self, transcripts: DataFrame, state: dict) -> DataFrame:
+        """Transcripts with the values that outlast a save."""
+        if "transcripts" not in state["tables"]:
+            return transcripts
+        old = self.of("transcripts", transcripts, state)
+        cols = [c for c in ("created_at", *KEPT) if c in transcripts.columns and c in old.columns]
+        if not cols:
+            return transcripts
+        before = old.select("transcript_id", *[F.col(c).alias(f"__{c}") for c in cols])
+        first = {c: F.coalesce(f"__{c}", c) if c == "created_at" else F.coalesce(c, f"__{c}") for c in cols}
+        return transcripts.join(before, "transcript_id", "left").withColumns(first).select(*transcripts.columns)
+
+    def _library(self, prints: DataFrame, state: dict) -> dict[str, Change]:
+        """The prints that are new or differ, and the ids of those and of such as aren't there any more."""
+        if "prints" not in state["tables"]:
+            return {"prints": Change(prints, key="fingerprint_id", order=ORDER["prints"])}
+        digest = lambda df: F.xxhash64(*[f"`{c}`" for c in sorted(df.columns)])
+        old = self.log.read("prints", state=state)
+        old = old.select("fingerprint_id", digest(old).alias("__old"))
+        both = prints.select("fingerprint_id", digest(prints).alias("__new")).join(old, "fingerprint_id", "full_outer").where("not (__new <=> __old)")
+        changed = both.where("__new is not null").select("fingerprint_id")
+        rows = prints.join(changed, "fingerprint_id", "left_semi")
+        return {"prints": Change(rows, both.select("fingerprint_id"), key="fingerprint_id", order=ORDER["prints"])}
 
     def delete(self, ids: DataFrame) -> int:
-        return self.commit(delete({n: self.read(n) for n in ("transcripts", "speakers", "segments")}, ids))
+        """Takes transcripts from all tables that hold some of theirs; prints stay."""
+        state = self.log.state()
+        gone = ids.select("transcript_id")
+        return self.log.commit({name: Change(None, gone) for name, t in state["tables"].items() if t["key"] == "transcript_id"}, "delete", state)
+
+    def search(self, query: str, limit: int | None = 20) -> DataFrame:
+        """Segments that match, by the index; see search.search."""
+        return search.search(self.log, query, limit)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
