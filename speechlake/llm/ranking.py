@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents, first_of_runs, pack, pack_sorted, unpack, unpack_sorted, workers_see_package
-from .words import Terms, chunks, order_of
+from .words import Terms, chunks, order_of, sliced
 
 #: Terms of the queries, with repeats, that are answered at once.
 BLOCK_TERMS = 200_000
@@ -78,8 +78,16 @@ def index(docs: DataFrame, tables: Scratch) -> tuple[DataFrame, int, int]:
     """(shards, documents with terms, all their terms) of docs (doc_id long, text); the shards are a table."""
     workers_see_package(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    size = F.regexp_count(F.col("text"), F.lit(f"[^{OTHER}]+"))
-    n_docs, n_terms = docs.select(size.cast("long").alias("n")).where("n > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    def count(batches):
+        n = np.zeros(2, np.int64)
+        for b in (part for whole in batches for part in sliced(whole, 1)):
+            lens = Terms(b.column(1)).lens
+            n += (np.count_nonzero(lens), lens.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in n.tolist()], names=["docs", "terms"])
+
+    sums = docs.mapInArrow(count, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
+    n_docs, n_terms = (int(x or 0) for x in sums)
 
     def build(batches):
         for number, rows, words in chunks(batches, 1, True, Terms):
