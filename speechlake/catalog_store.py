@@ -1,4 +1,4 @@
-"""Registered queries of the store and its index, with their DuckDB SQL."""
+"""Registered queries of the store, its index, voices and assignment in order, with their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import testdata as td
 from .catalog import STORE, query
+from .operators import acoustics, voice
 from .search import TOKEN
 from .shared import shared_folder
 from .store import Store
@@ -126,3 +127,22 @@ def store_restored(spark, sf_dir):
     db.delete(db.read("transcripts").select("transcript_id"))
     db.log.restore(first)
     return db.read("segments").select("transcript_id", "seq", "segment_id", "text")
+
+
+# --- voices -----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT CAST(g AS VARCHAR) AS transcript_id, hz AS pitch_hz, CASE WHEN hz <= 120 AND g % 3 = 0 THEN 0.02 ELSE 0.0 END::DOUBLE AS jitter, 1.0::DOUBLE AS voiced
+    FROM (SELECT vec_id // 16 AS g, CAST(90 + sum(CAST(floor(256 * CAST(embedding[1] AS DOUBLE)) AS BIGINT) % 160 + 160) % 160 AS BIGINT) AS hz FROM embeddings GROUP BY ALL)""")
+def tone_voices(spark, sf_dir):
+    """Pitch and jitter of recordings of known pitch, a recording per 16 vectors, through samples, frames, paths and marks."""
+    first = F.pmod(F.floor(256 * F.get("embedding", F.lit(0)).cast("double")), F.lit(160)) + 160
+    rows = td.table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 16).alias("g")).agg((90 + F.sum(first) % 160).alias("hz"))
+    rows = rows.withColumn("odd", F.when((F.col("hz") <= 120) & (F.col("g") % 3 == 0), 0.01).otherwise(0.0))
+    audio = acoustics.tones(rows.select(F.col("g").cast("string").alias("transcript_id"), "hz", "odd"), acoustics.RATE, 8800).select("transcript_id", "rate", "samples")
+    spans = rows.select(F.col("g").cast("string").alias("transcript_id"), F.lit("S1").alias("speaker_id"), F.explode(F.array(F.struct(F.lit(0).alias("start_ms"), F.lit(300).alias("end_ms")), F.struct(F.lit(300).alias("start_ms"), F.lit(550).alias("end_ms")))).alias("s"))
+    heard = acoustics.analysed(voice.speaker_samples(spans.select("transcript_id", "speaker_id", "s.*"), audio))
+    out = voice.voice_metrics(heard)
+    share = F.round(F.size(F.filter("f0", lambda x: x > 0)) / F.size("f0"), 1)
+    return out.select("transcript_id", F.round("f0_mean_hz").cast("bigint").alias("pitch_hz"), F.round("jitter_local", 2).alias("jitter"), share.alias("voiced"))

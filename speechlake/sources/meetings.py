@@ -95,18 +95,24 @@ def wav_header(content: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def wav_samples(content: pd.Series) -> pd.Series:
-    """Samples of 16-bit WAV files, -1 to 1, channels averaged; null for others."""
+    """Samples of PCM WAV files of 8, 16, 24 or 32 bits, -1 to 1, channels averaged; null for others."""
     import numpy as np
 
     def one(data):
         try:
             with wave.open(io.BytesIO(data)) as w:
-                if w.getsampwidth() != 2:
-                    return None
-                x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels())
-                return (x.mean(1) / 32768).astype("float32")
+                size, raw = w.getsampwidth(), np.frombuffer(w.readframes(w.getnframes()), np.uint8)
+                channels = w.getnchannels()
         except (wave.Error, EOFError, TypeError, ValueError):
             return None
+        raw = raw[: len(raw) - len(raw) % (size * channels)].reshape(-1, size)
+        if size == 1:  # the only width without a sign
+            x = raw[:, 0].astype(np.float64) - 128
+        else:
+            wide = np.zeros((len(raw), 4), np.uint8)
+            wide[:, 4 - size :] = raw
+            x = wide.view("<i4")[:, 0] / 256.0 ** (4 - size)
+        return (x.reshape(-1, channels).mean(1) / 2 ** (8 * size - 1)).astype("float32")
 
     return content.map(one)
 
