@@ -213,6 +213,20 @@ class PrefixCounter:
         out[at:] = done
         return out
 
+    def all_prefixes(self, text: str) -> np.ndarray:
+        """Token counts of all prefixes of the whole normalised text; a special string counts from its last character on."""
+        parts = self.segments(text)
+        specials = self.special.findall(text) if len(parts) > 1 else []
+        out, done = [np.zeros(1, np.int32)], 0
+        for k, part in enumerate(parts):
+            out.append(self.prefix_counts(part)[1:] + done)
+            done = int(out[-1][-1]) if len(part) else done
+            if k < len(specials):
+                jump = np.full(len(specials[k]), done, np.int32)
+                jump[-1] = done = done + 1
+                out.append(jump)
+        return np.concatenate(out)
+
     def longest_prefix(self, text: str, budget: int) -> int:
         """Code points of the normalised text's longest prefix up to which every prefix has at most `budget` tokens.
 
@@ -254,8 +268,8 @@ def token_counts(df: DataFrame, tokenizer: str, budget: int = 2048, prefixes: bo
 
     n_tokens is the tokenizer's count for the whole text, without added special tokens; special strings in the text count
     as the one token they stand for. n_fitting_chars: code points of the normalised text that fit into `budget` tokens.
-    prefix_tokens (array<int>): the count of every prefix of the normalised text by code point (texts with special
-    strings: of the stretch before the first). A null text counts as empty: 0 tokens. Repeated rows count alike; a word of
+    prefix_tokens (array<int>): the count of every prefix of the normalised text by code point; a special string counts
+    from its last character on. A null text counts as empty: 0 tokens. Repeated rows count alike; a word of
     any length is one program, linear in its characters. An empty df gives no rows. Columns of df with these names are
     replaced. `tokenizer` names a file of public_tokenizers or is a path that executors can open.
     """
@@ -273,7 +287,7 @@ def token_counts(df: DataFrame, tokenizer: str, budget: int = 2048, prefixes: bo
             fits = [chars if k <= budget else c.longest_prefix(x, budget) for x, (k, chars) in zip(texts, counted, strict=True)]
             new = [pa.array(n, pa.int64()), pa.array(fits, pa.int64())]
             if prefixes:
-                new.append(pa.array([c.prefix_counts(c.segments(x)[0]).tolist() for x in texts], pa.list_(pa.int32())))
+                new.append(pa.array([c.all_prefixes(x).tolist() for x in texts], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=schema.fieldNames())
 
     return df.mapInArrow(count, schema)

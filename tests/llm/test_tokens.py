@@ -38,6 +38,19 @@ def test_every_prefix_counts_as_the_library_counts(counter, library, rows):
             assert counter.prefix_counts(seg).tolist() == [length(library, seg[:i]) for i in range(len(seg) + 1)]
 
 
+def test_prefixes_go_on_behind_special_strings(spark, counter, library, rows):
+    texts = ["one two <|startoftext|> three four five six", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", *[t for t in samples(rows) if "<|" in t][:60]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in K.token_counts(df, NAME, 5, True).collect():
+        got, text = r["prefix_tokens"], texts[r["doc_id"]]
+        assert got[-1] == r["n_tokens"] == length(library, text) and len(got) == counter.counted(text)[1] + 1
+        if text.isascii() and text == text.lower():
+            inside = {i for m in counter.special.finditer(text) for i in range(m.start() + 1, m.end())}
+            assert [c for i, c in enumerate(got) if i not in inside] == [length(library, text[:i]) for i in range(len(text) + 1) if i not in inside]
+        assert got[r["n_fitting_chars"]] <= 5
+    assert K.token_counts(df.limit(1), NAME, 5, True).first()["prefix_tokens"][-1] == 7
+
+
 def test_longest_prefix(counter, library, rows):
     for text in samples(rows)[::5]:
         if "<|" in text:
