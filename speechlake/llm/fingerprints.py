@@ -143,12 +143,17 @@ def fingerprints(df: DataFrame, text: str = "text", kmer: int = 3, name: str = "
     return df.withColumn(name, signature(F.col(text), kmer, fill))
 
 
-def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
-    """df (bucket-free; doc_id and the columns) with next_<column>: those of the next row by descending (doc_id, text).
-
-    After the last row comes the first. Null doc_ids come last. Rows are dealt into ranges of doc_id between
-    quantiles; each range also gets the first row of the next range, so that it finds every successor by itself.
+def with_next(df: DataFrame, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
+    """df (doc_id, text and the columns) with next_<column>: those of the next row by descending (doc_id, text).
+
+    After the last row comes the first. Null doc_ids come last; of rows with equal doc_id and text either may be first.
+    Rows are dealt into ranges of doc_id between quantiles; each range also gets the first row of the next range, so that
+    it finds every successor by itself. `derived` columns are added once the rows are in their ranges: what is costly to
+    compute or wide is neither computed for the ranges' first rows twice nor exchanged. An empty df gives no rows; rows of
+    one doc_id are one range. Columns of df named like an output are replaced; its others may have any name.
     """
+    given = [c for c in df.columns if c not in ("doc_id", "text") and c not in (derived or {}) and not c.startswith("next_")]
+    df = df.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in given], F.lit(0).alias("__")).alias("given"))
     spark = df.sparkSession
     n = 2 * shuffle_partitions(spark)
     lowest = F.lit(-(2**63)).cast("long")
@@ -162,17 +167,20 @@ def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
     whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select("__range", F.coalesce(F.lead("head").over(down), F.first("head").over(whole)).alias("head"))
     added = heads.select("head.*", "__range", F.lit(True).alias("__added"))
-    both = ranged.withColumn("__added", F.lit(False)).unionByName(added)
+    both = ranged.withColumn("__added", F.lit(False)).unionByName(added).repartition("__range").withColumns(derived or {})
     order = Window.partitionBy("__range").orderBy("__added", F.coalesce("doc_id", lowest).desc(), F.coalesce("text", F.lit("")).desc())
-    following = [F.lead(c).over(order).alias(f"next_{c}") for c in columns]
-    return both.select("*", *following).where("not __added").drop("__range", "__added")
+    own = {"doc_id", "text", *(derived or {})}
+    following = [F.lead(F.col(c) if c in own else F.col(f"given.`{c}`")).over(order).alias(f"next_{c}") for c in columns]
+    out = both.select("*", *following).where("not __added")
+    return out.select("doc_id", "text", *[F.col(f"given.`{c}`").alias(c) for c in given], *[f"`{c}`" for c in derived or {}], *[f"`next_{c}`" for c in columns])
 
 
 def op10_order_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns named ordered_ are of the filled signatures, those without of the slots' own k-mers."""
+    """The contract's columns are of the filled signatures, which keep the order of k-mers in texts of any length; those
+    named sampled_ are of the slots' own k-mers alone."""
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    docs = documents(spark, sf_dir).select("doc_id", text).withColumn("both", signatures(F.col("text")))
-    both = with_next(docs, ["text", "both"])
+    docs = documents(spark, sf_dir).select("doc_id", text)
+    both = with_next(docs, ["text", "both"], {"both": signatures(F.col("text"))})
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
@@ -181,11 +189,11 @@ def op10_order_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFra
     own, edited_own, next_own = (F.col(c)["signature"] for c in ("both", "edited_both", "next_both"))
     ordered, edited_ordered, next_ordered = (F.coalesce(F.col(c)["filled"], F.col(c)["signature"]) for c in ("both", "edited_both", "next_both"))
     return both.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signature_text(own).alias("fingerprint"),
-        signature_text(edited_own).alias("edited_fingerprint"),
-        likeness(own, edited_own).alias("near_edited"),
-        likeness(own, next_own).alias("near_next"),
-        signature_text(ordered).alias("ordered_fingerprint"), signature_text(edited_ordered).alias("edited_ordered_fingerprint"),
-        likeness(ordered, edited_ordered).alias("ordered_near_edited"),
-        likeness(ordered, next_ordered).alias("ordered_near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signature_text(ordered).alias("fingerprint"),
+        signature_text(edited_ordered).alias("edited_fingerprint"),
+        likeness(ordered, edited_ordered).alias("near_edited"),
+        likeness(ordered, next_ordered).alias("near_next"),
+        signature_text(own).alias("sampled_fingerprint"), signature_text(edited_own).alias("edited_sampled_fingerprint"),
+        likeness(own, edited_own).alias("sampled_near_edited"),
+        likeness(own, next_own).alias("sampled_near_next"),
     )

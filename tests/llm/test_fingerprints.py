@@ -70,7 +70,7 @@ def test_query(spark, sf, rows):
         edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
         r = out[i]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert r["near_edited"] == pytest.approx(like(brute(t), brute(edited))) and r["near_next"] == pytest.approx(like(brute(t), brute(nxt)))
+        assert r["sampled_near_edited"] == pytest.approx(like(brute(t), brute(edited))) and r["sampled_near_next"] == pytest.approx(like(brute(t), brute(nxt)))
         assert len(r["fingerprint"]) == 8 * P.SLOTS
 
 
@@ -81,6 +81,19 @@ def test_awkward_and_empty(awkward, nothing):
     assert P.with_next(nothing.select("doc_id", "text"), ["text"]).count() == 0
 
 
+def test_columns_of_any_name(spark):
+    rows = [(i, f"text {i}", "r", True, f"old {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __range string, __added boolean, next_text string").withColumn("a.b", F.col("doc_id") + 1)
+    out = P.with_next(df, ["text", "a.b"]).collect()
+    assert len(out) == 20 and {(r["doc_id"], r["__range"], r["next_text"], r["next_a.b"]) for r in out} == {(i, "r", f"text {(i - 1) % 20}", (i - 1) % 20 + 1) for i in range(20)}
+
+
+def test_one_doc_id_alone(spark):
+    df = spark.createDataFrame([(5, t) for t in "abcab"], "doc_id long, text string")
+    out = P.with_next(df, ["text"], {"n": F.length("text")})
+    assert sorted((r["text"], r["next_text"], r["n"]) for r in out.collect()) == [("a", "a", 1), ("a", "c", 1), ("b", "a", 1), ("b", "b", 1), ("c", "b", 1)]
+
+
 def brute_filled(text, k=3):
     """Slots of fewer than two k-mers take the two minima of all k-mers by a hash of their own."""
     w = [xxhash.xxh64_intdigest(x.encode(), 42) for x in re.findall("[^\x20\x09-\x0d]+", text or "")]
@@ -127,6 +140,6 @@ def test_query_compares_filled_signatures(spark, sf, rows):
         t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
         edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
         r = out[i]
-        assert r["ordered_near_edited"] == pytest.approx(like(brute_filled(t), brute_filled(edited)))
-        assert r["ordered_near_next"] == pytest.approx(like(brute_filled(t), brute_filled(nxt)))
-        assert r["ordered_fingerprint"].count(".") == (0 if t.split() else 8 * P.SLOTS)
+        assert r["near_edited"] == pytest.approx(like(brute_filled(t), brute_filled(edited)))
+        assert r["near_next"] == pytest.approx(like(brute_filled(t), brute_filled(nxt)))
+        assert r["fingerprint"].count(".") == (0 if t.split() else 8 * P.SLOTS)
