@@ -6,9 +6,10 @@ of unique names and then publish the next number, which only one of them can; a
 change is seen whole or not at all, a folder that no commit names is no obstacle, and a change costs what it holds, not
 what the table holds. A row is there if no later commit removed its key: one anti-join, merged on read.
 
-Rows of a part are sorted by the table's order, and the part knows the range of the first of these columns in every file,
-so that readers who ask for some values open only the files that can hold them. compact() merges young parts (or all),
-restore() publishes an old state as a new commit, vacuum() deletes what no kept commit names.
+A writer sorts the rows of each of its files by the table's order, and a part knows the range of the first of these
+columns in every file, so that readers who ask for some values open only the files that can hold them. compact() merges
+young parts (or all) and deals their rows into files by ranges, restore() publishes an old state as a new commit, vacuum()
+deletes what no kept commit names.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import json
 import os
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
@@ -37,9 +39,10 @@ class Conflict(RuntimeError):
 
 @dataclass
 class Change:
-    """What a commit does to a table: rows come, keys go first; whole: all earlier rows go."""
+    """What a commit does to a table: rows come, keys go first; whole: all earlier rows go. Rows may be a function of what
+    the commit has written for earlier tables, by name, so that what costs much is computed once."""
 
-    rows: DataFrame | None = None
+    rows: DataFrame | Callable[[dict[str, DataFrame]], DataFrame] | None = None
     gone: DataFrame | None = None
     whole: bool = False
     key: str = "transcript_id"
@@ -147,11 +150,23 @@ class Log:
         if self.read_only:
             raise ValueError(f"opened for reading only: {self.path}")
 
-    def commit(self, changes: dict[str, Change], action: str = "write", state: dict | None = None) -> int:
-        """Publishes the changes as one commit on top of `state` (by default the newest); raises Conflict if it isn't the newest any more."""
+    def commit(self, changes: dict[str, Change], action: str = "write", state: dict | None = None, check: Callable[[dict[str, DataFrame]], None] | None = None) -> int:
+        """Publishes the changes as one commit on top of `state` (by default the newest); raises Conflict if it isn't the newest
+        any more. check sees the rows that are written and may raise: then nothing is published."""
         self._writable()
         state = state or self.state()
-        n, tables, written = state["commit"] + 1, json.loads(json.dumps(state["tables"])), []
+        tables, written, new = json.loads(json.dumps(state["tables"])), [], {}
+        try:
+            self._write(changes, state["commit"] + 1, tables, written, new)
+            if check:
+                check(new)
+        except BaseException:
+            for folder in written:
+                self.files.delete(folder)
+            raise
+        return self._publish(state, action, tables, written)
+
+    def _write(self, changes: dict[str, Change], n: int, tables: dict, written: list[str], new: dict[str, DataFrame]) -> None:
         for name, c in changes.items():
             t = tables.setdefault(name, {"key": c.key, "order": c.order or [c.key], "schema": None, "parts": [], "gone": []})
             if c.whole:
@@ -162,25 +177,28 @@ class Log:
                 c.gone.select(F.col(c.gone.columns[0]).alias("key")).distinct().write.parquet(written[-1])
                 t["gone"].append({"at": at, "seq": n})
             if c.rows is not None:
-                rows = c.rows
+                rows = c.rows(new) if callable(c.rows) else c.rows
                 if t["schema"]:
                     known = self._schema(t)
-                    new = [f for f in rows.schema.fields if f.name not in known.names]
-                    t["schema"] = T.StructType([*known.fields, *new]).jsonValue()
-                    rows = rows.select(*[(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in known.fields], *[f"`{f.name}`" for f in new])
+                    more = [f for f in rows.schema.fields if f.name not in known.names]
+                    t["schema"] = T.StructType([*known.fields, *more]).jsonValue()
+                    rows = rows.select(*[(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in known.fields], *[f"`{f.name}`" for f in more])
                 else:
                     t["schema"] = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields]).jsonValue()
                 t["parts"].append(self._part(name, rows, t["order"], n, written))
-        return self._publish(state, action, tables, written)
+                new[name] = self.spark.read.schema(rows.schema).parquet(f"{self.path}/data/{name}/{t['parts'][-1]['at']}")
+
+    def _part(self, name: str, rows: DataFrame, order: list[str], seq: int, written: list[str], ranged: bool = False) -> dict:
+        """Writes rows as a part whose files are in the table's order, and notes the range of the first column in each of them.
 
-    def _part(self, name: str, rows: DataFrame, order: list[str], seq: int, written: list[str]) -> dict:
-        """Writes rows as a part in the table's order, and notes the range of the first column in each of its files."""
+        ranged: files don't overlap. That takes a look at all rows beforehand, so it's left to compaction.
+        """
         at = uuid.uuid4().hex
         folder = f"{self.path}/data/{name}/{at}"
         written.append(folder)
         own = [c for c in order if c in rows.columns]
-        ranged = rows.repartitionByRange(*own).sortWithinPartitions(*own) if own else rows
-        ranged.write.parquet(folder)
+        dealt = rows.repartitionByRange(*own) if ranged and own else rows.hint("rebalance")
+        (dealt.sortWithinPartitions(*own) if own else dealt).write.parquet(folder)
         part = {"at": at, "seq": seq, "bytes": self.files.bytes(folder), "files": None}
         if own:
             file = F.element_at(F.split("_metadata.file_path", "/"), -1)
@@ -264,10 +282,10 @@ class Log:
             while cut and parts[cut - 1]["seq"] == parts[cut]["seq"]:
                 cut -= 1
         young, written = parts[cut:], []
-        if len(young) < 2 and not (whole and t["gone"]):
+        if not young or len(young) < 2 and not whole:
             return state["commit"]
         merged = self._merged(name, t | {"parts": young})
-        new = self._part(name, merged, t["order"], max(p["seq"] for p in young), written)
+        new = self._part(name, merged, t["order"], max(p["seq"] for p in young), written, True)
         oldest = min((p["seq"] for p in parts[:cut]), default=None)
         # keys that went before all older parts came can hide nothing any more
         t |= {"parts": [*parts[:cut], new], "gone": [g for g in t["gone"] if oldest is not None and g["seq"] > oldest]}

@@ -74,7 +74,6 @@ class Store:
         raise. With prints, the library after this assignment, ids of discarded prints are taken from the speakers, and
         the prints that differ from the library's are written. If another writer commits meanwhile, the save is made again.
         """
-        check_orphans(segments, speakers)
         if prints is not None:
             speakers = without_discarded(speakers, prints)
         ids = transcripts.select("transcript_id")
@@ -82,12 +81,12 @@ class Store:
             state = self.log.state()
             new = {"transcripts": self._kept(transcripts, state), "speakers": speakers, "segments": segments, **(more or {})}
             if {"seq", "text"} <= set(segments.columns):
-                new["postings"] = search.postings(segments)
+                new["postings"] = lambda written: search.postings(written["segments"])
             changes = {name: Change(df, ids, order=ORDER.get(name, ["transcript_id"])) for name, df in new.items()}
             if prints is not None:
                 changes |= self._library(prints, state)
             try:
-                return self.log.commit(changes, "save", state)
+                return self.log.commit(changes, "save", state, lambda written: check_orphans(written["segments"], written["speakers"]))
             except Conflict:
                 if attempt == attempts - 1:
                     raise

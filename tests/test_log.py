@@ -162,6 +162,7 @@ def test_ranges_of_many_files(spark, tmp_path, monkeypatch):
     try:
         log = Log(spark, str(tmp_path / "l"))
         log.commit({"t": Change(spark.range(1000).select(F.format_string("k%04d", "id").alias("k"), "id"), key="k", order=["k", "id"])})
+        log.compact("t", True)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert log.state()["tables"]["t"]["parts"][0]["files"] is None
