@@ -13,7 +13,7 @@ from . import export, store
 from . import testdata as td
 from .functions import text as tx
 from .functions import urls
-from .operators import identity, metrics, ranges, segments, vectors
+from .operators import identity, metrics, ranges, segments, sequence, vectors
 from .plans import fingerprints as plans
 from .streaming import sessions as streams
 
@@ -333,7 +333,7 @@ def collapse_speakers(spark, sf_dir):
 @query()
 def assign_sequential(spark, sf_dir):
     o = td.observations(spark, sf_dir).withColumn("transcript_id", F.floor(F.col("speaker_key") / 8)).withColumn("ord", F.col("speaker_key") % 8)
-    return identity.assign_in_order(o, td.prints(spark, sf_dir))
+    return sequence.assign_by_rounds(o, td.prints(spark, sf_dir))
 
 
 @query(

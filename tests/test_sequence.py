@@ -2,6 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from speechlake import catalog
+from speechlake import testdata as td
 from speechlake.operators import identity, sequence
 
 OBS = "speaker_key long, model string, transcript_id string, ord int, embedding array<double>, duration_ms long"
@@ -65,3 +68,9 @@ def test_nothing(spark):
     obs, lib = crowd(6, transcripts=3)
     o, p = spark.createDataFrame(obs, OBS), spark.createDataFrame(lib, LIB)
     assert sequence.assign_by_rounds(o.limit(0), p).count() == 0 and rows(sequence.assign_by_rounds(o, p.limit(0))) == rows(identity.assign_in_order(o, p.limit(0)))
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    o = td.observations(spark, sf).withColumn("transcript_id", F.floor(F.col("speaker_key") / 8)).withColumn("ord", F.col("speaker_key") % 8)
+    assert rows(catalog.QUERIES["assign_sequential"](spark, sf)) == rows(identity.assign_in_order(o, td.prints(spark, sf)))
