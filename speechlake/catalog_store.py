@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import export
 from . import testdata as td
-from .catalog import STORE, query
-from .operators import acoustics, voice
+from .catalog import STORE, TURNS_SQL, query
+from .operators import acoustics, segments, voice
 from .search import TOKEN
 from .shared import shared_folder
+from .sources import processes
 from .store import Store
 
 
@@ -146,3 +148,58 @@ def tone_voices(spark, sf_dir):
     out = voice.voice_metrics(heard)
     share = F.round(F.size(F.filter("f0", lambda x: x > 0)) / F.size("f0"), 1)
     return out.select("transcript_id", F.round("f0_mean_hz").cast("bigint").alias("pitch_hz"), F.round("jitter_local", 2).alias("jitter"), share.alias("voiced"))
+
+
+# --- external programs ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, turn, 'ok' AS status, translate(regexp_replace(coalesce(text, ''), '\\n', ' ', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS stdout FROM conversations")
+def piped_turns(spark, sf_dir):
+    """Every turn through a program, as lines."""
+    c = td.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return processes.run_lines(c, ["tr", "a-z", "A-Z"], timeout_s=300).select("conv_id", "turn", "status", "stdout")
+
+
+@query(
+    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'failed' WHEN 2 THEN 'missing' ELSE 'signal' END AS status, CASE page_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 3 THEN -15 END AS exit_code,
+    CASE WHEN page_id % 4 = 0 THEN octet_length(encode(coalesce(html, '')))::VARCHAR || chr(10) WHEN page_id % 4 <> 2 THEN '' END AS stdout FROM pages""")
+def page_programs(spark, sf_dir):
+    """A program for each page: one that counts its bytes, one that fails, one that isn't there, one that is killed."""
+    k = F.col("page_id") % 4
+    sh = lambda s: F.array(F.lit("sh"), F.lit("-c"), F.lit(s))
+    command = F.when(k == 0, sh("echo $(wc -c)")).when(k == 1, sh("exit 3")).when(k == 2, F.array(F.lit("/no/such/program"))).otherwise(sh("kill $$"))
+    p = td.table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"), command.alias("command"))
+    return processes.run_each(p, "command", "html", 60, 1).select("page_id", "status", "exit_code", "stdout")
+
+
+# --- whole documents --------------------------------------------------------------------------------------------------
+
+
+def _document_sql(detail: str) -> str:
+    own = "{'segment_id': segment_id, 'speaker_id': speaker_id, 'start_ms': start_ms, 'end_ms': end_ms, 'text': text%s}"
+    words, more = ", 'words': string_split(text, ' ')", ", 'enrichment': {'is_interruption': is_interruption, 'overlap_with_prev_ms': overlap_with_prev_ms, 'gap_before_ms': gap_before_ms}"
+    seg = own % {"full": words + more, "standard": more, "minimal": ""}[detail]
+    metric = "{'speaker_id': speaker_id, 'word_count': n%s}" % (", 'f0_mean_hz': 100 + n" if detail == "full" else "")
+    meta = {
+        "minimal": "regexp_replace(to_json({'source_path': source_path, 'duration_ms': duration_ms, 'meeting_type': meeting_type, 'recorded_at': recorded_at, 'diarization_state': diarization_state})::VARCHAR, '\"recorded_at\":null,', '')",
+    }.get(detail, "to_json({'duration_ms': duration_ms, 'source_path': source_path, 'meeting_type': meeting_type, 'recorded_at': recorded_at, 'created_at': created_at, 'diarization_state': diarization_state, 'content_audio_fp': content_audio_fp})::VARCHAR")
+    metrics = f"to_json((SELECT list({metric} ORDER BY speaker_id) FROM m WHERE m.transcript_id = t.transcript_id))::VARCHAR" if detail != "minimal" else "'[]'"
+    return f"""SELECT '{detail}' AS detail, transcript_id, '{{"transcript_id":"' || transcript_id || '","metadata":' || {meta} || ',"speakers":' ||
+      to_json((SELECT list({{'speaker_id': speaker_id, 'fingerprint_id': fingerprint_id, 'display_name': display_name}} ORDER BY ord) FROM speakers s WHERE s.transcript_id = t.transcript_id))::VARCHAR ||
+      ',"segments":' || to_json((SELECT list({seg} ORDER BY seq) FROM turns u WHERE u.transcript_id = t.transcript_id))::VARCHAR || ',"speaker_metrics":' || {metrics} || '}}' AS document FROM transcripts t"""
+
+
+DETAILS = ("full", "standard", "minimal")
+TALK = STORE + "," + TURNS_SQL.removeprefix(td.SEGMENTS_SQL + ",") + ", m AS (SELECT transcript_id, speaker_id, count(*) AS n FROM segments GROUP BY ALL)"
+
+
+@query(" UNION ALL ".join(map(_document_sql, DETAILS)), TALK)
+def export_documents(spark, sf_dir):
+    """Every transcript as a JSON document in all three details: speakers, metadata, enrichment, words and metrics."""
+    s = segments.with_turn_taking(td.segments(spark, sf_dir))
+    s = s.select("transcript_id", "seq", "segment_id", "speaker_id", "start_ms", "end_ms", "text", F.split("text", " ").alias("words"), "is_interruption", "overlap_with_prev_ms", "gap_before_ms")
+    m = s.groupBy("transcript_id", "speaker_id").agg(F.count(F.lit(1)).alias("word_count")).withColumn("f0_mean_hz", 100 + F.col("word_count"))
+    t, p = td.transcripts(spark, sf_dir), td.speakers(spark, sf_dir).select("transcript_id", "ord", "speaker_id", "fingerprint_id", "display_name")
+    # seq orders the segments and isn't shown, as a segment's number is its id
+    made = [export.transcript_documents(t, p, s, m, d).select(F.lit(d).alias("detail"), "transcript_id", "document") for d in DETAILS]
+    return reduce(DataFrame.unionByName, made)

@@ -217,6 +217,49 @@ def documents(transcripts: DataFrame, segments: DataFrame, metrics: DataFrame, d
     return out.select("transcript_id", F.to_json(F.struct(*out.columns), {"ignoreNullFields": "false"}).alias("document"))
 
 
+# What a segment's enrichment holds, and the metadata that a minimal document keeps where it's known.
+ENRICHMENT = ["sentiment", "sentiment_confidence", "tone_tags", "is_interruption", "overlap_with_prev_ms", "gap_before_ms", "fillers", "linguistic"]
+MINIMAL_METADATA = ["source_path", "source_url", "duration_ms", "language", "meeting_type", "recorded_at", "engine", "diarization_state"]
+
+
+def transcript_documents(transcripts: DataFrame, speakers: DataFrame, segments: DataFrame, metrics: DataFrame, detail: str = "full") -> DataFrame:
+    """(transcript_id, document): each transcript as one JSON object of transcript_id, metadata, speakers, segments and
+    speaker_metrics.
+
+    All columns of transcripts but the id and those of raw JSON are metadata; speakers come by ord (or id), segments by
+    seq, metrics by speaker. full: everything, nulls included. standard: segments without words, metrics without acoustic
+    values. minimal: segments without enrichment, too, no metrics, and of the metadata what MINIMAL_METADATA names and is
+    known. Transcripts without rows in a table have an empty array there.
+    """
+    _checked(detail)
+
+    def listed(df: DataFrame, order: str, drop: list[str], name: str, nested: list[str] = ()) -> DataFrame:
+        inner = [c for c in nested if c in df.columns]
+        plain = [c for c in df.columns if c not in {"transcript_id", *drop, *inner}]
+        fields = [F.col(f"`{c}`") for c in plain] + ([F.struct(*inner).alias("enrichment")] if inner else [])
+        rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__order"), F.struct(*fields).alias("row")))), lambda x: x["row"])
+        return df.groupBy("transcript_id").agg(F.to_json(rows, {"ignoreNullFields": "false"}).alias(name))
+
+    less, minimal = detail != "full", detail == "minimal"
+    known = [c for c in transcripts.columns if c not in ("transcript_id", "raw_json", "raw_transcript_json") and (not minimal or c in MINIMAL_METADATA)]
+    if minimal:
+        known = [c for c in MINIMAL_METADATA if c in known]
+    metadata = F.to_json(F.struct(*[F.col(f"`{c}`") for c in known]), {"ignoreNullFields": str(minimal).lower()}) if known else F.lit("{}")
+    out = transcripts.select("transcript_id", metadata.alias("metadata"))
+    tables = {
+        "speakers": listed(speakers, "ord" if "ord" in speakers.columns else "speaker_id", ["ord"], "speakers"),
+        "segments": listed(segments, "seq", ["seq"] + ["words"] * less + ENRICHMENT * minimal, "segments", [] if minimal else ENRICHMENT),
+    }
+    if not minimal:
+        tables["speaker_metrics"] = listed(metrics, "speaker_id", ACOUSTIC * less, "speaker_metrics")
+    parts = [F.lit('{"transcript_id":'), F.to_json(F.array("transcript_id")).substr(F.lit(2), F.length(F.to_json(F.array("transcript_id"))) - 2), F.lit(',"metadata":'), F.col("metadata")]
+    for name in ("speakers", "segments", "speaker_metrics"):
+        if name in tables:
+            out = out.join(tables[name], "transcript_id", "left")
+        parts += [F.lit(f',"{name}":'), F.coalesce(F.col(name) if name in tables else F.lit("[]"), F.lit("[]"))]
+    return out.select("transcript_id", F.concat(*parts, F.lit("}")).alias("document"))
+
+
 def emit_reason(enabled: Column, url: Column, secret: Column, n_segments: Column, degraded: Column, state: Column) -> Column:
     """Why a message would not be sent, or ok."""
     blank = lambda c: F.coalesce(c == "", F.lit(True))

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .voice import FRAME_S, resample, speaker_samples, voice_metrics
 
@@ -170,7 +171,7 @@ def analysed(speakers: DataFrame) -> DataFrame:
     kept = [c for c in names if c not in ("samples", "rate", "f0", "intensity", "periods", "amplitudes")]
     schema = speakers.select(*[f"`{c}`" for c in kept]).schema
     for c in ("f0", "intensity", "periods", "amplitudes"):
-        schema = schema.add(c, "array<double>")
+        schema = schema.add(c, T.ArrayType(T.DoubleType()))
 
     def analyse(batches):
         for b in batches:
