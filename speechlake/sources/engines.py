@@ -35,6 +35,7 @@ def problem(text: Column, producer: str, required: tuple[str, ...] = ()) -> Colu
     parsed = F.try_parse_json(text)
     kind = F.schema_of_variant(parsed)
     keys = F.json_object_keys(text)
+    # The messages.
     missing = F.filter(F.array(*map(F.lit, required)) if required else F.array().cast("array<string>"), lambda k: ~F.array_contains(keys, k))
     return (
         F.when(text.isNull(), f"{producer} did not produce JSON output")
