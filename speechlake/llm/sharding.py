@@ -70,13 +70,16 @@ def hypergeometric_shuffle(
     """df with the columns shard (int) and slot (long, gapless from 0 in the shard), shuffled uniformly.
 
     Shards' row counts differ by one at most. Rows count by their place in df, so nulls, empty or very long texts, ties
-    and repeated rows need no care. An empty df gives no rows. Columns of df named like an output are replaced. df must
+    and repeated rows need no care. An empty df gives no rows. Columns of df named like an output are replaced; its others
+    may have any name, and come first, in their order. df must
     give the same rows in the same partitions each time (a scan does); a task that finds another number of rows than was
     counted fails rather than deal a wrong size.
     """
     spark = df.sparkSession
     workers_see_package(spark)
-    df = df.drop(shard, slot)
+    names = [c for c in df.columns if c not in (shard, slot)]
+    # in one struct no name of theirs can meet one of ours
+    df = df.select((F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(None).cast("int")).alias("row"))
     counted = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
     counts = np.zeros(1 + max([r["p"] for r in counted], default=0), np.int64)
     for r in counted:
@@ -99,17 +102,17 @@ def hypergeometric_shuffle(
             mine = labels[at : at + b.num_rows]
             place = (p << 33) + np.arange(at, at + b.num_rows, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(mine), pa.array(place)], names=[*b.schema.names, shard, "__place"]
+                [*b.columns, pa.array(mine), pa.array(place)], names=["row", "shard", "place"]
             )
             at += b.num_rows
         if at != len(labels):
             raise RuntimeError(f"partition {p} had {len(labels)} rows when counted; its rows changed meanwhile")
 
-    schema = T.StructType([*df.schema.fields, T.StructField(shard, T.IntegerType()), T.StructField("__place", T.LongType())])
-    dealt = df.mapInArrow(deal, schema).withColumn("__key", F.xxhash64(F.lit(seed), "__place"))
-    dealt = dealt.withColumn("__cell", F.pmod("__key", F.lit(cells)).cast("int"))
-    out = ranked(dealt, [shard], "__cell", [F.col("__key"), F.col("__place")], slot)
-    return out.drop("__place", "__key", "__cell")
+    schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("place", T.LongType())])
+    dealt = df.mapInArrow(deal, schema).withColumn("key", F.xxhash64(F.lit(seed), "place"))
+    dealt = dealt.withColumn("cell", F.pmod("key", F.lit(cells)).cast("int"))
+    out = ranked(dealt, ["shard"], "cell", [F.col("key"), F.col("place")], "slot")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names], F.col("shard").alias(shard), F.col("slot").alias(slot))
 
 
 def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,3 +78,12 @@ def test_query(spark, sf, rows):
     check(out, len(rows), 40)
     text = {i: (t or "").encode() for i, t, *_ in rows}
     assert all(r["size"] == len(text[r["doc_id"]]) + 16 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]]) and r["law"] == "rows" for r in out)
+
+
+def test_columns_of_any_name(spark):
+    df = spark.range(200).select("id", *[F.col("id").alias(c) for c in ("__key", "__cell", "__place", "key", "cell", "place", "row", "a.b", "__n")]).withColumn("slot", F.lit("old"))
+    out = S.hypergeometric_shuffle(df.repartition(3), 7)
+    assert out.columns == [*df.columns[:-1], "shard", "slot"]
+    for r in out.collect():
+        assert len({r[c] for c in out.columns[:-2]}) == 1
+    assert S.hypergeometric_shuffle(df.select("slot"), 7).columns == ["shard", "slot"]
