@@ -191,13 +191,14 @@ class Log:
     def _part(self, name: str, rows: DataFrame, order: list[str], seq: int, written: list[str], ranged: bool = False) -> dict:
         """Writes rows as a part whose files are in the table's order, and notes the range of the first column in each of them.
 
-        ranged: files don't overlap. That takes a look at all rows beforehand, so it's left to compaction.
+        ranged: files don't overlap. That takes a look at all rows beforehand, so it's left to compaction; else rows stay
+        in the partitions that they came in, without an exchange.
         """
         at = uuid.uuid4().hex
         folder = f"{self.path}/data/{name}/{at}"
         written.append(folder)
         own = [c for c in order if c in rows.columns]
-        dealt = rows.repartitionByRange(*own) if ranged and own else rows.hint("rebalance")
+        dealt = rows.repartitionByRange(*own) if ranged and own else rows
         (dealt.sortWithinPartitions(*own) if own else dealt).write.parquet(folder)
         part = {"at": at, "seq": seq, "bytes": self.files.bytes(folder), "files": None}
         if own:
