@@ -47,6 +47,8 @@ class Change:
     whole: bool = False
     key: str = "transcript_id"
     order: list[str] = field(default_factory=list)
+    #: Files that rows go to; by default as many as they come in.
+    files: int | None = None
 
 
 class Files:
@@ -185,7 +187,7 @@ class Log:
                     rows = rows.select(*[(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in known.fields], *[f"`{f.name}`" for f in more])
                 else:
                     t["schema"] = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields]).jsonValue()
-                t["parts"].append(self._part(name, rows, t["order"], n, written))
+                t["parts"].append(self._part(name, rows.repartition(c.files) if c.files else rows, t["order"], n, written))
                 new[name] = self.spark.read.schema(rows.schema).parquet(f"{self.path}/data/{name}/{t['parts'][-1]['at']}")
 
     def _part(self, name: str, rows: DataFrame, order: list[str], seq: int, written: list[str], ranged: bool = False) -> dict:

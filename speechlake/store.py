@@ -14,6 +14,8 @@ from .log import LOOKED_UP, Change, Conflict, Log
 
 #: Order of the rows in a table's files; the first column is what readers look up.
 ORDER = {"segments": ["transcript_id", "seq"], "speakers": ["transcript_id", "speaker_id"], "prints": ["fingerprint_id"], "postings": ["term", "transcript_id", "seq"]}
+#: Transcripts of a small save that share a file.
+FEW = 16
 #: Columns of a transcript that stay as they were where a later save has null; created_at stays that of the first save.
 KEPT = ("raw_json", "raw_transcript_json")
 
@@ -77,12 +79,14 @@ class Store:
         if prints is not None:
             speakers = without_discarded(speakers, prints)
         ids = transcripts.select("transcript_id")
+        few = ids.distinct().limit(LOOKED_UP + 1).count()
+        files = -(-few // FEW) or 1 if few <= LOOKED_UP else None
         for attempt in range(attempts):
             state = self.log.state()
             new = {"transcripts": self._kept(transcripts, state), "speakers": speakers, "segments": segments, **(more or {})}
             if {"seq", "text"} <= set(segments.columns):
                 new["postings"] = lambda written: search.postings(written["segments"])
-            changes = {name: Change(df, ids, order=ORDER.get(name, ["transcript_id"])) for name, df in new.items()}
+            changes = {name: Change(df, ids, order=ORDER.get(name, ["transcript_id"]), files=files) for name, df in new.items()}
             if prints is not None:
                 changes |= self._library(prints, state)
             try:
