@@ -31,14 +31,46 @@ FEED = "title string, guid string, pubDate string, enclosure struct<_url:string,
 
 
 def episodes(spark: SparkSession, feed_xml: DataFrame) -> DataFrame:
-    """Episodes of feeds (feed, xml): feed, idx (place in the feed), title, guid, pub_date, url.
+    """Episodes of feeds (feed, xml): feed, idx (place in the feed), title, guid, pub_date, url, duration (as it stands there).
 
-    An item counts if it has an enclosure whose type, if given, is audio; idx counts the others, too.
+    An item counts if it has an enclosure whose type, if given, is audio; idx counts the others, too. Blank texts are null,
+    but a title, which is then made of the place.
     """
     item = F.transform(F.regexp_extract_all("xml", F.lit(r"(?s)(<item\b.*?</item>)"), F.lit(1)), lambda x: F.from_xml(x, FEED, {"ignoreNamespace": "true"}))
     rows = feed_xml.select("feed", F.posexplode(item).alias("idx", "i"))
     rows = rows.where("i.enclosure._url is not null and (i.enclosure._type is null or i.enclosure._type like 'audio/%')")
-    return rows.select("feed", F.col("idx").cast("bigint").alias("idx"), "i.title", "i.guid", F.col("i.pubDate").alias("pub_date"), F.col("i.enclosure._url").alias("url"))
+    text = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    title = F.coalesce(text("i.title"), F.concat(F.lit("Episode "), (F.col("idx") + 1).cast("string")))
+    return rows.select(
+        "feed", F.col("idx").cast("bigint").alias("idx"), title.alias("title"), text("i.guid").alias("guid"), text("i.pubDate").alias("pub_date"),
+        F.col("i.enclosure._url").alias("url"), text("i.duration").alias("duration"),
+    )
+
+
+def listed_episodes(found: DataFrame, limit: int = 20) -> DataFrame:
+    """The first `limit` episodes of each feed, with place (from 0) among those that count."""
+    order = Window.partitionBy("feed").orderBy("idx")
+    return found.withColumn("place", (F.row_number().over(order) - 1).cast("bigint")).where(F.col("place") < limit)
+
+
+def chosen_episodes(found: DataFrame, wishes: DataFrame) -> DataFrame:
+    """(feed, wish, idx, url, problem) of wishes (feed, wish, episode int, title_contains): for each the first episode whose
+    title contains the text (in any case) or, without a text, that at the place, by default the first. problem says why
+    there is none."""
+    order = Window.partitionBy("feed").orderBy("idx")
+    placed = found.withColumn("place", F.row_number().over(order) - 1)
+    held = placed.groupBy("feed").agg(F.count(F.lit(1)).alias("n"))
+    needle = F.when(F.col("title_contains") != "", F.lower("title_contains"))
+    w = wishes.withColumns({"needle": needle, "at": F.coalesce("episode", F.lit(0))}).join(held, "feed", "left")
+    fits = F.when(F.col("needle").isNotNull(), F.contains(F.lower(F.col("title")), F.col("needle"))).otherwise(F.col("place") == F.col("at"))
+    first = w.join(placed, "feed").where(fits).groupBy("feed", "wish").agg(F.min_by(F.struct("idx", "url"), "idx").alias("e"))
+    problem = (
+        F.when(F.col("n").isNull(), "no audio in the feed")
+        .when(F.col("e").isNotNull(), None)
+        .when(F.col("needle").isNotNull(), "no title contains it")
+        .otherwise("place out of range")
+    )
+    return w.join(first, ["feed", "wish"], "left").select("feed", "wish", "e.idx", "e.url", problem.alias("problem"))
 
 
 def iso_or_text(rfc822: Column) -> Column:

@@ -102,3 +102,14 @@ def test_sources(spark, tmp_path):
     kinds = spark.range(1).select(*[readers.connector(F.lit(u)) for u in ("https://youtu.be/x", "https://a.b/feed.rss", "https://a.b/c")]).first()
     assert list(kinds) == ["youtube", "podcast", "web"]
     assert schemas.json_schema(schemas.RAW_TRANSCRIPT)["type"] == "struct"
+
+
+def test_episodes_are_listed_and_chosen(spark):
+    item = lambda t, k, d="": f"<item><title>{t}</title><enclosure url='u{k}' type='audio/mpeg'/>{d}</item>"
+    feeds = [("a", "<rss><channel>" + item("One", 0, "<itunes:duration> 1:02:03 </itunes:duration>") + "<item><title>No sound</title></item>" + item(" ", 2) + item("Two ONES", 3) + "</channel></rss>"), ("b", "<rss/>")]
+    found = readers.episodes(spark, spark.createDataFrame([(f, x.replace("<rss>", "<rss xmlns:itunes='i'>")) for f, x in feeds], "feed string, xml string"))
+    assert rows(found, "idx", "title", "duration") == [(0, "One", "1:02:03"), (2, "Episode 3", None), (3, "Two ONES", None)]
+    assert rows(readers.listed_episodes(found, 2), "place", "url") == [(0, "u0"), (1, "u2")]
+    wishes = spark.createDataFrame([("a", 1, None, None), ("a", 2, 2, ""), ("a", 3, 3, None), ("a", 4, 0, "oNeS"), ("a", 5, None, "zzz"), ("b", 1, None, None), ("a", 6, -1, None)], "feed string, wish int, episode int, title_contains string")
+    got = {(r["feed"], r["wish"]): (r["url"], r["problem"]) for r in readers.chosen_episodes(found, wishes).collect()}
+    assert got == {("a", 1): ("u0", None), ("a", 2): ("u3", None), ("a", 3): (None, "place out of range"), ("a", 4): ("u3", None), ("a", 5): (None, "no title contains it"), ("b", 1): (None, "no audio in the feed"), ("a", 6): (None, "place out of range")}
