@@ -218,7 +218,7 @@ def documents(transcripts: DataFrame, segments: DataFrame, metrics: DataFrame, d
 
 
 # What a segment's enrichment holds, and the metadata that a minimal document keeps where it's known.
-ENRICHMENT = ["sentiment", "sentiment_confidence", "tone_tags", "is_interruption", "overlap_with_prev_ms", "gap_before_ms", "fillers", "linguistic"]
+SEGMENT_ENRICHMENT = ["sentiment", "sentiment_confidence", "tone_tags", "is_interruption", "overlap_with_prev_ms", "gap_before_ms", "fillers", "linguistic"]
 MINIMAL_METADATA = ["source_path", "source_url", "duration_ms", "language", "meeting_type", "recorded_at", "engine", "diarization_state"]
 
 
@@ -248,7 +248,7 @@ def transcript_documents(transcripts: DataFrame, speakers: DataFrame, segments:
     out = transcripts.select("transcript_id", metadata.alias("metadata"))
     tables = {
         "speakers": listed(speakers, "ord" if "ord" in speakers.columns else "speaker_id", ["ord"], "speakers"),
-        "segments": listed(segments, "seq", ["seq"] + ["words"] * less + ENRICHMENT * minimal, "segments", [] if minimal else ENRICHMENT),
+        "segments": listed(segments, "seq", ["seq"] + ["words"] * less + SEGMENT_ENRICHMENT * minimal, "segments", [] if minimal else SEGMENT_ENRICHMENT),
     }
     if not minimal:
         tables["speaker_metrics"] = listed(metrics, "speaker_id", ACOUSTIC * less, "speaker_metrics")

@@ -4,7 +4,7 @@ import os
 
 import duckdb
 import pytest
-from speechlake import catalog, catalog_records  # noqa: F401
+from speechlake import catalog, catalog_records, catalog_scalars, catalog_store  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "customer documents embeddings events labels lineitem nation orders pages part region supplier benchmark conversations".split()
