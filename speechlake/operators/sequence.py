@@ -113,7 +113,8 @@ def _judged(tables: _Tables, speakers: DataFrame, versions: DataFrame, cfg: Conf
 
     def products(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):  # two blocks at a time as Python's objects
+                r = batch.slice(i, 1).to_pylist()[0]
                 found = _best(r["s"], r["v"])
                 yield pa.RecordBatch.from_arrays([pa.array([s["pos"] for s in r["s"]], pa.int64()), pa.array(found, top)], names=["pos", "top"])
 
