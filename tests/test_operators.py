@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from speechlake.config import Config
@@ -128,3 +129,27 @@ def test_collapse():
     assert identity.collapse(two, {"S1": 2.0, "S2": 1.9, "S3": 1.0})["S3"] == "S1"
     assert identity.collapse(two, {"S1": 2.0, "S3": 9.0, "ghost": 1.0})["ghost"] == "S3"
     assert set(identity.collapse(two, {"S1": 2.0, "S3": 9.0}, target=1).values()) == {"S3"}
+
+
+def test_two_best_of_blocks():
+    rng = np.random.default_rng(3)
+    sims = np.round(rng.normal(size=(40, 60)), 1) + rng.normal(size=(40, 60)) * 1e-14  # many are equal to 12 digits
+    sims[:, 7] = np.nan
+    ids = np.array([f"P{i:03d}" for i in rng.permutation(60)], object)
+    best = vectors._TwoBest(40)
+    for part in np.array_split(np.arange(60), 7):
+        part = part[np.argsort(ids[part])]
+        best.add(sims[:, part], ids[part])
+    for row, got in zip(sims, best.id, strict=True):
+        assert list(got) == [i for _, i in sorted((-round(x, 12), i) for x, i in zip(row, ids, strict=True) if x == x)[:2]]
+
+
+def test_equal_to_12_digits_goes_by_id(spark):
+    """Three prints whose similarities differ by less than is told apart: the smaller ids are the two best."""
+    prints = [("A", "m", [1.0, 1e-7]), ("B", "m", [1.0, 5e-8]), ("C", "m", [1.0, 0.0])]
+    got = vectors.nearest_two(spark.createDataFrame([(1, "m", [1.0, 0.0])], "k long, model string, embedding array<double>"), spark.createDataFrame(prints, "i string, model string, embedding array<double>"), "k", "i", "model").first()
+    assert (got["best_id"], got["second_id"]) == ("A", "B")
+
+
+def test_a_lot_holds_several_blocks():
+    assert [vectors.lots_of(n, 1024) for n in (0, 8192, 8193, 10**9)] == [1, 1, 2, vectors.MOST_LOTS] and vectors.MOST_LOTS <= 64
