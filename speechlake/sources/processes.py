@@ -17,6 +17,7 @@ import time
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -24,6 +25,8 @@ from pyspark.sql import types as T
 TIMEOUT_S, GRACE_S = 7200.0, 5.0
 #: Bytes that are kept of standard output, of standard error (its end), and written at once.
 MOST_OUT, MOST_ERR, PIECE = 64_000_000, 4_000, 65_536
+#: Bytes of rows and their outputs that a task gathers, unless one row has more.
+HELD = 4_000_000
 
 
 @dataclass
@@ -106,9 +109,34 @@ def _text(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
 
+def each(b: pa.RecordBatch, command_at: int, text_at: int | None, timeout_s: float, grace_s: float, schema: T.StructType):
+    """b's rows with their programs' outcomes, in parts."""
+    done, size, start = [], 0, 0
+    for i in range(b.num_rows):
+        command = b.column(command_at)[i].as_py()
+        data = (b.column(text_at)[i].as_buffer() if text_at is not None else None) or b""
+        done.append(run_child([x or "" for x in command], data, timeout_s, grace_s) if command else Outcome("missing", err=b"no command"))
+        size += len(data) + len(done[-1].out) + len(done[-1].err)
+        if size >= HELD or i == b.num_rows - 1:
+            yield _with(b.slice(start, len(done)), done, schema)
+            done, size, start = [], 0, i + 1
+
+
+def parts(b: pa.RecordBatch, text_at: int):
+    """b in slices of HELD bytes of text, or of one row."""
+    size, start = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(b.column(text_at)), 0).to_pylist()):
+        if i > start and size + n > HELD:
+            yield b.slice(start, i - start)
+            size, start = 0, i
+        size += n
+    if b.num_rows:
+        yield b.slice(start)
+
+
 def run_each(df: DataFrame, argument: str = "command", stdin: str | None = None, timeout_s: float = TIMEOUT_S, grace_s: float = GRACE_S) -> DataFrame:
     """df with status, exit_code, stdout and stderr of the program that each row names in `argument` (array of strings), with
-    the text in column `stdin` as its input.
+    the text in column `stdin` as its input. A task holds the outputs of some rows only, HELD bytes or one row's.
 
     Rows of a task run one after the other. A null or empty command has the status missing. stdout is null but for the
     statuses ok, failed and signal; stderr is its last 4000 bytes. Columns of df named like an output are replaced.
@@ -119,13 +147,7 @@ def run_each(df: DataFrame, argument: str = "command", stdin: str | None = None,
 
     def run(batches):
         for b in batches:
-            commands = b.column(names.index(argument)).to_pylist()
-            inputs = b.column(names.index(stdin)).to_pylist() if stdin else [None] * len(commands)
-            done = [
-                run_child([x or "" for x in c], (i or "").encode(), timeout_s, grace_s) if c else Outcome("missing", err=b"no command")
-                for c, i in zip(commands, inputs, strict=True)
-            ]
-            yield _with(b, done, schema)
+            yield from each(b, names.index(argument), names.index(stdin) if stdin else None, timeout_s, grace_s, schema)
 
     return df.mapInArrow(run, schema)
 
@@ -140,7 +162,7 @@ def _with(b: pa.RecordBatch, done: list[Outcome], schema: T.StructType) -> pa.Re
 
 
 def run_lines(df: DataFrame, command: list[str], column: str = "text", timeout_s: float = TIMEOUT_S, grace_s: float = GRACE_S) -> DataFrame:
-    """df with status, exit_code, stdout and stderr of one program per batch of rows, which gets the values of `column` as
+    """df with status, exit_code, stdout and stderr of one program per batch of rows (HELD bytes), which gets the values of `column` as
     lines and answers each line with one.
 
     Line breaks within a value go as blanks, and a null as an empty line. If a batch's child fails, or answers with another
@@ -152,7 +174,7 @@ def run_lines(df: DataFrame, command: list[str], column: str = "text", timeout_s
     schema = T.StructType([*df.schema.fields, *_ADDED])
 
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in parts(batch, at)):
             lines = [(x or "").replace("\n", " ").encode() for x in b.column(at).to_pylist()]
             whole = run_child(command, b"".join(x + b"\n" for x in lines), timeout_s, grace_s) if lines else Outcome("ok")
             answers = whole.out.split(b"\n")[:-1]

@@ -1,7 +1,9 @@
 import os
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from speechlake.sources import processes
 
 DDL = "id long, command array<string>, input string"
@@ -65,3 +67,20 @@ def test_lines(spark):
 def test_streams_of_rows_stay_with_their_columns(spark):
     df = spark.range(2500).withColumn("text", F.concat(F.lit("row "), F.col("id")))
     assert processes.run_lines(df.repartition(3), ["cat"]).where("stdout = text and status = 'ok'").count() == 2500
+
+
+def test_outputs_are_handed_on_in_parts():
+    schema = T.StructType([T.StructField("c", T.ArrayType(T.StringType())), T.StructField("t", T.StringType()), *processes._ADDED])
+    rows = [(["cat"], "x" * 1_500_000), (None, None), (["cat"], "y" * 1_500_000), (["cat"], None), (["cat"], "z" * 5_000_000), (["echo"], "")]
+    b = pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.list_(pa.string())), pa.array([t for _, t in rows])], names=["c", "t"])
+    got = list(processes.each(b, 0, 1, 60, 1, schema))
+    assert [x.num_rows for x in got] == [3, 2, 1]
+    out = pa.Table.from_batches(got).to_pylist()
+    assert [r["status"] for r in out] == ["ok", "missing", "ok", "ok", "ok", "ok"]
+    assert [r["stdout"] for r in out] == [rows[0][1], None, rows[2][1], "", rows[4][1], "\n"] and [r["t"] for r in out] == [t for _, t in rows]
+
+
+def test_lines_go_in_parts():
+    b = pa.RecordBatch.from_arrays([pa.array(["x" * 3_000_000, None, "y" * 3_000_000, "z" * 9_000_000, "", "v"])], names=["t"])
+    got = list(processes.parts(b, 0))
+    assert [x.num_rows for x in got] == [2, 1, 1, 2] and pa.Table.from_batches(got).equals(pa.Table.from_batches([b]))
