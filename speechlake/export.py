@@ -109,9 +109,22 @@ def text_lines(annotated: DataFrame, speakers: DataFrame) -> DataFrame:
     return s.select("transcript_id", "seq", header.alias("header"), line.alias("line"))
 
 
+def plain_number(x: Column) -> Column:
+    """A double as text, without an exponent from 0.0001 up to 1e16, else with one as in 1e-05 and 1.5e+16; nan, inf, -inf."""
+    shown = x.cast("string")
+    plain = F.regexp_replace(shown.cast("decimal(38,20)").cast("string"), "0+$", "")
+    digits = F.regexp_replace(F.regexp_extract(shown, "E-?(.*)$", 1), "^([0-9])$", "0$1")
+    power = F.concat(F.regexp_extract(shown, r"^(.*?)(\.0)?E", 1), F.when(shown.contains("E-"), "e-").otherwise("e+"), digits)
+    odd = F.replace(F.lower(shown), F.lit("infinity"), F.lit("inf"))
+    size = F.abs(x)
+    out = F.when(F.isnan(x) | (size == float("inf")), odd).when(~shown.contains("E"), shown)
+    return out.when((size >= 1e-4) & (size < 1e16), F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)).otherwise(power)
+
+
 def csv_text(rows: DataFrame) -> DataFrame:
     """(transcript_id, document): the CSV of each transcript, a header and a row per speaker by id, lines ended by CR LF."""
-    plain = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]
+    number = {f.name for f in rows.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    plain = [F.coalesce(plain_number(F.col(c)) if c in number else F.col(c).cast("string"), F.lit("")) for c in rows.columns]
     cell = lambda x: F.when(x.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
     line = rows.select("transcript_id", "speaker_id", F.concat_ws(",", *map(cell, plain)).alias("line"))
     lines = line.groupBy("transcript_id").agg(F.sort_array(F.collect_list(F.struct("speaker_id", "line"))).alias("l"))

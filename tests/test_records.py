@@ -130,3 +130,12 @@ def test_exports_know_their_formats(spark):
 
 def test_readiness():
     assert [r["status"] for r in meetings.readiness({"feed": (True, "ok"), "db": (False, "no file")})] == ["missing", "ready"]
+
+
+def test_csv_numbers_as_sql_writes_them(spark):
+    import duckdb
+
+    numbers = [8e-4, 1e-4, 1.2345678901234567e-4, 5e-5, 1.5e-7, 0.0, -0.0006, 0.25, 300.0, 9999999.5, 1e7, 12345678.25, 1e15, 1.5e16, 1e100, float("nan"), float("-inf"), None]
+    rows = spark.createDataFrame([("t", f"{i:02d}", x) for i, x in enumerate(numbers)], "transcript_id string, speaker_id string, talk_ratio double")
+    got = [line.split(",")[2] for line in export.csv_text(rows).first()["document"].split("\r\n")[1:]]
+    assert got == [duckdb.execute("SELECT coalesce(CAST(?::DOUBLE AS VARCHAR), '')", [x]).fetchone()[0] for x in numbers]
