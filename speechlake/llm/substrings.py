@@ -18,6 +18,10 @@ from .common import buckets_of, documents, first_of_runs, pack, pack_sorted, sch
 from .words import BASES, Words, bits_of, blocks, chunks, flags_of, n_buckets, order_of, rolling, rows_of
 
 
+#: Hashes that are sorted at once.
+RANGE_ENTRIES = 250_000
+
+
 def split_words(text: str | None) -> list[bytes]:
     """Runs of bytes other than space and 9 to 13; no word for a null text. Words finds the same in a column."""
     return text.encode().split() if text else []
@@ -66,6 +70,31 @@ def _digest(hi: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(hi, initial=np.uint64(len(hi))).view(np.int64))
 
 
+def held_earlier(hi: list[np.ndarray], lo: list[np.ndarray], doc: list[np.ndarray], low: list[int]) -> list[np.ndarray]:
+    """For the hashes (hi, lo) of each chunk, hi ascending, with doc_id doc + low: whether another has the hash with a smaller doc_id.
+
+    Ranges of some RANGE_ENTRIES hashes are sorted one after the other, so that a bucket costs little beside itself.
+    """
+    earlier = [np.zeros(len(x), bool) for x in hi]
+    least, most = min(int(x[0]) for x in hi), max(int(x[-1]) for x in hi)
+    ranges = max(1, -(-sum(map(len, hi)) // RANGE_ENTRIES))
+    edges = np.array([least + (most - least) * k // ranges for k in range(1, ranges)], np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in hi]
+    for k in range(ranges):
+        at = [slice(c[k], c[k + 1]) for c in cuts]
+        ids = np.concatenate([x[s].astype(np.int64) + n for x, s, n in zip(doc, at, low, strict=True)])
+        if not len(ids):
+            continue
+        order, new = grouped(*(np.concatenate([x[s] for x, s in zip(each, at, strict=True)]) for each in (hi, lo)))
+        by_hash = ids[order]
+        ids[order] = np.minimum.reduceat(by_hash, np.flatnonzero(new))[np.cumsum(new) - 1] < by_hash
+        start = 0
+        for x, s in zip(earlier, at, strict=True):
+            x[s] = ids[start : start + s.stop - s.start]
+            start += s.stop - s.start
+    return earlier
+
+
 def repeated_windows(df: DataFrame, width: int, buckets: int) -> DataFrame:
     """(chunk, bucket, earlier, digest): of each chunk's distinct windows, which also start in a document with a smaller doc_id.
 
@@ -85,30 +114,25 @@ def repeated_windows(df: DataFrame, width: int, buckets: int) -> DataFrame:
             out = [(number, k, low, pack_sorted(w.hi[a:b]), w.lo[a:b].tobytes(), pack(doc[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    def answer(rows: list[dict]):
-        each = [unpack_sorted(r["hi"]) for r in rows]
-        hi = np.concatenate(each)
-        lo = np.frombuffer(b"".join(r["lo"] for r in rows), np.uint32)
-        doc = np.concatenate([unpack(r["doc"]).astype(np.int64) + r["low"] for r in rows])
-        order, new = grouped(hi, lo)
-        by_hash = doc[order]
-        least = np.minimum.reduceat(by_hash, np.flatnonzero(new))
-        earlier = np.empty(len(doc), bool)
-        earlier[order] = by_hash > least[np.cumsum(new) - 1]
-        cuts = np.cumsum([len(x) for x in each])[:-1]
+    def answer(rows: list[tuple]):
+        number, bucket, low, packed, lows, docs = zip(*rows, strict=True)
+        hi = [unpack_sorted(x.as_buffer()) for x in packed]
+        lo = [np.frombuffer(x.as_buffer(), np.uint32) for x in lows]
+        doc = [unpack(x.as_buffer()) for x in docs]
+        earlier = held_earlier(hi, lo, doc, [x.as_py() for x in low])
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["bucket"] for r in rows], pa.int32()),
-                pa.array([bits_of(x) for x in np.split(earlier, cuts)], pa.binary()), pa.array([_digest(x) for x in each], pa.int64()),
+                pa.array([x.as_py() for x in number], pa.int64()), pa.array([x.as_py() for x in bucket], pa.int32()),
+                pa.array([bits_of(x) for x in earlier], pa.binary()), pa.array([_digest(x) for x in hi], pa.int64()),
             ],
             names=["chunk", "bucket", "earlier", "digest"],
         )
 
     def receive(batches):
-        rows: list[dict] = []
+        rows: list[tuple] = []
         for b in batches:
-            for r in b.to_pylist():
-                if rows and rows[0]["bucket"] != r["bucket"]:
+            for r in zip(*b.columns, strict=True):  # the values stay where Arrow has them
+                if rows and rows[0][1] != r[1]:
                     yield answer(rows)
                     rows = []
                 rows.append(r)

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 from speechlake.llm import substrings as B
 
@@ -50,3 +51,25 @@ def test_awkward_empty_and_clashing(spark, awkward, nothing):
 def test_query(spark, sf, rows):
     out = {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in B.op4_repeated_substrings(spark, sf).collect()}
     assert out == {(i, n, m, hashlib.sha256(t.encode()).hexdigest()) for i, n, m, t in brute(rows)}
+
+
+def test_a_bucket_is_answered_in_ranges():
+    """Beside the bucket itself a range of it is held, and the answers are those of one sort."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    pool = np.unique(rng.integers(0, 2**63, 900_000).astype(np.uint64))
+    hi = [np.sort(rng.choice(pool, 400_000, replace=False)) for _ in range(5)]
+    lo = [(x % np.uint64(7)).astype(np.uint32) for x in hi]
+    doc = [rng.integers(0, 1000, len(x)).astype(np.uint64) for x in hi]
+    low = [-500, 0, 3, 10, 2**40]
+    tracemalloc.start()
+    got = B.held_earlier(hi, lo, doc, low)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    ids, every = np.concatenate([d.astype(np.int64) + n for d, n in zip(doc, low, strict=True)]), np.concatenate(hi)
+    least = np.full(len(pool), 2**62)
+    place = np.searchsorted(pool, every)
+    np.minimum.at(least, place, ids)
+    assert (np.concatenate(got) == (ids > least[place])).all() and 0 < np.concatenate(got).mean() < 1
+    assert peak < 40_000_000
