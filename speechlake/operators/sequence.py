@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from ..config import DEFAULT, Config
 from ..shared import shared_folder
 from .identity import decide, print_id
-from .vectors import BROADCAST_BYTES, MOST_LOTS
+from .vectors import BROADCAST_BYTES, MOST_LOTS, lots_of, unit
 
 #: Rows of a block.
 BLOCK = 1024
@@ -54,9 +54,23 @@ def _placed(df: DataFrame, *order: str) -> DataFrame:
 
 
 def _cut(df: DataFrame, cols: list[str], prefix: str, rows: int) -> DataFrame:
-    """(space, <prefix>: array of structs of cols) in blocks of some BLOCK rows of one space."""
+    """(space, <prefix>_dim, <prefix>_narrow, the columns cols and <prefix>_m as bytes) in blocks of some BLOCK rows of one space and length.
+
+    Vectors whose numbers all are 32-bit floats travel as such, in blocks of their own.
+    """
+
+    def build(t: pa.Table) -> pa.Table:
+        t = t.sort_by(cols[0])
+        dim, narrow = t.column("dim")[0].as_py(), t.column("narrow")[0].as_py()
+        m = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, dim)
+        one = {c: [t.column(c).to_numpy().astype(np.int64).tobytes()] for c in cols}
+        return pa.table({"space": t.column("space").slice(0, 1), f"{prefix}_dim": [dim], f"{prefix}_narrow": [narrow], **one, f"{prefix}_m": [m.astype(np.float32 if narrow else np.float64).tobytes()]})
+
     part = F.pmod(F.xxhash64(cols[0]), F.lit(max(1, -(-rows // BLOCK))))
-    return df.groupBy("space", part.alias("part")).agg(F.collect_list(F.struct(*cols)).alias(prefix)).drop("part")
+    narrow = F.coalesce(F.forall("vec", lambda x: x.cast("float").cast("double") == x), F.lit(False))
+    cut = df.select("space", *cols, "vec", F.coalesce(F.size("vec"), F.lit(0)).cast("long").alias("dim"), narrow.alias("narrow"), part.alias("part"))
+    schema = f"space string, {prefix}_dim long, {prefix}_narrow boolean, {', '.join(f'{c} binary' for c in cols)}, {prefix}_m binary"
+    return cut.groupBy("space", "dim", "narrow", "part").applyInArrow(build, schema)
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> float:
@@ -64,61 +78,74 @@ def _exact(a: np.ndarray, b: np.ndarray) -> float:
     return float(a @ b) / norm if norm else 0.0
 
 
-def _matrix(rows: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the rows of this dimension, their unit vectors)."""
-    own = np.array([i for i, r in enumerate(rows) if len(r["vec"]) == dim], np.int64)
-    m = np.array([rows[i]["vec"] for i in own], np.float64).reshape(len(own), dim)
-    norm = np.sqrt((m * m).sum(1, keepdims=True))
-    return own, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-
-def _best(speakers: list, versions: list) -> list[list[dict]]:
-    """Of each speaker the two most similar versions that are valid at its place, equal ones by their print's place."""
-    order = np.argsort([v["place"] for v in versions], kind="stable")
-    versions = [versions[i] for i in order]
-    start, end, place = (np.array([v[c] for v in versions], np.int64) for c in ("start", "end", "place"))
-    pos = np.array([s["pos"] for s in speakers], np.int64)
-    sims = np.zeros((len(speakers), len(versions)))
-    for dim in {len(s["vec"]) for s in speakers}:
-        (i, x), (j, y) = _matrix(speakers, dim), _matrix(versions, dim)
-        sims[np.ix_(i, j)] = x @ y.T
-    sims[(pos[:, None] <= start[None, :]) | (pos[:, None] > end[None, :])] = -np.inf
-    out = []
-    for k, s in enumerate(speakers):
-        row = sims[k]
-        if len(row) > 2:
-            least = row[np.argpartition(-row, 1)[1]]
-            near = np.flatnonzero((row >= least - _CLOSE) & (row > -np.inf))
-        else:
-            near = np.flatnonzero(row > -np.inf)
-        v = np.array(s["vec"], np.float64)
-        exact = [(-(_exact(v, np.array(versions[n]["vec"], np.float64)) if row[n] and len(versions[n]["vec"]) == len(v) else 0.0), int(place[n])) for n in near.tolist()]
-        out.append([{"neg": a, "place": b} for a, b in sorted(exact)[:2]])
-    return out
+def _vectors(raw, narrow: bool, rows: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if narrow else np.float64).astype(np.float64).reshape(rows, -1 if len(raw) else 0)
+
+
+class _Block:
+    """A block of speakers with the two most similar versions that each has met so far, equal ones by their print's place."""
+
+    def __init__(self, pos: np.ndarray, m: np.ndarray):
+        self.pos, self.m, self.x = pos, m, unit(m)
+        self.best: list[list[tuple]] = [[] for _ in pos]
+        self.second = np.full(len(pos), -np.inf)
+
+    def meet(self, place: np.ndarray, start: np.ndarray, end: np.ndarray, m: np.ndarray) -> None:
+        """Versions are valid for speakers with start < pos <= end."""
+        alike = m.shape[1] == self.m.shape[1]
+        sims = self.x @ unit(m).T if alike else np.zeros((len(self.m), len(m)))
+        sims[(self.pos[:, None] <= start[None, :]) | (self.pos[:, None] > end[None, :])] = -np.inf
+        rows = np.arange(len(sims))
+        top = sims.argmax(1)
+        most = sims[rows, top]
+        sims[rows, top] = -np.inf
+        least = np.maximum(sims.max(1), self.second) - _CLOSE
+        sims[rows, top] = most
+        own, other = np.nonzero(sims >= np.maximum(least, -2)[:, None])
+        for i, j, about in zip(own.tolist(), other.tolist(), sims[own, other].tolist(), strict=True):
+            self.best[i].append((-(_exact(self.m[i], m[j]) if about and alike else 0.0), int(place[j])))
+        for i in np.unique(own).tolist():
+            self.best[i] = sorted(self.best[i])[:2]
+            if len(self.best[i]) == 2:
+                self.second[i] = -self.best[i][1][0]
 
 
 def _judged(tables: _Tables, speakers: DataFrame, versions: DataFrame, cfg: Config) -> DataFrame:
     """speakers with kind, place, best and second against the versions that are valid at their places."""
     n, m, dim = speakers.count(), *versions.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
-    a = _cut(speakers, ["pos", "vec"], "s", n)
-    b = _cut(versions, ["place", "start", "end", "vec"], "v", m)
+    a = _cut(speakers, ["pos"], "s", n)
+    b = _cut(versions, ["place", "start", "end"], "v", m)
     if 8 * m * dim <= BROADCAST_BYTES:
-        met = a.join(F.broadcast(b), "space")
-    else:  # speakers' blocks lie apart in lots, and each lot meets its own copy of the versions
-        lots = min(MOST_LOTS, max(1, -(-n // BLOCK)))
-        a = a.withColumn("lot", F.pmod(F.xxhash64(F.get("s", F.lit(0))["pos"]), F.lit(lots)))
+        met = a.repartition(min(MOST_LOTS, max(1, -(-n // BLOCK)))).join(F.broadcast(b), "space")
+    else:  # speakers' blocks lie apart in lots of several, and each lot meets its own copy of the versions
+        lots = lots_of(n, BLOCK)
+        a = a.withColumn("lot", F.pmod(F.xxhash64("pos"), F.lit(lots)))
         b = b.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))))
         met = a.join(b, ["space", "lot"])
-    top = pa.list_(pa.struct([("neg", pa.float64()), ("place", pa.int64())]))
 
     def products(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):  # two blocks at a time as Python's objects
-                r = batch.slice(i, 1).to_pylist()[0]
-                found = _best(r["s"], r["v"])
-                yield pa.RecordBatch.from_arrays([pa.array([s["pos"] for s in r["s"]], pa.int64()), pa.array(found, top)], names=["pos", "top"])
+        held = block = None
 
-    each = met.select("s", "v").mapInArrow(products, "pos long, top array<struct<neg:double,place:long>>").select("pos", F.inline("top"))
+        def done():
+            found = [(p, neg, place) for p, two in zip(block.pos.tolist(), block.best, strict=True) for neg, place in two]
+            cols = list(zip(*found)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.float64(), pa.int64()))], names=["pos", "neg", "place"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i] for c in batch.schema.names}
+                mine = r["pos"].as_py()
+                if mine != held:  # the blocks that one of speakers meets come one after the other
+                    if held:
+                        yield done()
+                    pos = np.frombuffer(mine, np.int64)
+                    held, block = mine, _Block(pos, _vectors(r["s_m"].as_py(), r["s_narrow"].as_py(), len(pos)))
+                longs = [np.frombuffer(r[c].as_py(), np.int64) for c in ("place", "start", "end")]
+                block.meet(*longs, _vectors(r["v_m"].as_py(), r["v_narrow"].as_py(), len(longs[0])))
+        if held:
+            yield done()
+
+    each = met.select("pos", "s_narrow", "s_m", "place", "start", "end", "v_narrow", "v_m").mapInArrow(products, "pos long, neg double, place long")
     two = each.groupBy("pos").agg(F.slice(F.sort_array(F.collect_list(F.struct("neg", "place"))), 1, 2).alias("t"))
     at = lambda i, c: F.get("t", F.lit(i))[c]
     out = speakers.join(two, "pos", "left").withColumns({"best": F.lit(0.0) - at(0, "neg"), "second": F.lit(0.0) - at(1, "neg"), "best_id": at(0, "place")})
@@ -159,7 +186,9 @@ def _versions(tables: _Tables, library: DataFrame, verdicts: DataFrame) -> DataF
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["space", "place", "start", "end", "vec"])
 
-    changed = start.join(touched, "place", "left_semi").groupBy("place").cogroup(folds.groupBy("place")).applyInArrow(chain, ddl)
+    tasks = start.sparkSession.sparkContext.defaultParallelism  # many small groups: as few bytes as they have, they take long
+    changed = start.join(touched, "place", "left_semi").repartition(tasks, "place").groupBy("place")
+    changed = changed.cogroup(folds.repartition(tasks, "place").groupBy("place")).applyInArrow(chain, ddl)
     return tables.written(whole.unionByName(changed).unionByName(early))
 
 

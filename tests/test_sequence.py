@@ -74,3 +74,25 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     o = td.observations(spark, sf).withColumn("transcript_id", F.floor(F.col("speaker_key") / 8)).withColumn("ord", F.col("speaker_key") % 8)
     assert rows(catalog.QUERIES["assign_sequential"](spark, sf)) == rows(identity.assign_in_order(o, td.prints(spark, sf)))
+
+
+def test_a_block_meets_others_in_little_memory():
+    """Two blocks as arrays take a few products' worth, and the two best over several blocks are those of all pairs."""
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    m, v = rng.normal(size=(1024, 64)), rng.normal(size=(2048, 64)).astype(np.float32).astype(float)
+    v[5:9] = v[4]  # equal vectors: the smaller place
+    m[:3], m[3] = v[4], 0
+    place, start = rng.permutation(2048), rng.integers(-1, 900, 2048)
+    end = start + rng.integers(0, 900, 2048)
+    tracemalloc.start()
+    block = sequence._Block(np.arange(1024), m)
+    for k in (0, 1024):
+        block.meet(place[k : k + 1024], start[k : k + 1024], end[k : k + 1024], v[k : k + 1024])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for i in [0, 1, 2, 3, 500, 1023]:
+        pairs = [(-identity.Library._cosine(m[i], v[j]), int(place[j])) for j in range(2048) if start[j] < i <= end[j]]
+        assert block.best[i] == sorted(pairs)[:2]
+    assert peak < 60_000_000
