@@ -48,7 +48,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     learned = labels.where(~toxicity.held_out(F.col("doc_id")))
-    model = toxicity.fit(*toxicity.training_texts(docs.select("doc_id", "text"), learned))
+    model = toxicity.trained(docs.select("doc_id", "text"), learned)
     return unbundled(toxicity.toxicity(bundled(docs), model).where("predicted = 0"), docs)
 
 

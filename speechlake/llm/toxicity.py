@@ -346,20 +346,47 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
     return Model(landmarks, root @ w, b, a, c)
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> tuple[list[str], list[str]]:
-    """Texts of at most `limit` toxic and as many other documents, by a hash of the id; 2 * limit ids are broadcast.
+def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> DataFrame:
+    """(doc_id, toxic, text) of at most `limit` toxic and as many other documents, by a hash of the id; 2 * limit ids are
+    broadcast.
 
-    Texts that are null, empty or over TRAIN_CHARS teach nothing; what reaches the driver is bounded by TRAIN_TOTAL code
-    points of either class, the documents first in the order of the hash.
+    Texts that are null, empty or over TRAIN_CHARS teach nothing; what is gathered is bounded by TRAIN_TOTAL code points
+    of either class, the documents first in the order of the hash.
     """
     per_id = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda v: per_id.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     some = F.broadcast(pick(1).unionByName(pick(0)))
     rows = docs.where(F.char_length("text").between(1, TRAIN_CHARS)).join(some, "doc_id").select("doc_id", "toxic", "text")
     before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text")  # of 2 * limit documents
-    rows = rows.withColumn("sum", F.sum(F.char_length("text")).over(before)).where(F.col("sum") <= TRAIN_TOTAL).drop("sum").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return [r["text"] for r in rows if r["toxic"]], [r["text"] for r in rows if not r["toxic"]]
+    return rows.withColumn("sum", F.sum(F.char_length("text")).over(before)).where(F.col("sum") <= TRAIN_TOTAL).drop("sum")
+
+
+def by_class(rows: list[tuple]) -> tuple[list[str], list[str]]:
+    """Texts of toxic and of other documents, from (doc_id, toxic, text), in the order of doc_id and text."""
+    rows = sorted(rows, key=lambda r: (r[0], r[2]))
+    return [t for _, toxic, t in rows if toxic], [t for _, toxic, t in rows if not toxic]
+
+
+def training_texts(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> tuple[list[str], list[str]]:
+    """The texts of training_rows, toxic and other ones, on the driver."""
+    return by_class(training_rows(docs, labels, limit).collect())
+
+
+def trained(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
+    """fit(*training_texts(...)) in a task: the texts, and what the fit makes of them, take no memory of the driver."""
+    workers_see_package(docs.sparkSession)
+
+    def train(batches):
+        model = fit(*by_class([r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]))
+        yield pa.RecordBatch.from_pylist([dict(zip(("landmarks", "weights", "bias", "a", "b"), model.__getstate__(), strict=True))], of)
+
+    of = pa.schema([("landmarks", pa.list_(pa.string())), ("weights", pa.list_(pa.float64())), *((x, pa.float64()) for x in ("bias", "a", "b"))])
+    rows = training_rows(docs, labels, limit).coalesce(1)  # bounded
+    found = rows.mapInArrow(train, "landmarks array<string>, weights array<double>, bias double, a double, b double").collect()
+    if not found:  # no partition, no task
+        return fit([], [])
+    m = found[0]
+    return Model(list(m["landmarks"]), np.array(m["weights"]), m["bias"], m["a"], m["b"])
 
 
 def toxicity(df: DataFrame, model: Model) -> DataFrame:
@@ -391,6 +418,6 @@ def held_out(doc_id: Column) -> Column:
 def op3_subsequence_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = fit(*training_texts(docs, labels.where(~held_out(F.col("doc_id")))))
+    model = trained(docs, labels.where(~held_out(F.col("doc_id"))))
     out = toxicity(docs, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -62,6 +62,22 @@ def test_training_texts_are_bounded(spark, docs):
     assert 0 < len(pos) <= 5 and 0 < len(neg) <= 5
 
 
+def test_query_takes_no_texts_to_the_driver(spark, sf, docs, monkeypatch):
+    seen, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: seen.append(self.columns) or collect(self))
+    X.op3_subsequence_kernel_toxicity(spark, sf)
+    assert seen and not any("text" in columns for columns in seen)
+
+
+def test_trained_in_a_task_equals_fit(spark, docs, nothing):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    one, two = X.trained(docs, labels), X.fit(*X.training_texts(docs, labels))
+    assert one.landmarks == two.landmarks and np.allclose(one.weights, two.weights) and np.allclose([one.bias, one.a, one.b], [two.bias, two.a, two.b])
+    for some, kinds in ((docs, labels.where("toxic = 0")), (docs, labels.where("toxic = 1")), (docs, labels.limit(0)), (nothing, labels)):
+        one, two = X.trained(some, kinds), X.fit(*X.training_texts(some, kinds))
+        assert one.__getstate__()[2:] == two.__getstate__()[2:] and one.score(["a"]) == two.score(["a"])
+
+
 def test_values_of_many_texts_are_those_of_their_sentences(rows):
     model = X.fit(["you idiot. go away!", "such an idiot", "idiot here"], ["a fine day", "good words here", ""])
     texts = [t[:3000] for _, t, *_ in rows if t] + ["i d i o t", "a b.\nc d e f ... ! x", "", "   ", "idiot.\u0085idiot! idiot", "\x00 x \x00"]
