@@ -307,7 +307,10 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
     """A model of labelled texts. With a class missing, every score is 0.5 times the share of toxic texts, rounded to 0 or 0.5."""
     if not toxic or not clean:
         return Model(["none"], np.zeros(1), 0.0, 0.0, 0.0 if toxic else -60.0)
-    pos, neg = [sentences(t) for t in toxic], [sentences(t) for t in clean]
+    same: dict[str, str] = {}  # one string for equal tokens of all texts
+    shared = lambda t: [[same.setdefault(x, x) for x in s] for s in sentences(t)]
+    pos, neg = [shared(t) for t in toxic], [shared(t) for t in clean]
+    del same
     n_pos = _stems(pos)
     n_neg = _stems(neg, n_pos)
     strength = {w: _g2(n, len(pos), n_neg[w], len(neg)) for w, n in n_pos.items()}
