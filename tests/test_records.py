@@ -139,3 +139,15 @@ def test_csv_numbers_as_sql_writes_them(spark):
     rows = spark.createDataFrame([("t", f"{i:02d}", x) for i, x in enumerate(numbers)], "transcript_id string, speaker_id string, talk_ratio double")
     got = [line.split(",")[2] for line in export.csv_text(rows).first()["document"].split("\r\n")[1:]]
     assert got == [duckdb.execute("SELECT coalesce(CAST(?::DOUBLE AS VARCHAR), '')", [x]).fetchone()[0] for x in numbers]
+
+
+def test_ties_are_rounded_as_sql_rounds_them(spark):
+    import duckdb
+    from speechlake.catalog import near
+
+    ties = [0.14125, 0.37675, *((2 * i + 1) / 20000 for i in range(10000)), 0.25, 0.0, 1e300, float("nan"), float("inf"), None]
+    d = spark.createDataFrame([(i, x, x) for i, x in enumerate(ties)], "i long, a double, b double")
+    got = near(near(d, "a", n=4), "b", n=2).orderBy("i").toArrow()
+    assert got.select(["a", "b"]).to_pylist()[:2] == [{"a": 0.1412, "b": 0.14}, {"a": 0.3767, "b": 0.38}]
+    want = duckdb.execute("SELECT round(x, 4) AS a, round(x, 2) AS b FROM (SELECT unnest($x::DOUBLE[]) AS x)", {"x": ties}).to_arrow_table()
+    assert repr(got.select(["a", "b"]).to_pylist()) == repr(want.to_pylist())
