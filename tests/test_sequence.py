@@ -96,3 +96,28 @@ def test_a_block_meets_others_in_little_memory():
         pairs = [(-identity.Library._cosine(m[i], v[j]), int(place[j])) for j in range(2048) if start[j] < i <= end[j]]
         assert block.best[i] == sorted(pairs)[:2]
     assert peak < 60_000_000
+
+
+def test_later_rounds_meet_what_came(spark, monkeypatch):
+    """With few versions kept and small blocks the rows are the same, and only the first two rounds meet many versions."""
+    obs, lib = crowd(7, transcripts=24)
+    o, p = spark.createDataFrame(obs, OBS).repartition(3), spark.createDataFrame(lib, LIB)
+    met, rounds, plain, judged = [], [], sequence._met, sequence._judged
+    monkeypatch.setattr(sequence, "_met", lambda blocks, versions, total: met.append((len(rounds), versions.count())) or plain(blocks, versions, total))
+    monkeypatch.setattr(sequence, "_judged", lambda *a: rounds.append(1) or judged(*a))
+    monkeypatch.setattr(sequence, "BLOCK", 16)
+    monkeypatch.setattr(sequence, "KEEP", 2)
+    assert rows(sequence.assign_by_rounds(o, p)) == rows(identity.assign_in_order(o, p))
+    usual = {r: [n for k, n in met if k == r][0] for r, _ in met}
+    assert len(rounds) > 2 and usual[len(rounds) - 1] < max(usual.values()) and len(met) > len(rounds)
+
+
+def test_copies_meet_in_few_comparisons(monkeypatch):
+    """Of many equal vectors only those with the smallest places are compared exactly."""
+    m = np.tile(np.random.default_rng(3).normal(size=32), (1024, 1))
+    calls, exact = [], sequence._exact
+    monkeypatch.setattr(sequence, "_exact", lambda a, b: calls.append(1) or exact(a, b))
+    block = sequence._Block(np.arange(1024), m)
+    place = np.random.default_rng(4).permutation(1024)
+    block.meet(place, np.full(1024, -1), np.full(1024, 5000), m)
+    assert all([x[1] for x in b] == [0, 1] for b in block.best) and len(calls) <= 8 * 1024
